@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from . import pii
+from . import mixing, pii, token_output, vector_search
 
 
 def queries() -> dict:
-    return {"op9_pii": pii.op9_pii}
+    return {
+        "op2_mix": mixing.op2_mix,
+        "op3_wavelet_tokens": token_output.op3_wavelet_tokens,
+        "op4_topk": vector_search.op4_topk,
+        "op9_pii": pii.op9_pii,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_topk": vector_search.ORACLE}
