@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import mixing, pii, token_output, vector_search
+from . import langid, mixing, pii, token_output, toxicity, vector_search
 
 
 def queries() -> dict:
     return {
+        "op1_toxicity": toxicity.op1_toxicity,
         "op2_mix": mixing.op2_mix,
         "op3_wavelet_tokens": token_output.op3_wavelet_tokens,
         "op4_topk": vector_search.op4_topk,
         "op9_pii": pii.op9_pii,
+        "op10_langid": langid.op10_langid,
     }
 
 
