@@ -48,3 +48,15 @@ def texts(docs: DataFrame, as_bytes: bool = True) -> DataFrame:
 def held_out(doc_id: str = "doc_id"):
     """True for the third of documents that no model may learn from."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1
+
+
+NULL_ID = -(1 << 63)
+
+
+def no_null_ids(docs: DataFrame) -> DataFrame:
+    """Null doc_ids become NULL_ID, for joins inside an operator; ``null_ids_back`` undoes it."""
+    return docs.withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
+
+
+def null_ids_back(df: DataFrame) -> DataFrame:
+    return df.withColumn("doc_id", F.expr(f"nullif(doc_id, {NULL_ID + 1}L - 1L)"))

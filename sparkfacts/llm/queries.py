@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, pii, token_output, toxicity, vector_search
+from . import langid, mixing, pii, simhash, substring_dedup, token_output, toxicity, vector_search
 
 
 def queries() -> dict:
@@ -11,10 +11,12 @@ def queries() -> dict:
         "op2_mix": mixing.op2_mix,
         "op3_wavelet_tokens": token_output.op3_wavelet_tokens,
         "op4_topk": vector_search.op4_topk,
+        "op6_simhash": simhash.op6_simhash,
+        "op8_substrings": substring_dedup.op8_substrings,
         "op9_pii": pii.op9_pii,
         "op10_langid": langid.op10_langid,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_topk": vector_search.ORACLE}
+    return {"op4_topk": vector_search.ORACLE, "op8_substrings": substring_dedup.ORACLE}

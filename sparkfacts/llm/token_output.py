@@ -12,9 +12,12 @@ empty table gives an empty file set and no rows; other columns of the input are
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import staged, table, texts
 
 SHARD_TOKENS = 1 << 20
-CACHED_WORDS = 200_000
+CACHED_WORDS = 300_000
 CACHED_LENGTH = 48
 END_ID = 2
 SPAN = 512  # bits between stored ranks
@@ -41,14 +44,13 @@ class WaveletMatrix:
 
     @classmethod
     def build(cls, ids: np.ndarray, width: int | None = None) -> WaveletMatrix:
-        ids = np.ascontiguousarray(ids, dtype=np.uint32)
         width = width or max(1, int(ids.max(initial=0)).bit_length())
-        bits = []
+        kind = np.uint16 if width <= 16 else np.uint32
+        ids, bits = np.ascontiguousarray(ids, dtype=kind), []
         for k in range(width - 1, -1, -1):
-            b = ((ids >> np.uint32(k)) & np.uint32(1)).astype(np.uint8)
-            bits.append(b)
-            one = b.view(bool)
-            ids = np.concatenate((ids[~one], ids[one]))
+            one = (ids & kind(1 << k)) != 0
+            bits.append(one.view(np.uint8))
+            ids = np.concatenate((ids.take(np.flatnonzero(~one)), ids.take(np.flatnonzero(one))))
         return cls(len(ids), bits)
 
     def _rank1(self, plane: int, i: int) -> int:
@@ -102,12 +104,13 @@ class WaveletMatrix:
 
     def decode(self) -> np.ndarray:
         """All ids, from the lowest plane up."""
-        out = np.zeros(self.n, np.uint32)
+        kind = np.uint16 if len(self.bits) <= 16 else np.uint32
+        out = np.zeros(self.n, kind)
         for k in range(len(self.bits) - 1, -1, -1):
-            one = self.bits[k].view(bool)
-            up = np.empty_like(out)
-            up[~one], up[one] = out[: self.zeros[k]], out[self.zeros[k] :]
-            out = up | (self.bits[k].astype(np.uint32) << np.uint32(len(self.bits) - 1 - k))
+            one, up = self.bits[k].view(bool), np.empty_like(out)
+            up[np.flatnonzero(~one)] = out[: self.zeros[k]]
+            up[np.flatnonzero(one)] = out[self.zeros[k] :] | kind(1 << (len(self.bits) - 1 - k))
+            out = up
         return out
 
     def to_bytes(self) -> bytes:
@@ -140,11 +143,26 @@ class WaveletMatrix:
         return self
 
 
+# The tokenizer's own split for lower-cased Latin-1 text: contractions, letters, single digits, other signs.
+_L = r"a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff"
+_N = r"0-9\xb2\xb3\xb9\xbc-\xbe"
+_PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\t-\r\x20\x85\xa0{_L}{_N}]+")
+
+
+def _byte_signs() -> dict[int, str]:
+    """The signs by which byte-level vocabularies write bytes: printable ones stand for themselves, the rest follow from 256."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class Encoder:
-    """Encodes texts with a tokenizer that drops white space.
+    """Encodes texts with a lower-casing byte-level tokenizer that drops white space.
 
-    No token of such a vocabulary reaches over a space or line feed, so the ids of a text
-    are those of its pieces; ids of short pieces are kept, up to CACHED_WORDS of them.
+    Latin-1 texts (where composition changes nothing) are lower-cased and split here; each
+    distinct piece goes through the vocabulary's merges once and is kept, up to
+    CACHED_WORDS of them. Any other text, and any tokenizer of another build, goes through
+    the library whole. Both ways give the same ids.
     """
 
     def __init__(self, path: str):
@@ -153,23 +171,37 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {"": b""}
+        self.model, self.signs, self.known = self.tokenizer.model, _byte_signs(), {}
+        spec = json.loads(self.tokenizer.to_str())
+        split = [x.get("type") for x in (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+        norm = [x.get("type") for x in (spec.get("normalizer") or {}).get("normalizers", [])]
+        pattern = ((spec["pre_tokenizer"]["pretokenizers"][0].get("pattern") or {}).get("Regex")) if split == ["Split", "ByteLevel"] else None
+        self.own = norm == ["NFC", "Replace", "Lowercase"] and pattern == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+        special = [x["content"] for x in spec.get("added_tokens", [])]
+        self.special = re.compile("|".join(map(re.escape, special)), re.I) if special else None
+
+    def _piece(self, piece: str) -> bytes:
+        signs = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.signs)
+        out = array(self.code, [t.id for t in self.model.tokenize(signs)]).tobytes()
+        if len(self.known) < CACHED_WORDS and len(piece) <= CACHED_LENGTH:
+            self.known[piece] = out
+        return out
+
+    @property
+    def code(self) -> str:
+        return "H" if self.type.itemsize == 2 else "I"
 
     def ids(self, text: str) -> bytes:
         """The text's ids as little-endian integers of this encoder's type."""
-        words = text.replace("\n", " ").split(" ")
+        try:
+            text.encode("latin-1")
+            plain = self.own and not (self.special and self.special.search(text))
+        except UnicodeEncodeError:
+            plain = False
+        if not plain:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.type).tobytes()
         known = self.known
-        if len(known) > CACHED_WORDS:
-            known.clear()
-            known[""] = b""
-        new = [w for w in set(words) if w not in known]
-        extra: dict[str, bytes] = {}
-        if new:
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                (known if len(w) <= CACHED_LENGTH else extra)[w] = np.array(e.ids, self.type).tobytes()
-        if extra:
-            return b"".join(known[w] if w in known else extra[w] for w in words)
-        return b"".join(map(known.__getitem__, words))
+        return b"".join([known.get(p) or self._piece(p) for p in _PIECE.findall(text.lower())])
 
 
 @lru_cache(2)
