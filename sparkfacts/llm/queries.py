@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, pii, simhash, substring_dedup, token_output, toxicity, vector_search
+from . import decontamination, langid, mixing, pii, simhash, substring_dedup, suffix_dedup, token_output, toxicity, vector_search
 
 
 def queries() -> dict:
@@ -11,7 +11,9 @@ def queries() -> dict:
         "op2_mix": mixing.op2_mix,
         "op3_wavelet_tokens": token_output.op3_wavelet_tokens,
         "op4_topk": vector_search.op4_topk,
+        "op5_suffixes": suffix_dedup.op5_suffixes,
         "op6_simhash": simhash.op6_simhash,
+        "op7_decontamination": decontamination.op7_decontamination,
         "op8_substrings": substring_dedup.op8_substrings,
         "op9_pii": pii.op9_pii,
         "op10_langid": langid.op10_langid,

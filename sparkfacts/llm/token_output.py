@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import staged, table, texts
 
-SHARD_TOKENS = 1 << 20
-CACHED_WORDS = 300_000
+SHARD_TOKENS = 1 << 18
+CACHED_WORDS = 600_000
 CACHED_LENGTH = 48
 END_ID = 2
 SPAN = 512  # bits between stored ranks

@@ -175,6 +175,26 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return texts(docs).mapInArrow(run, "doc_id long, score double")
 
 
+def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, columns unchanged, that score below the threshold; rows never leave their task."""
+    sent = docs.sparkSession.sparkContext.broadcast((model.weights, model.kept, model.bias))
+    limit = np.log(threshold / (1 - threshold))
+    text = docs.columns.index("text")
+
+    def run(batches):
+        weights, kept, bias = sent.value
+        for batch in batches:
+            raws = [(x.as_py() or "").encode() for x in batch.column(text)]
+            below = []
+            for at in range(0, len(raws), 256):
+                part = raws[at : at + 256]
+                doc, h = _hits(part, kept)
+                below.append(bias + np.bincount(doc, weights[h], len(part)) < limit)
+            yield batch.filter(pa.array(np.concatenate(below))) if raws else batch
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, held_out, score, predicted): predicted is 1 from the threshold on."""
     scored = score(docs, train(docs, labels))
