@@ -55,14 +55,30 @@ def targets(sizes: list[int], weights=WEIGHTS, most: float = MOST) -> list[float
 
 
 def fit(sizes: np.ndarray, counts: np.ndarray, budget: int, capacity: int = CAPACITY) -> np.ndarray:
-    """How many documents of each size to take (at most ``counts``) so that words come near ``budget``."""
+    """How many documents of each size to take (at most ``counts``) so that words come near ``budget``.
+
+    If proportional counts leave no way to the word, they give way by a few documents of
+    each size, so that the table has more to choose from.
+    """
     total = int((sizes * counts).sum())
     if budget <= 0 or not total:
         return np.zeros_like(counts)
     if budget >= total:
         return counts.copy()
-    share = counts * (budget / total)
-    taken = np.minimum(np.floor(share).astype(np.int64), counts)
+    best = None
+    for back in (0, 1, 4, 16):
+        taken = _fit(sizes, counts, budget, capacity, back)
+        left = budget - int((sizes * taken).sum())
+        if best is None or left < best[0]:
+            best = left, taken
+        if not left:
+            break
+    return best[1]
+
+
+def _fit(sizes: np.ndarray, counts: np.ndarray, budget: int, capacity: int, back: int) -> np.ndarray:
+    share = counts * (budget / int((sizes * counts).sum()))
+    taken = np.clip(np.floor(share).astype(np.int64) - back, 0, counts)
     rest = budget - int((sizes * taken).sum())
     # down to what the table spans: first the sizes that the rounding cut most, then any
     order = np.lexsort((sizes, -(share - taken)))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged, table, texts
+from .common import no_null_ids, null_ids_back, staged, table, texts
 
 SHARD_TOKENS = 1 << 18
 CACHED_WORDS = 600_000
@@ -238,7 +238,7 @@ def write_shards(docs: DataFrame, tokenizer: str | None = None, end_id: int = EN
     Shards ascend by (range_id, shard), and so do their documents. Ranges come from
     quantiles of doc_id alone; how many there are follows spark.sql.shuffle.partitions.
     """
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, no_null_ids(docs)
     tokenizer = tokenizer or default_tokenizer()
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ids = docs.select(F.col("doc_id").cast("double").alias("d"))
@@ -297,7 +297,7 @@ def read_documents(shards: DataFrame) -> DataFrame:
                 crc = [zlib.crc32(ids[e - m : e]) for e, m in zip(ends.tolist(), lengths.tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(row["doc_ids"], "<i8")), pa.array(starts_), pa.array(lengths), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return shards.join(F.broadcast(starts), "range_id").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return null_ids_back(shards.join(F.broadcast(starts), "range_id").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long"))
 
 
 def occurrences(shards: DataFrame, token: int) -> DataFrame:
