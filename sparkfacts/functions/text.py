@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 # Tokens that take an entry out of a field, and prefixes that do.
@@ -59,7 +60,7 @@ def match_name(c: Column) -> Column:
     return F.trim(F.regexp_replace(crew, r"(?i),?\s+(?:L\.?L\.?C\.?|INC(?:\.|ORPORATED)?)$", ""))
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def person_key(names: pd.Series) -> pd.Series:
     """Compatible, case-folded, distinct name words in order (no built-in does NFKC)."""
 

@@ -65,11 +65,11 @@ class Snapshots:
         return self.spark.read.parquet(f"{self.root}/{name}/snapshot_id={snapshot or self.active()}")
 
     def active(self) -> str | None:
-        at = self._path(f"{self.root}/_active")
-        return self.spark.read.text(f"{self.root}/_active").first()[0] if self._fs.exists(at) else None
+        at = self._path(f"{self.root}/ACTIVE")
+        return self.spark.read.text(f"{self.root}/ACTIVE").first()[0] if self._fs.exists(at) else None
 
     def activate(self, snapshot: str) -> None:
-        new, at = self._path(f"{self.root}/_active.new"), self._path(f"{self.root}/_active")
+        new, at = self._path(f"{self.root}/ACTIVE.new"), self._path(f"{self.root}/ACTIVE")
         out = self._fs.create(new, True)
         out.write(bytearray(snapshot.encode()))
         out.close()

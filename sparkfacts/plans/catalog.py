@@ -30,8 +30,8 @@ def query(sql: str | None):
     return add
 
 
-_NET = F.expr("cast(l_extendedprice as decimal(12,2)) * (cast(1 as decimal(3,2)) - cast(l_discount as decimal(3,2)))")
-_COST = F.expr("cast(l_extendedprice as decimal(12,2)) * cast(l_tax as decimal(3,2)) * 10")
+_NET = "cast(l_extendedprice as decimal(12,2)) * (cast(1 as decimal(3,2)) - cast(l_discount as decimal(3,2)))"
+_COST = "cast(l_extendedprice as decimal(12,2)) * cast(l_tax as decimal(3,2)) * 10"
 _SQL_NET = "CAST(l_extendedprice AS DECIMAL(12,2)) * (CAST(1 AS DECIMAL(3,2)) - CAST(l_discount AS DECIMAL(3,2)))"
 _SQL_COST = "CAST(l_extendedprice AS DECIMAL(12,2)) * CAST(l_tax AS DECIMAL(3,2)) * 10"
 
@@ -44,7 +44,7 @@ def _filings(spark: SparkSession, d: str) -> DataFrame:
 def _yearly(spark: SparkSession, d: str) -> DataFrame:
     """(o_custkey, tax_year, revenue, expenses) of each organisation's winning filing of a year."""
     won = metrics.winning_filings(_filings(spark, d), ["o_custkey", "tax_year"])
-    facts = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sum(_NET).alias("revenue"), F.sum(_COST).alias("expenses"))
+    facts = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sum(F.expr(_NET)).alias("revenue"), F.sum(F.expr(_COST)).alias("expenses"))
     return won.join(facts, F.col("object_id") == F.col("l_orderkey")).select("o_custkey", "tax_year", "object_id", "revenue", "expenses")
 
 
@@ -188,17 +188,17 @@ def carry_forward(spark, d):
 
 
 _LINKS = """WITH links AS (
-  SELECT DISTINCT p_brand || '/' || p_name AS club, s_nationkey AS org FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_shipdate >= TIMESTAMP '1998-01-01' AND p_size <= 3
-  UNION SELECT DISTINCT p_brand || '/' || p_name, CAST(p_size % 25 AS INT) FROM part WHERE p_type = 'ECONOMY' AND p_size <= 2)
+  SELECT DISTINCT p_brand || '/' || p_partkey AS club, s_nationkey AS org FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_shipdate >= TIMESTAMP '2001-09-25' AND p_size <= 3
+  UNION SELECT DISTINCT p_brand || '/' || p_partkey, CAST(p_size % 25 AS INT) FROM part WHERE p_type = 'ECONOMY' AND p_size <= 2)
 """
 
 
 def _links(spark, d):
-    part, since = table(spark, d, "part"), F.lit("1998-01-01").cast("timestamp_ntz")
+    part, since = table(spark, d, "part"), F.lit("2001-09-25").cast("timestamp_ntz")
     lines = table(spark, d, "lineitem").filter(F.col("l_shipdate") >= since)
     native = lines.join(part.filter("p_size <= 3"), F.col("l_partkey") == F.col("p_partkey")).join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    named = part.filter("p_type = 'ECONOMY' and p_size <= 2").selectExpr("concat(p_brand, '/', p_name) AS club", "cast(p_size % 25 AS int) AS org")
-    return links.link_candidates(native.selectExpr("concat(p_brand, '/', p_name) AS club", "s_nationkey AS org"), named)
+    named = part.filter("p_type = 'ECONOMY' and p_size <= 2").selectExpr("concat(p_brand, '/', p_partkey) AS club", "cast(p_size % 25 AS int) AS org")
+    return links.link_candidates(native.selectExpr("concat(p_brand, '/', p_partkey) AS club", "s_nationkey AS org"), named)
 
 
 @query(_LINKS + "SELECT club, org FROM links")
@@ -262,7 +262,7 @@ def fye_mode(spark, d):
 @query(f"""WITH a AS (SELECT CAST(year(l_shipdate) AS INT) AS tax_year, l_returnflag AS line, sum({_SQL_NET}) AS amount FROM lineitem GROUP BY ALL)
 SELECT tax_year, line, CAST(amount AS DOUBLE) AS amount, CASE WHEN sum(amount) OVER w > 0 THEN round(CAST(amount AS DOUBLE) / CAST(sum(amount) OVER w AS DOUBLE), 6) END AS share FROM a WINDOW w AS (PARTITION BY tax_year)""")
 def composition_share(spark, d):
-    lines = table(spark, d, "lineitem").select(F.year("l_shipdate").alias("tax_year"), F.col("l_returnflag").alias("line"), _NET.alias("net"))
+    lines = table(spark, d, "lineitem").select(F.year("l_shipdate").alias("tax_year"), F.col("l_returnflag").alias("line"), F.expr(_NET).alias("net"))
     return metrics.share_of_total(lines, ["tax_year"], "line", "net").withColumn("amount", F.col("amount").cast("double"))
 
 

@@ -79,7 +79,7 @@ def curated_csv(spark: SparkSession, path: str, required: list[str], lists: tupl
     lacking = [c for c in required if c not in df.columns]
     if lacking:
         raise ValueError(f"columns missing: {', '.join(lacking)}")
-    return df.withColumns({c: F.filter(F.transform(F.split(c, "\\|"), F.trim), lambda x: x != "") for c in lists})
+    return df.withColumns({c: F.filter(F.transform(F.split(c, "\\|"), lambda x: F.trim(x)), lambda x: x != "") for c in lists})
 
 
 def not_fetched(index: DataFrame, records: DataFrame, key: str) -> DataFrame:

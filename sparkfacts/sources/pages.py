@@ -9,6 +9,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from ..operators.latest import carry_forward
@@ -56,7 +57,7 @@ class _Tables(HTMLParser):
             self.cell.append(data)
 
 
-@pandas_udf("array<array<string>>")
+@pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
 def table_cells(html: pd.Series) -> pd.Series:
     def rows(text):
         p = _Tables()
@@ -104,7 +105,10 @@ class _Directory(HTMLParser):
             self.kind = None
 
 
-@pandas_udf("array<struct<pos:int,kind:string,label:string,href:string>>")
+_ITEM = T.StructType([T.StructField("pos", T.IntegerType()), *(T.StructField(c, T.StringType()) for c in ("kind", "label", "href"))])
+
+
+@pandas_udf(T.ArrayType(_ITEM))
 def directory_items(html: pd.Series) -> pd.Series:
     def items(text):
         p = _Directory()
@@ -153,7 +157,7 @@ def _ids(node, out):
     return out
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def resolve_graph(docs: pd.Series) -> pd.Series:
     """JSON with every {"$ref"} replaced by the object of that "$id"; cycles end in null."""
 
@@ -175,7 +179,7 @@ def checksum_of(volatile: tuple[str, ...] = ()):
             return {k: strip(v) for k, v in node.items() if k not in volatile}
         return [strip(x) for x in node] if isinstance(node, list) else node
 
-    @pandas_udf("string")
+    @pandas_udf(T.StringType())
     def canonical(docs: pd.Series) -> pd.Series:
         return docs.map(lambda t: None if t is None else hashlib.sha256(json.dumps(strip(json.loads(t)), sort_keys=True, separators=(",", ":")).encode()).hexdigest())
 
