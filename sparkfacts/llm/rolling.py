@@ -77,6 +77,19 @@ def buffers(batches, text: int, most: int = 1 << 20):
             yield batch.slice(at), [x.as_py() for x in batch.column(text).slice(at)]
 
 
+def tidy() -> None:
+    """Gives freed memory back at the end of a task; Python workers live on between tasks."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def bits_for(n: int) -> int:
     """Bits of a bitmap for n hashes: about 16 a hash, between 2^20 and 2^MOST_BITS."""
     return max(20, min(MOST_BITS, int(16 * max(1, n)).bit_length()))

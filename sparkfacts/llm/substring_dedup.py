@@ -130,6 +130,8 @@ def repeated_windows(docs: DataFrame, seen: DataFrame, width: int) -> DataFrame:
                 held, size = [], 0
         if held:
             yield _condensed(held)
+        held = None
+        R.tidy()
 
     def count(batches):
         got = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches if b.num_rows]

@@ -35,7 +35,7 @@ from .common import no_null_ids, null_ids_back, staged, table, texts
 LENGTH = 100
 TRIGGER = 32
 HOT = 20_000
-HELD = 1 << 15  # surroundings that a task holds to make them distinct
+HELD = 1 << 17  # surroundings that a task holds to make them distinct
 BUFFER = 1 << 18
 EMPTY = hashlib.sha256(b"").hexdigest()
 SENT = "to long, doc_id long, k long, p int, la int, ra int, around binary"
@@ -89,7 +89,7 @@ def triggers(buf: np.ndarray, start: np.ndarray, end: np.ndarray, length: int) -
     low = np.where(fits, _slide(h, wide, np.minimum), np.uint64(0))
     pad = np.zeros(wide - 1, np.uint64)
     at = np.flatnonzero(_slide(np.concatenate((pad, low, pad)), wide, np.maximum) == h)
-    return at, h[at]
+    return at, R.mix(h[at])  # least hashes crowd at the low end; mixed again they spread
 
 
 def _parsed(batches, judged, length: int):
@@ -222,6 +222,8 @@ def spans(docs: DataFrame, seen: DataFrame, length: int, hot_limit: int) -> Data
                 held, size = [], 0
         if held:
             yield from _distinct(held, hot, bits, length)
+        held = None
+        R.tidy()
 
     def settle(batches):
         got = []
@@ -255,6 +257,8 @@ def spans(docs: DataFrame, seen: DataFrame, length: int, hot_limit: int) -> Data
             _, high = np.nonzero(edge == -1)
             own = left[row]
             yield _out(d[own], k[own], p[own] - (high - 1), p[own] - low + length)
+        del to, d, k, p, la, ra, around, order, new, late
+        R.tidy()
 
     return source.mapInArrow(surround, SENT).repartition("to").mapInArrow(settle, "doc_id long, k long, b int, e int")
 
