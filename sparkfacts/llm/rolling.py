@@ -152,6 +152,44 @@ def bitmap_of(df: DataFrame, hashes, bits: int, twice: bool = False, hot: int =
     return _gather(df.mapInArrow(run, "s int, at binary"), bits, twice, hot)
 
 
+def repeated(df: DataFrame, hashes, n: int, hot: int) -> tuple[DataFrame, int]:
+    """(h long, often boolean) of the hashes that ``hashes(batches)`` yields twice or more, and how many top bits of a hash h has.
+
+    ``often``: more than ``hot`` times. n, about how many hashes there are, sets the number
+    of slices, each about 2^22 of them; 32 bits tell hashes of a slice apart, and those
+    that agree in all kept bits count as one. A task adds up what it meets before it sends.
+    """
+    width = max(8, (n >> 22).bit_length())
+
+    def sliced(held):
+        h, n = np.unique(np.concatenate(held), return_counts=True)
+        cut = np.flatnonzero(np.diff(h >> np.uint64(32))) + 1
+        for part, times in zip(np.split(h, cut), np.split(n, cut)):
+            yield pa.RecordBatch.from_arrays([pa.array([int(part[0] >> np.uint64(32))], pa.int32()), pa.array([part.astype("<u4").tobytes()], pa.binary()), pa.array([times.astype("<u4").tobytes()], pa.binary())], ["s", "at", "times"])
+
+    def run(batches):
+        held, size = [], 0
+        for h in hashes(batches):
+            held.append(h >> np.uint64(32 - width))
+            size += len(h)
+            if size > 1 << 22:
+                yield from sliced(held)
+                held, size = [], 0
+        if size:
+            yield from sliced(held)
+
+    def unite(key, batch):
+        at, times = (np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in batch.column(c)]) for c in (1, 2))
+        order = np.argsort(at)
+        at, times = at[order], times[order]
+        first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+        total = np.add.reduceat(times, first, dtype=np.int64)
+        more = total > 1
+        return pa.Table.from_arrays([pa.array((key[0].as_py() << 32) + at[first][more].astype(np.int64)), pa.array(total[more] > hot)], ["h", "often"])
+
+    return df.mapInArrow(run, "s int, at binary, times binary").groupBy("s").applyInArrow(unite, "h long, often boolean"), width + 32
+
+
 def column_hashes(batches):
     """Hashes held by the first column."""
     for b in batches:

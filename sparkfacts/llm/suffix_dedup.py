@@ -9,8 +9,9 @@ follows the trigger and by what goes before it (reversed), with their common pre
 Strings at distance a from their trigger are equal exactly where both orders agree, to
 LENGTH - a bytes after and a bytes before; the first in corpus order stays.
 
-A bitmap of a fixed size keeps triggers out that occur once; when it fills up, more rows
-are shuffled and the result stays the same. Surroundings are made distinct in each task
+Triggers are counted by hash first; a bitmap of at most a fixed size holds those met
+again and keeps the others out (when it fills up, more rows are shuffled and the result
+stays the same). Surroundings are made distinct in each task
 before they are dealt by trigger; for a trigger met more than HOT times each of its
 strings is dealt by its own hash. Texts that are equal byte for byte are parsed once.
 
@@ -33,7 +34,7 @@ from . import rolling as R
 from .common import no_null_ids, null_ids_back, staged, table, texts
 
 LENGTH = 100
-TRIGGER = 32
+TRIGGER = 48
 HOT = 20_000
 HELD = 1 << 17  # surroundings that a task holds to make them distinct
 BUFFER = 1 << 18
@@ -196,15 +197,16 @@ def spans(docs: DataFrame, seen: DataFrame, length: int, hot_limit: int) -> Data
     if not size.n:
         return docs.sparkSession.createDataFrame([], "doc_id long, k long, b int, e int")
     judged, source = sc.broadcast(R.column_bitmap(once, "doc_id", R.bits_for(size.n))), texts(docs)
-    bits = R.bits_for(size.bytes // 32)
-    repeated, hot = R.bitmap_of(source, lambda batches: (x[6] for x in _parsed(batches, judged.value, length)), bits, twice=True, hot=hot_limit)
-    sent = sc.broadcast((repeated, hot))
+    again, bits = R.repeated(source, lambda batches: (x[6] for x in _parsed(batches, judged.value, length)), 2 * size.bytes // (most + 2), hot_limit)
+    again = staged(again, "again")
+    hot = np.sort(np.array([r.h for r in again.filter("often").select("h").collect()], np.int64))  # at most triggers / hot_limit of them
+    sent = sc.broadcast((R.column_bitmap(again, "h", R.bits_for(again.count())), hot))
 
     def surround(batches):
         repeated, hot = sent.value
         held, size = [], 0
         for ids, raws, buf, start, end, at, h in _parsed(batches, judged.value, length):
-            use = R.member_once(repeated, h)
+            use = R.member(repeated, R.mix(h >> np.uint64(64 - bits)))
             at, h = at[use], h[use]
             if not len(at):
                 continue
