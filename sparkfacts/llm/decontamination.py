@@ -33,7 +33,7 @@ SHORTEST = 5
 UNITS = ("mm cm m km g kg mg lb lbs oz l ml s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks month months year years "
          "meter meters metre metres mile miles foot feet inch inches yard yards gram grams kilogram kilograms pound pounds ounce ounces liter liters litre litres "
          "dollar dollars euro euros cent cents usd eur percent degree degrees celsius fahrenheit kb mb gb tb hz khz mhz w kw v")
-CACHED_WORDS = 400_000
+CACHED_WORDS = 150_000
 
 _NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/-]*(%|°)?\Z")
 _QUANTITY = re.compile(r"[$€£]?\d[\d.,]*([^\W\d_]{1,4})\Z")

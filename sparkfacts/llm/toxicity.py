@@ -22,13 +22,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import held_out, table, texts
+from .rolling import tidy
 
 ORDERS = (3, 4, 5)
 BITS = 18
 FEATURES = 4096
 SAMPLE = 4000
 THRESHOLD = 0.7
-PIECE = 1 << 20
+PIECE = 1 << 19
 ALPHA = 1.0
 L2 = 1e-3
 STEPS = 300
@@ -68,16 +69,18 @@ def _hits(raws: list[bytes], kept: np.ndarray | None):
     return pairs >> BITS, pairs & ((1 << BITS) - 1)
 
 
-def _groups(batches, most_rows=512, most_bytes=4 << 20):
-    """Parts of batches whose second column (texts) stays near a size."""
+def _groups(batches, text=1, most_rows=512, most_bytes=1 << 20):
+    """Parts of batches whose texts (strings or bytes, null or not) stay near a size."""
     for batch in batches:
         at, size = 0, 0
         for i in range(batch.num_rows):
-            size += len(batch.column(1)[i].as_buffer())
+            x = batch.column(text)[i]
+            size += len(x.as_buffer()) if x.is_valid else 0
             if i + 1 - at >= most_rows or size >= most_bytes or i + 1 == batch.num_rows:
                 part = batch.slice(at, i + 1 - at)
-                yield part, [x.as_py() for x in part.column(1)]
+                yield part, [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in part.column(text)]
                 at, size = i + 1, 0
+    tidy()
 
 
 def _logistic(rows: np.ndarray, cols: np.ndarray, x: np.ndarray, y: np.ndarray, weight: np.ndarray, width: int) -> tuple[np.ndarray, float]:
@@ -183,14 +186,9 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
 
     def run(batches):
         weights, kept, bias = sent.value
-        for batch in batches:
-            raws = [(x.as_py() or "").encode() for x in batch.column(text)]
-            below = []
-            for at in range(0, len(raws), 256):
-                part = raws[at : at + 256]
-                doc, h = _hits(part, kept)
-                below.append(bias + np.bincount(doc, weights[h], len(part)) < limit)
-            yield batch.filter(pa.array(np.concatenate(below))) if raws else batch
+        for part, raws in _groups(batches, text):
+            doc, h = _hits(raws, kept)
+            yield part.filter(pa.array(bias + np.bincount(doc, weights[h], len(raws)) < limit))
 
     return docs.mapInArrow(run, docs.schema)
 
