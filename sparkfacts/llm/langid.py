@@ -29,6 +29,7 @@ from .common import held_out, table, texts
 
 ORDER = 4
 SAMPLE = 500
+SALTS = 64
 MIN_COUNT = 2
 PIECE = 1 << 19
 PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -158,8 +159,10 @@ class Model:
 def train(docs: DataFrame, sample: int = SAMPLE, min_count: int = MIN_COUNT) -> Model | None:
     """Counts the trees of every language outside the held-out third; None without any."""
     ids = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select(F.col("doc_id").cast("long").alias("doc_id"), "lang").distinct()
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    drawn = ids.withColumn("nth", nth).filter(F.col("nth") <= sample).select("doc_id", "lang")
+    # the first of each language in hash order; those of SALTS shares come first, so that no task ranks a language whole
+    h, drawn = F.xxhash64("doc_id"), ids
+    for share in (["lang", F.pmod(h, F.lit(SALTS))], ["lang"]):
+        drawn = drawn.withColumn("nth", F.row_number().over(Window.partitionBy(*share).orderBy(h, "doc_id"))).filter(F.col("nth") <= sample).select("doc_id", "lang")
     langs = sorted(r.lang for r in drawn.select("lang").distinct().collect())
     if not langs:
         return None
