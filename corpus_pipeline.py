@@ -20,8 +20,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity 0.8) the smallest doc_id stays."""
-    found = staged(simhash.near_duplicates(docs, simhash.SIMILAR).select("doc_id", "component_id"), "groups")
+    """Of each group of near copies (distinct five-word shingles, Jaccard index 0.8 or more) the smallest doc_id stays."""
+    found = staged(simhash.similar(docs), "groups")
     gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
     twice = found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
     once = docs.join(gone.unionByName(twice), "doc_id", "left_anti")

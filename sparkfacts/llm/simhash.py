@@ -12,6 +12,10 @@ A block value with more than HOT fingerprints is dealt to pairs of salts, so tha
 gets more than about 2 * HOT / SALTED of one; copies of a text are one fingerprint and
 never form pairs.
 
+``similar`` asks for similarity itself: fingerprints of distinct shingles only nominate
+pairs, each once; a pair is a link if the exact Jaccard index of its two sets of shingles
+is LEAST or more.
+
 Defined cases: null and empty texts have fingerprint zero, linked like any other; fewer
 words than a shingle count as one; repeated rows share a component; null doc_ids pass
 through with a null component; other columns are ignored.
@@ -38,7 +42,8 @@ LEAVES = 8  # node pairs of at most so many leaves each side are compared leaf b
 @dataclass(frozen=True)
 class Plan:
     """words: 64-bit words of a fingerprint, cut into ``tables`` of ``bits`` bits, each joined
-    within ``radius``; a found pair is a link if all words differ in ``most`` bits at most."""
+    within ``radius``; a found pair is a link if all words differ in ``most`` bits at most,
+    and a candidate of ``similar`` if they do in ``screen``. ``once``: repeated shingles count once."""
 
     shingle: int = 3
     words: int = 1
@@ -46,12 +51,18 @@ class Plan:
     bits: int = 64
     radius: int = 3
     most: int = 3
+    once: bool = False
+    screen: int = 3
 
 
 EXACT = Plan()
 #: Five-word shingles at a similarity of 0.8: cosine 2s/(1+s) of equal sets, an angle of 0.15 pi, 78 of 512 bits expected,
-#: with a deviation of 8. ``most`` lies above by more than one, so that few pairs at 0.8 are missed.
-SIMILAR = Plan(shingle=5, words=8, tables=12, bits=40, radius=4, most=88)
+#: with a deviation of 8. ``most`` lies above by more than one, ``screen`` by four, so that few pairs at 0.8 are missed.
+SIMILAR = Plan(shingle=5, words=8, tables=12, bits=40, radius=4, most=88, once=True, screen=112)
+#: Least Jaccard index of a link of ``similar``, as a fraction of whole numbers.
+LEAST = (4, 5)
+#: Candidates are compared all at once if they are at most DENSE a node, or after ROUNDS rounds of each node's nearest.
+DENSE, ROUNDS = 8, 4
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -62,15 +73,25 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def fingerprint(raw: bytes, shingle: int = 3, words: int = 1) -> list[int]:
-    """Unsigned 64-bit words; bit i is set if it is in over half of the shingles' hashes."""
+def shingles(raw: bytes, shingle: int = 3, once: bool = False) -> np.ndarray:
+    """Hashes of a text's shingles, in order of the text or, ``once``, each once and sorted."""
     import xxhash
 
     w = raw.lower().split()
-    if not w:
-        return [0] * words
-    digest, n = xxhash.xxh64_intdigest, max(1, len(w) - shingle + 1)
+    digest, n = xxhash.xxh64_intdigest, max(1, len(w) - shingle + 1) if w else 0
     h = np.fromiter((digest(b" ".join(w[i : i + shingle]), SEED) for i in range(n)), np.uint64, n)
+    return np.unique(h) if once else h
+
+
+def fingerprint(raw: bytes, shingle: int = 3, words: int = 1, once: bool = False) -> list[int]:
+    """Unsigned 64-bit words; bit i is set if it is in over half of the shingles' hashes."""
+    return majority(shingles(raw, shingle, once), words)
+
+
+def majority(h: np.ndarray, words: int) -> list[int]:
+    n = len(h)
+    if not n:
+        return [0] * words
     out = []
     for k in range(words):
         ones = np.zeros(64, np.int64)
@@ -89,7 +110,7 @@ def fingerprints(docs: DataFrame, plan: Plan = EXACT) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                fp = [np.array(fingerprint(x.as_py(), plan.shingle, plan.words), ">u8").tobytes() for x in part.column(1)]
+                fp = [np.array(fingerprint(x.as_py(), plan.shingle, plan.words, plan.once), ">u8").tobytes() for x in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp, pa.binary())], ["doc_id", "fp"])
 
     return texts(docs).mapInArrow(run, "doc_id long, fp binary")
@@ -135,7 +156,16 @@ class Forest:
 
 
 def trie_join(turned: np.ndarray, roots: np.ndarray, fixed: int, bits: int, radius: int, check, forest: Forest, sides: np.ndarray | None = None) -> None:
-    """Unites all leaves of one root that differ in at most ``radius`` bits and pass ``check``.
+    """Unites all leaves of one root that differ in at most ``radius`` bits and pass ``check``."""
+    for a, b in trie_pairs(turned, roots, fixed, bits, radius, sides):
+        apart = forest.root[a] != forest.root[b]
+        a, b = a[apart], b[apart]
+        ok = check(a, b)
+        forest.add(a[ok], b[ok])
+
+
+def trie_pairs(turned: np.ndarray, roots: np.ndarray, fixed: int, bits: int, radius: int, sides: np.ndarray | None = None):
+    """Arrays (a, b) of all pairs of leaves of one root that differ in at most ``radius`` bits, each pair once.
 
     Leaves are sorted by (roots, turned), where ``fixed`` top bits agree within a root. Nodes
     are ranges of leaves; a pair (node, node) stands for all leaf pairs between them. With
@@ -165,11 +195,7 @@ def trie_join(turned: np.ndarray, roots: np.ndarray, fixed: int, bits: int, radi
                 fit &= (sides[a] == 2) | (sides[a] != sides[b])
             a, b = a[fit], b[fit]
             near = np.bitwise_count(turned[a] ^ turned[b]) <= radius
-            a, b = a[near], b[near]
-            apart = forest.root[a] != forest.root[b]
-            a, b = a[apart], b[apart]
-            ok = check(a, b)
-            forest.add(a[ok], b[ok])
+            yield a[near], b[near]
             first = last
 
     while stack:
@@ -180,7 +206,7 @@ def trie_join(turned: np.ndarray, roots: np.ndarray, fixed: int, bits: int, radi
             continue
         small = (depth >= bits) | ((a1 - a0 <= LEAVES) & (b1 - b0 <= LEAVES))
         if small.any():
-            compare(a0[small], a1[small], b0[small], b1[small])
+            yield from compare(a0[small], a1[small], b0[small], b1[small])
             a0, a1, b0, b1, d = (x[~small] for x in (a0, a1, b0, b1, d))
         if not len(a0):
             continue
@@ -196,16 +222,22 @@ def trie_join(turned: np.ndarray, roots: np.ndarray, fixed: int, bits: int, radi
         stack.append((depth + 1, *(x[live] for x in nxt)))
 
 
+def _dealt_rows(batches, words: int):
+    """key, side, id and fingerprint arrays of one partition, or None where it has no rows."""
+    got = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(), np.frombuffer(b"".join(b.column(3).to_pylist()), ">u8")) for b in batches if b.num_rows]
+    if got:
+        return *(np.concatenate(x) for x in list(zip(*got))[:3]), np.concatenate([g[3] for g in got]).astype(np.uint64).reshape(-1, words)
+
+
 def _join(plan: Plan):
     """Links of one partition of (key, side, doc_id, fp) rows, as a spanning forest."""
     blocks = _blocks(plan)
 
     def run(batches):
-        got = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(), np.frombuffer(b"".join(b.column(3).to_pylist()), ">u8")) for b in batches if b.num_rows]
-        if not got:
+        rows = _dealt_rows(batches, plan.words)
+        if not rows:
             return
-        key, side, ids = (np.concatenate(x) for x in list(zip(*got))[:3])
-        fp = np.concatenate([g[3] for g in got]).astype(np.uint64).reshape(-1, plan.words)
+        key, side, ids, fp = rows
         doc, node = np.unique(ids, return_inverse=True)
         forest = Forest(len(doc))
         for t in range(plan.tables):
@@ -231,6 +263,43 @@ def _join(plan: Plan):
     return run
 
 
+def _pairs(plan: Plan):
+    """All candidate pairs of one partition of (key, side, id, fp) rows, with the bits they differ in.
+
+    A pair that meets under several keys comes out under the first only.
+    """
+    blocks = _blocks(plan)
+
+    def run(batches):
+        rows = _dealt_rows(batches, plan.words)
+        if not rows:
+            return
+        key, side, ids, fp = rows
+        for t in range(plan.tables):
+            for n, (first, width) in enumerate(blocks):
+                mine = np.flatnonzero(key // (1 << 40) == t * len(blocks) + n)
+                if len(mine) < 2:
+                    continue
+                turned = _turned(fp[mine], t, first, plan.bits)
+                order = np.lexsort((turned, key[mine]))
+                mine, turned = mine[order], turned[order]
+                for a, b in trie_pairs(turned, key[mine], width, plan.bits, plan.radius, side[mine]):
+                    a, b = mine[a], mine[b]
+                    apart = fp[a] ^ fp[b]
+                    d = np.bitwise_count(apart).sum(axis=1, dtype=np.int32)
+                    ok = d <= plan.screen
+                    for u in range(t):
+                        ok &= np.bitwise_count(_turned(apart, u, 0, plan.bits)) > plan.radius
+                    own = _turned(apart, t, 0, plan.bits)
+                    for at, wide in blocks[:n]:
+                        ok &= (own << np.uint64(at)) >> np.uint64(64 - wide) != 0
+                    a, b, d = ids[a[ok]], ids[b[ok]], d[ok]
+                    if len(a):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(d)], ["a", "b", "d"])
+
+    return run
+
+
 def _first_of(labels: np.ndarray) -> np.ndarray:
     """For each place the first place with its label."""
     _, first, inverse = np.unique(labels, return_index=True, return_inverse=True)
@@ -238,7 +307,17 @@ def _first_of(labels: np.ndarray) -> np.ndarray:
 
 
 def links(distinct: DataFrame, plan: Plan) -> DataFrame:
-    """Edges (a, b) between the doc_ids of distinct fingerprints (rep, fp), spanning all links.
+    """Edges (a, b) between the doc_ids of distinct fingerprints (rep, fp), spanning all links."""
+    return _dealt(distinct, plan).mapInArrow(_join(plan), "a long, b long")
+
+
+def candidates(distinct: DataFrame, plan: Plan) -> DataFrame:
+    """(a, b, d): all pairs of (rep, fp) rows that a table joins and ``screen`` lets through."""
+    return _dealt(distinct, plan).mapInArrow(_pairs(plan), "a long, b long, d int")
+
+
+def _dealt(distinct: DataFrame, plan: Plan) -> DataFrame:
+    """(key, side, id, fp): each row under each of its blocks, dealt by key.
 
     Bits 40 and up of a key name the table and block, those below the block's value and,
     for hot ones, the pair of salts.
@@ -267,7 +346,7 @@ def links(distinct: DataFrame, plan: Plan) -> DataFrame:
         dealt = dealt.withColumn("s", s).select("*", pair.alias("t")).select(
             F.when(F.col("t") < 0, F.col("key")).otherwise(F.col("key") + F.least("s", "t") * 1024 + F.greatest("s", "t")).alias("key"),
             F.when((F.col("t") < 0) | (F.col("s") == F.col("t")), F.lit(2)).otherwise((F.col("s") > F.col("t")).cast("int")).cast("byte").alias("side"), "id", "fp")
-    return dealt.repartition("key").select("key", "side", "id", "fp").mapInArrow(_join(plan), "a long, b long")
+    return dealt.repartition("key").select("key", "side", "id", "fp")
 
 
 def near_duplicates(docs: DataFrame, plan: Plan = EXACT) -> DataFrame:
@@ -279,6 +358,91 @@ def near_duplicates(docs: DataFrame, plan: Plan = EXACT) -> DataFrame:
     return marked.join(named, "fp", "left").select("doc_id", "fp", F.expr("if(doc_id is null, null, component_id)").alias("component_id"))
 
 
+def _marks(docs: DataFrame, plan: Plan) -> DataFrame:
+    """(doc_id, k, fp, node): k is a hash of the text, node one of its set of shingles."""
+
+    def run(batches):
+        import xxhash
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                fp, node = [], []
+                for x in part.column(2):
+                    h = shingles(x.as_py(), plan.shingle, True)
+                    fp.append(np.array(majority(h, plan.words), ">u8").tobytes())
+                    node.append(xxhash.xxh3_64_intdigest(h.tobytes()) - (1 << 63))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fp, pa.binary()), pa.array(node, pa.int64())], ["doc_id", "k", "fp", "node"])
+
+    return _keyed(docs).mapInArrow(run, "doc_id long, k long, fp binary, node long")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return texts(docs).select("doc_id", F.xxhash64("text").alias("k"), "text")
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, plan: Plan) -> DataFrame:
+    """(node, set array): the distinct shingles of the nodes ``wanted`` (node, doc_id, k)."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                held = [shingles(x.as_py(), plan.shingle, True).astype(np.int64) for x in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(held, pa.list_(pa.int64()))], ["node", "set"])
+
+    return _keyed(docs).join(wanted, ["doc_id", "k"]).select("node", "text").mapInArrow(run, "node long, set array<long>").dropDuplicates(["node"])
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets have a Jaccard index of LEAST or more, counted exactly."""
+    one = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a")
+    both = one.join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
+    # sizes alone refuse most pairs of unlike lengths
+    both = both.filter(F.least(F.size("sa"), F.size("sb")) * LEAST[1] >= F.greatest(F.size("sa"), F.size("sb")) * LEAST[0])
+    n = F.size(F.array_intersect("sa", "sb"))
+    return both.filter(n * LEAST[1] >= (F.size("sa") + F.size("sb") - n) * LEAST[0]).select("a", "b")
+
+
+def exact_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Verified pairs with the same components as all verified pairs of ``pairs`` (a, b, d) have.
+
+    A dense set of candidates is thinned first: each node's nearest candidate is compared,
+    and pairs inside a component found so are links or not, which changes nothing.
+    """
+    found = None
+    for _ in range(ROUNDS):
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+        if pairs.count() <= DENSE * ends.distinct().count():
+            break
+        both = pairs.select(F.col("a").alias("node"), "a", "b", "d").unionByName(pairs.select(F.col("b").alias("node"), "a", "b", "d"))
+        near = both.groupBy("node").agg(F.min(F.struct("d", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
+        near = staged(near, "nearest")
+        ok = staged(verified(near, sets), "verified")
+        found = ok if found is None else found.unionByName(ok)
+        comp = staged(components(found), "known")
+        left = pairs.join(near, ["a", "b"], "left_anti")
+        for end in ("a", "b"):
+            left = left.join(comp.select(F.col("node").alias(end), F.col("component").alias("c" + end)), end, "left")
+        pairs = staged(left.filter("not coalesce(ca = cb, false)").select("a", "b", "d"), "candidates")
+    rest = verified(pairs.select("a", "b"), sets)
+    return rest if found is None else found.unionByName(rest)
+
+
+def similar(docs: DataFrame, plan: Plan = SIMILAR) -> DataFrame:
+    """(doc_id, component_id): component_id is the smallest doc_id reachable over pairs that are LEAST alike or more."""
+    marked = staged(_marks(docs, plan), "marks")
+    held = marked.filter("doc_id is not null").groupBy("node").agg(F.min(F.struct("doc_id", "k")).alias("row"), F.first("fp").alias("fp"))
+    distinct = staged(held.select(F.col("node").alias("rep"), "fp", "row.doc_id", "row.k"), "distinct")
+    pairs = staged(candidates(distinct, plan), "candidates")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    sets = staged(_sets(docs, distinct.join(ends, "rep").select(F.col("rep").alias("node"), "doc_id", "k"), plan), "sets")
+    comp = components(exact_links(pairs, sets))
+    named = staged(marked.join(comp, "node", "left").select("doc_id", F.coalesce("component", "node").alias("c")), "named")
+    first = named.groupBy("c").agg(F.min("doc_id").alias("component_id"))
+    return named.join(first, "c").select("doc_id", F.expr("if(doc_id is null, null, component_id)").alias("component_id"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")

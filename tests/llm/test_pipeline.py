@@ -51,3 +51,31 @@ def test_empty_documents(spark, folder, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_near_copies_are_as_like_as_they_count(spark, monkeypatch):
+    """Repeated lines weigh once, and links are what the exact index of distinct shingles says."""
+    from sparkfacts.llm import simhash
+
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(4000)]
+    text = lambda n=100: " ".join(rng.choice(words, n))
+    line = text(12)
+    rows = [(i, text() + (" " + line) * 20) for i in (1, 2)]  # little alike but for one line
+    own = text(150)
+    rows += [(10, own), (11, own + (" " + line) * 20)]  # alike but for one line, 20 times
+    base = text(200).split()
+    rows += [(20 + k, " ".join("new" + str(k) if j in rng.choice(200, k % 7, replace=False) else w for j, w in enumerate(base))) for k in range(40)]
+    rows += [(80, None), (81, ""), (None, own)]
+    kinds = lambda t: set(zip(*((t or "").split()[i:] for i in range(5)))) or {t or ""}
+    sets = {i: kinds(t) for i, t in rows if i is not None}
+    low = {i: i for i in sets}
+    for _ in sets:
+        for i in sets:
+            low[i] = min(low[j] for j in sets if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], COLUMNS)
+    assert low[2] == 2 and low[11] == 10 and low[81] == 80
+    for dense in (8, 0):
+        monkeypatch.setattr(simhash, "DENSE", dense)
+        kept = sorted(r.doc_id for r in pipeline.drop_near_copies(spark, docs, "").collect() if r.doc_id is not None)
+        assert kept == sorted(set(low.values()))
