@@ -5,10 +5,12 @@ a number become typed placeholders. Windows of WINDOW template words of the benc
 of the documents are joined by hash. A pair counts if its slots are consistent: wherever
 two slots of the item hold one value, those of the document do too, and the other way
 round. So a question with other numbers or names is caught, one with slots mixed up isn't.
+Beside them, the same windows of plain lower-cased words are joined by hash, so that a
+verbatim copy is caught whatever its letter case makes of its names.
 
 A bitmap of a fixed size drops document windows that no item can have before the join;
 for each window one item, the smallest, stands for all that share it, so the join never
-makes more rows than there are document windows.
+makes more rows than there are document windows, of templates and of plain words.
 
 Defined cases: null and empty texts have no windows and are clean; items shorter than a
 window are one window if they have SHORTEST template words; windows with fewer literal
@@ -74,19 +76,33 @@ class Tokens(dict):
         return out
 
 
-_tokens = Tokens()
+class Plain(dict):
+    """Hash of each word without case and outer punctuation."""
 
+    def __missing__(self, word: bytes) -> int:
+        out = _hash(core(word).lower())
+        if len(self) < CACHED_WORDS and len(word) < 64:
+            self[word] = out
+        return out
+
+
+_tokens, _plain = Tokens(), Plain()
+_VERBATIM = np.uint64(_hash("<verbatim>"))  # keeps hashes of plain windows apart from those of templates
 
-def template(raw: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """Template hashes, the words they stand for (by index), and all words."""
+
+def template(raw: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+    """Template hashes, the words they stand for (by index), all words, and hashes of the plain words."""
     words = raw.split()
     t = np.fromiter(map(_tokens.__getitem__, words), np.uint64, len(words))
     at = np.flatnonzero(t)
     t = t[at]
+    plain = t.copy()
+    filled = np.flatnonzero((t == np.uint64(NUM)) | (t == np.uint64(NAME)))
+    plain[filled] = np.fromiter((_plain[words[i]] for i in at[filled]), np.uint64, len(filled))
     if len(t) > 1:
         after = np.flatnonzero((t[:-1] == np.uint64(NUM)) & np.isin(t[1:], _UNIT_HASHES)) + 1
         t[after] = np.uint64(UNIT)
-    return t, at, words
+    return t, at, words, plain
 
 
 def slots(t: np.ndarray, at: np.ndarray, words: list[bytes], start: int, width: int) -> int:
@@ -97,29 +113,39 @@ def slots(t: np.ndarray, at: np.ndarray, words: list[bytes], start: int, width:
     return _hash(repr([seen.setdefault((x, core(words[i]).lower()), len(seen)) for x, i in zip(own, at[start : start + width]) if x in kinds])) - (1 << 63)
 
 
-def _windows(t: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+def _starts(stop: np.ndarray, width: int) -> np.ndarray:
+    """Starts of the windows that end in their text, whose end ``stop`` gives for each word."""
+    start = np.arange(max(0, len(stop) - width + 1))
+    return start[start + width <= stop[start]]
+
+
+def _windows(t: np.ndarray, start: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts and hashes of windows with enough literal words."""
-    start = np.arange(max(0, len(t) - width + 1))
-    if not len(start):
-        return start, np.zeros(0, np.uint64)
     literal = np.concatenate(([0], np.cumsum(~np.isin(t, _SLOTS))))
     start = start[2 * (literal[start + width] - literal[start]) >= width]
     return start, R.window(R.sums(t), start, start + width)
 
 
+def _verbatim(plain: np.ndarray, start: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of windows of plain words."""
+    return R.mix(R.window(R.sums(plain), start, start + width) ^ _VERBATIM)
+
+
 def item_windows(benchmark: DataFrame, width: int) -> DataFrame:
-    """(h, slots, width, item_id): windows of all items."""
+    """(h, slots, width, item_id): windows of all items, those of plain words with slots 0."""
 
     def run(batches):
         for batch in batches:
             rows = []
             for i, x in zip(batch.column(0).to_pylist(), batch.column(1)):
-                t, at, words = template(x.as_py())
+                t, at, words, plain = template(x.as_py())
                 w = min(width, len(t))
                 if w < SHORTEST:
                     continue
-                for s, h in zip(*_windows(t, w)):
+                start, hs = _windows(t, _starts(np.full(len(t), len(t)), w), w)
+                for s, h in zip(start, hs):
                     rows.append((int(h.astype(np.int64)), slots(t, at, words, int(s), w), w, i))
+                rows += [(int(h), 0, w, i) for h in _verbatim(plain, start, w).astype(np.int64)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.int64()))], ["h", "slots", "width", "item_id"])
 
@@ -138,13 +164,22 @@ def hits(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFram
 
     def probe(batches):
         for part, raws in R.buffers(batches, 1):
+            ids, read = part.column(0).to_pylist(), [template(raw) for raw in raws]
+            size = np.array([len(x[0]) for x in read])
+            ends = np.cumsum(size)
+            row, stop = np.repeat(np.arange(len(size)), size), np.repeat(ends, size)
+            t, plain = np.concatenate([x[0] for x in read]), np.concatenate([x[3] for x in read])
             rows = []
-            for d, raw in zip(part.column(0).to_pylist(), raws):
-                t, at, words = template(raw)
-                for w in widths:
-                    start, h = _windows(t, w)
-                    near = np.flatnonzero(R.member(index.value, h))
-                    rows += [(d, int(x), int(y), slots(t, at, words, int(x), w)) for x, y in zip(start[near], h[near].astype(np.int64))]
+            for w in widths:
+                every = _starts(stop, w)
+                start, h = _windows(t, every, w)
+                near = np.flatnonzero(R.member(index.value, h))
+                for x, y in zip(start[near], h[near].astype(np.int64)):
+                    own, p = read[row[x]], int(x - ends[row[x]] + size[row[x]])
+                    rows.append((ids[row[x]], p, int(y), slots(*own[:3], p, w)))
+                h = _verbatim(plain, every, w)
+                near = np.flatnonzero(R.member(index.value, h))
+                rows += [(ids[r], int(p), int(y), 0) for r, p, y in zip(row[every[near]], every[near] - (ends - size)[row[every[near]]], h[near].astype(np.int64))]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64()))], ["doc_id", "p", "h", "own"])
 

@@ -454,6 +454,14 @@ def test_decontamination(spark):
     assert 0 < whole[3] < whole[2]
 
 
+def test_decontamination_ignores_case(spark):
+    bench = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    rows = [(1, "Well " + ITEM.upper() + " OK"), (2, ITEM.lower()), (3, ITEM.title()), (8, ITEM.upper()), (9, ITEM.upper().replace("APPLES", "PEARS"))]
+    got = {r.doc_id: (r.contaminated, r.item_id, r.n_windows) for r in decontamination.judge(frame(spark, rows), bench).collect()}
+    assert all(got[i][:2] == (1, 1) for i in (1, 2, 3, 8))
+    assert got[8][2] == len(ITEM.split()) - 9 and got[9][2] < got[8][2]
+
+
 def test_decontamination_empty(spark, awkward, empty):
     none = spark.createDataFrame([], "item_id long, text string")
     assert all(r.contaminated == 0 for r in decontamination.judge(awkward, none).collect())
