@@ -13,8 +13,8 @@ for each window one item, the smallest, stands for all that share it, so the joi
 makes more rows than there are document windows, of templates and of plain words.
 
 Defined cases: null and empty texts have no windows and are clean; items shorter than a
-window are one window if they have SHORTEST template words; windows with fewer literal
-words than half aren't used; repeated rows are judged alike; an empty benchmark leaves
+window are one window if they have SHORTEST template words, shorter ones aren't used;
+windows with fewer literal words than half are matched by their plain words only; repeated rows are judged alike; an empty benchmark leaves
 every document clean; other columns are ignored.
 """
 
@@ -142,10 +142,10 @@ def item_windows(benchmark: DataFrame, width: int) -> DataFrame:
                 w = min(width, len(t))
                 if w < SHORTEST:
                     continue
-                start, hs = _windows(t, _starts(np.full(len(t), len(t)), w), w)
-                for s, h in zip(start, hs):
+                every = _starts(np.full(len(t), len(t)), w)
+                for s, h in zip(*_windows(t, every, w)):
                     rows.append((int(h.astype(np.int64)), slots(t, at, words, int(s), w), w, i))
-                rows += [(int(h), 0, w, i) for h in _verbatim(plain, start, w).astype(np.int64)]
+                rows += [(int(h), 0, w, i) for h in _verbatim(plain, every, w).astype(np.int64)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.int64()))], ["h", "slots", "width", "item_id"])
 

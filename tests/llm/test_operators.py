@@ -462,6 +462,15 @@ def test_decontamination_ignores_case(spark):
     assert got[8][2] == len(ITEM.split()) - 9 and got[9][2] < got[8][2]
 
 
+def test_decontamination_of_windows_without_literals(spark):
+    table, titles, short = "3 + 4 = 7 5 + 6 = 11 8 + 9 = 17 2 + 2 = 4 12 , 13", "The Old Man And The Sea Was Written By Ernest Hemingway In Cuba", "7 km 8 km 9"
+    bench = spark.createDataFrame([(1, table), (2, titles), (3, short)], "item_id long, text string")
+    other = table.replace("17", "18").replace("7", "6").replace("6", "5")
+    rows = [(1, "well " + table + " ok"), (2, "so " + titles + "."), (3, titles.lower()), (4, "it is " + short + " away"), (5, other), (6, "7 km 8 km 10")]
+    got = {r.doc_id: r.item_id for r in decontamination.judge(frame(spark, rows), bench).collect()}
+    assert got == {1: 1, 2: 2, 3: 2, 4: 3, 5: None, 6: None}
+
+
 def test_decontamination_empty(spark, awkward, empty):
     none = spark.createDataFrame([], "item_id long, text string")
     assert all(r.contaminated == 0 for r in decontamination.judge(awkward, none).collect())
