@@ -217,6 +217,36 @@ def ambiguous_links(spark, d):
     return found.withColumn("orgs", F.array_join(F.col("orgs").cast("array<string>"), ","))
 
 
+_ALL_LINKS = """WITH links AS (
+  SELECT DISTINCT p_brand || '/' || p_partkey AS club, s_nationkey AS org FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey
+  UNION SELECT DISTINCT p_brand || '/' || p_partkey, CAST(p_size % 25 AS INT) FROM part WHERE p_type = 'ECONOMY')
+"""
+
+
+def _all_links(spark, d):
+    """Both link rules over all rows; ``_links`` is the slice of them that its SQL names."""
+    part = table(spark, d, "part")
+    native = table(spark, d, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    named = part.filter("p_type = 'ECONOMY'").selectExpr("concat(p_brand, '/', p_partkey) AS club", "cast(p_size % 25 AS int) AS org")
+    return links.link_candidates(native.selectExpr("concat(p_brand, '/', p_partkey) AS club", "s_nationkey AS org"), named)
+
+
+@query(_ALL_LINKS + "SELECT club, org FROM links")
+def union_links_all(spark, d):
+    return _all_links(spark, d)
+
+
+@query(_ALL_LINKS + "SELECT club, min(org) AS org FROM links GROUP BY club HAVING count(DISTINCT org) = 1")
+def unambiguous_links_all(spark, d):
+    return links.unambiguous(_all_links(spark, d), "club", "org")
+
+
+@query(_ALL_LINKS + "SELECT club, count(DISTINCT org) AS n_orgs, array_to_string(list_sort(list(DISTINCT org)), ',') AS orgs FROM links GROUP BY club HAVING count(DISTINCT org) > 1")
+def ambiguous_links_all(spark, d):
+    found = links.ambiguous(_all_links(spark, d), "club", "org")
+    return found.withColumn("orgs", F.array_join(F.col("orgs").cast("array<string>"), ","))
+
+
 @query("""SELECT s_suppkey, count(DISTINCT (l_orderkey, l_returnflag)) FILTER (WHERE l_returnflag <> 'N') AS n FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY s_suppkey""")
 def usage_count_distinct(spark, d):
     used = table(spark, d, "lineitem").filter("l_returnflag <> 'N'").groupBy("l_suppkey").agg(F.countDistinct(F.struct("l_orderkey", "l_returnflag")).alias("n"))
@@ -391,9 +421,24 @@ SELECT p_partkey, CASE WHEN regexp_matches(t, 'masters') AND regexp_matches(t, '
   CASE WHEN mapping_key IS NOT NULL THEN CASE p_partkey % 4 WHEN 0 THEN 'men' WHEN 1 THEN 'women' ELSE 'mixed' END END AS gender
 FROM e WHERE p_partkey % 4 < 3""")
 def event_rules(spark, d):
+    return _classified(spark, d).filter("p_partkey % 4 < 3").select("p_partkey", "mapping_key", "boat_class", "age_bracket", "gender")
+
+
+def _classified(spark, d):
     events = table(spark, d, "part").select("p_partkey", F.expr(_EVENT).alias("name"))
-    found = rules.classify(events, event_code=F.lit(None).cast("string"), name=F.col("name"), boat_raw=F.lit(None).cast("string"), age_raw=F.lit(None).cast("string"), gender_raw=F.lit(None).cast("string"))
-    return found.filter("p_partkey % 4 < 3").select("p_partkey", "mapping_key", "boat_class", "age_bracket", "gender")
+    return rules.classify(events, event_code=F.lit(None).cast("string"), name=F.col("name"), boat_raw=F.lit(None).cast("string"), age_raw=F.lit(None).cast("string"), gender_raw=F.lit(None).cast("string"))
+
+
+@query(f"""WITH e AS (SELECT p_partkey, lower({_EVENT}) AS t FROM part)
+SELECT p_partkey, CASE WHEN p_partkey % 4 = 3 THEN NULL WHEN regexp_matches(t, 'masters') AND regexp_matches(t, '\\(c\\)') THEN 'masters_exact_letter' WHEN regexp_matches(t, 'masters') THEN 'masters_unspecified' WHEN regexp_matches(t, 'u17') THEN 'u17'
+  WHEN regexp_matches(t, 'youth') THEN 'youth' WHEN regexp_matches(t, 'lightweight') THEN 'collegiate_modifiers' WHEN regexp_matches(t, 'open') THEN 'open' END AS mapping_key,
+  CASE WHEN mapping_key IS NOT NULL THEN regexp_extract(t, '(8\\+|2x|4-)', 1) END AS boat_class,
+  CASE mapping_key WHEN 'masters_exact_letter' THEN 'masters_c' WHEN 'masters_unspecified' THEN 'masters_unspecified' WHEN 'u17' THEN 'u17' WHEN 'youth' THEN 'u19_youth' WHEN 'collegiate_modifiers' THEN 'collegiate' WHEN 'open' THEN 'open' END AS age_bracket,
+  CASE WHEN mapping_key IS NOT NULL THEN CASE p_partkey % 4 WHEN 0 THEN 'men' WHEN 1 THEN 'women' ELSE 'mixed' END END AS gender
+FROM e""")
+def event_rules_all(spark, d):
+    """All events; those without a word for a gender get nulls."""
+    return _classified(spark, d).select("p_partkey", "mapping_key", "boat_class", "age_bracket", "gender")
 
 
 @query("""WITH m AS (SELECT p_type, p_name, p_size % 3 = 0 AS mapped FROM part)
