@@ -13,9 +13,11 @@ for each window one item, the smallest, stands for all that share it, so the joi
 makes more rows than there are document windows, of templates and of plain words.
 
 Defined cases: null and empty texts have no windows and are clean; items shorter than a
-window are one window if they have SHORTEST template words, shorter ones aren't used;
-windows with fewer literal words than half are matched by their plain words only; repeated rows are judged alike; an empty benchmark leaves
-every document clean; other columns are ignored.
+window are one window, of SHORTEST or more words a template, of PLAIN or more words plain
+words only, and one or two words are no evidence; windows with fewer literal words than
+half are matched by their plain words only; rows are judged each for itself, whether ids
+repeat or are null, and equal rows alike; an empty benchmark leaves every document clean;
+other columns are ignored by ``judge`` and kept by ``keep_clean``.
 """
 
 from __future__ import annotations
@@ -28,10 +30,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import rolling as R
-from .common import no_null_ids, null_ids_back, staged, table, texts
+from .common import as_rows, no_null_ids, null_ids_back, staged, table, text_key, texts
 
 WINDOW = 10
 SHORTEST = 5
+PLAIN = 3
 UNITS = ("mm cm m km g kg mg lb lbs oz l ml s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks month months year years "
          "meter meters metre metres mile miles foot feet inch inches yard yards gram grams kilogram kilograms pound pounds ounce ounces liter liters litre litres "
          "dollar dollars euro euros cent cents usd eur percent degree degrees celsius fahrenheit kb mb gb tb hz khz mhz w kw v")
@@ -140,10 +143,10 @@ def item_windows(benchmark: DataFrame, width: int) -> DataFrame:
             for i, x in zip(batch.column(0).to_pylist(), batch.column(1)):
                 t, at, words, plain = template(x.as_py())
                 w = min(width, len(t))
-                if w < SHORTEST:
+                if w < PLAIN:
                     continue
                 every = _starts(np.full(len(t), len(t)), w)
-                for s, h in zip(*_windows(t, every, w)):
+                for s, h in zip(*_windows(t, every, w)) if w >= SHORTEST else ():
                     rows.append((int(h.astype(np.int64)), slots(t, at, words, int(s), w), w, i))
                 rows += [(int(h), 0, w, i) for h in _verbatim(plain, every, w).astype(np.int64)]
             if rows:
@@ -154,17 +157,17 @@ def item_windows(benchmark: DataFrame, width: int) -> DataFrame:
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
-    """(doc_id, item_id, p): windows of documents that match an item with consistent slots."""
+    """(doc_id, k, item_id, p): windows of documents that match an item with consistent slots; k tells rows of one doc_id apart."""
     sc = docs.sparkSession.sparkContext
     known = staged(item_windows(benchmark, width).groupBy("h", "slots", "width").agg(F.min("item_id").alias("item_id")), "items")
     widths = sorted(r.width for r in known.select("width").distinct().collect())
     if not widths:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, p int")
+        return docs.sparkSession.createDataFrame([], "doc_id long, k long, item_id long, p int")
     index = sc.broadcast(R.bitmap_of(known.select("h"), lambda bs: (b.column(0).to_numpy().astype(np.uint64) for b in bs), R.bits_for(known.count())))
 
     def probe(batches):
-        for part, raws in R.buffers(batches, 1):
-            ids, read = part.column(0).to_pylist(), [template(raw) for raw in raws]
+        for part, raws in R.buffers(batches, 2):
+            ids, keys, read = part.column(0).to_pylist(), part.column(1).to_pylist(), [template(raw) for raw in raws]
             size = np.array([len(x[0]) for x in read])
             ends = np.cumsum(size)
             row, stop = np.repeat(np.arange(len(size)), size), np.repeat(ends, size)
@@ -172,28 +175,35 @@ def hits(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFram
             rows = []
             for w in widths:
                 every = _starts(stop, w)
-                start, h = _windows(t, every, w)
+                start, h = _windows(t, every if w >= SHORTEST else every[:0], w)
                 near = np.flatnonzero(R.member(index.value, h))
                 for x, y in zip(start[near], h[near].astype(np.int64)):
                     own, p = read[row[x]], int(x - ends[row[x]] + size[row[x]])
-                    rows.append((ids[row[x]], p, int(y), slots(*own[:3], p, w)))
+                    rows.append((ids[row[x]], keys[row[x]], p, int(y), slots(*own[:3], p, w)))
                 h = _verbatim(plain, every, w)
                 near = np.flatnonzero(R.member(index.value, h))
-                rows += [(ids[r], int(p), int(y), 0) for r, p, y in zip(row[every[near]], every[near] - (ends - size)[row[every[near]]], h[near].astype(np.int64))]
+                rows += [(ids[r], keys[r], int(p), int(y), 0) for r, p, y in zip(row[every[near]], every[near] - (ends - size)[row[every[near]]], h[near].astype(np.int64))]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64()))], ["doc_id", "p", "h", "own"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()))], ["doc_id", "k", "p", "h", "own"])
 
-    found = texts(docs).mapInArrow(probe, "doc_id long, p int, h long, own long")
-    return found.join(known, "h").filter("own = slots").select("doc_id", "item_id", "p")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("k"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    found = source.mapInArrow(probe, "doc_id long, k long, p int, h long, own long")
+    return found.join(known, "h").filter("own = slots").select("doc_id", "k", "item_id", "p")
 
 
 def judge(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
     """One row per row of ``docs``: doc_id, contaminated (0 or 1), n_windows, item_id (the smallest matched)."""
     docs = no_null_ids(docs)
-    found = hits(docs, benchmark, width).groupBy("doc_id").agg(F.countDistinct("p").alias("n"), F.min("item_id").alias("item_id"))
-    out = docs.select("doc_id").join(found, "doc_id", "left")
+    found = hits(docs, benchmark, width).groupBy("doc_id", "k").agg(F.countDistinct("p").alias("n"), F.min("item_id").alias("item_id"))
+    out = docs.select("doc_id", text_key().alias("k")).join(found, ["doc_id", "k"], "left")
     return null_ids_back(out).select("doc_id", F.col("n").isNotNull().cast("int").alias("contaminated"), F.coalesce("n", F.lit(0)).cast("long").alias("n_windows"), "item_id")
 
 
+def keep_clean(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
+    """The rows of ``docs``, columns unchanged, that match no item."""
+    found = staged(hits(no_null_ids(docs), benchmark, width).select("doc_id", "k").distinct(), "contaminated")
+    return as_rows(docs).join(found, ["doc_id", "k"], "left_anti").select("doc.*")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import discard, held, staged
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -17,6 +17,8 @@ def components(edges: DataFrame) -> DataFrame:
     lists, and each round is a written table.
     """
     a, b = F.col("a"), F.col("b")
+    spark = edges.sparkSession
+    since = len(held(spark))
     pairs = staged(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter(a > b).distinct(), "edges")
     while True:
         # large star: larger neighbours of a node go to its smallest neighbour (or itself)
@@ -30,6 +32,8 @@ def components(edges: DataFrame) -> DataFrame:
         joined = large.join(low, "a")
         small = joined.filter(b > F.col("m")).select(b.alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
         small = staged(small.distinct(), "small")
-        if not small.exceptAll(pairs).take(1) and not pairs.exceptAll(small).take(1):
+        still = not small.exceptAll(pairs).take(1) and not pairs.exceptAll(small).take(1)
+        discard(spark, since, keep=1)
+        if still:
             return small.select(a.alias("node"), b.alias("component")).unionByName(small.select(b.alias("node"), b.alias("component")).distinct())
         pairs = small

@@ -23,13 +23,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import staged, table
+from .common import staged, table, text_key
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3
 SEED = 7
 BUCKET = 1024
-CAPACITY = 1 << 17  # words that the knapsack table spans
+CAPACITY = 1 << 17  # words that the knapsack table spans, or twice the longest document if that is more
 
 
 def word_count(text: str = "text"):
@@ -65,6 +65,7 @@ def fit(sizes: np.ndarray, counts: np.ndarray, budget: int, capacity: int = CAPA
         return np.zeros_like(counts)
     if budget >= total:
         return counts.copy()
+    capacity = max(capacity, 2 * int(sizes.max()))
     best = None
     for back in (0, 1, 4, 16):
         taken = _fit(sizes, counts, budget, capacity, back)
@@ -80,7 +81,7 @@ def _fit(sizes: np.ndarray, counts: np.ndarray, budget: int, capacity: int, back
     share = counts * (budget / int((sizes * counts).sum()))
     taken = np.clip(np.floor(share).astype(np.int64) - back, 0, counts)
     rest = budget - int((sizes * taken).sum())
-    # down to what the table spans: first the sizes that the rounding cut most, then any
+    # more documents of sizes that the rounding cut, until the table spans the rest; it alone decides the fit
     order = np.lexsort((sizes, -(share - taken)))
     for i in order[sizes[order] > 0]:
         if rest <= capacity // 2:
@@ -100,7 +101,7 @@ def _fit(sizes: np.ndarray, counts: np.ndarray, budget: int, capacity: int, back
         return taken
     # bounded knapsack: copies of a size in powers of two; first[v] is the item that first reached v
     items, bits, mask = [], 1, (1 << (span + 1)) - 1
-    first = np.full(span + 1, -1, np.int64)
+    first = np.full(span + 1, -1, np.int32)
     for i in np.argsort(sizes):
         size, left = int(sizes[i]), int(counts[i] - taken[i])
         if not size:
@@ -134,11 +135,15 @@ def _plan(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"no_source": group.no_source, "key": group.key, "size": sizes, "n": counts, "extra": fit(sizes, counts, rest), "passes": passes, "source_size": total, "target": goal})
 
 
-def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, source, text): size, source_size, target, copies, taken."""
+def _choose(docs: DataFrame, seed: int) -> DataFrame:
+    """``docs`` (doc_id, source, text, row) with size, source_size, target and copies, without text.
+
+    ``row`` numbers rows; of rows of a size that share their doc_id, equal texts lie together
+    and may be taken for one another.
+    """
     spark = docs.sparkSession
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("key"), word_count().alias("size"))
-    sized = staged(sized, "sizes")  # three narrow passes follow; texts are read once
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("key"), word_count().alias("size"), text_key().alias("k"), "row")
+    sized = staged(sized, "sizes")  # narrow passes follow; texts are read once
     keys = ["no_source", "key"]
     counts = sized.groupBy(*keys, "size").agg(F.count("*").alias("n"))
     totals = sorted((r.no_source, r.key.encode(), r.key, int(r.total)) for r in counts.groupBy(*keys).agg(F.sum(F.col("size") * F.col("n")).alias("total")).collect())
@@ -146,23 +151,36 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     goal = spark.createDataFrame([(a, c, t, g) for (a, _, c, t), g in zip(totals, goals)], "no_source boolean, key string, source_size long, target double")
     plan = counts.join(goal, keys).groupBy(*keys).applyInPandas(_plan, "no_source boolean, key string, size long, n long, extra long, passes int, source_size long, target double")
     plan = staged(plan, "mixplan")
-    h = F.xxhash64(F.lit(seed), "doc_id")
-    part = sized.join(plan, [*keys, "size"]).withColumn("h", h)
+    part = sized.withColumn("h", F.xxhash64(F.lit(seed), "doc_id"))
+    # a doc_id that fills a bucket by itself is spread over buckets of its own
+    many = part.groupBy(*keys, "size", "h").agg(F.count("*").alias("same")).filter(F.col("same") > BUCKET)
+    part = part.join(plan, [*keys, "size"]).join(staged(many, "repeated"), [*keys, "size", "h"], "left")
     part = part.withColumn("b", F.pmod(F.shiftrightunsigned("h", 20), F.ceil(F.col("n") / BUCKET)))
-    group = [*keys, "size", "b"]
-    before = Window.partitionBy(*keys, "size").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    part = part.withColumn("c", F.when(F.col("same").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("k", "row"), F.ceil(F.col("same") / BUCKET))))
+    group = [*keys, "size", "b", "c"]
+    before = Window.partitionBy(*keys, "size").orderBy("b", "c").rowsBetween(Window.unboundedPreceding, -1)
     at = part.groupBy(*group).agg(F.count("*").alias("m")).withColumn("before", F.coalesce(F.sum("m").over(before), F.lit(0))).drop("m")
-    ranked = part.withColumn("r", F.row_number().over(Window.partitionBy(*group).orderBy("h", "doc_id"))).join(at, group)
+    ranked = part.withColumn("r", F.row_number().over(Window.partitionBy(*group).orderBy("h", "doc_id", "k", "row"))).join(at, group)
     copies = F.col("passes") + (F.col("r") + F.col("before") <= F.col("extra")).cast("int")
-    return ranked.select("doc_id", F.expr("if(no_source, null, key)").alias("source"), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    return ranked.select("doc_id", "row", F.expr("if(no_source, null, key)").alias("source"), "size", "source_size", "target", copies.alias("copies"))
+
+
+def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, source, text): size, source_size, target, copies, taken."""
+    found = _choose(docs.select("doc_id", "source", "text", F.monotonically_increasing_id().alias("row")), seed).drop("row")
+    return found.withColumn("taken", (F.col("copies") * F.col("size")).cast("long"))
 
 
 def mixed_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as it is taken, columns unchanged."""
-    own = docs.withColumn("_row", F.xxhash64(*docs.columns)).withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("_row")))
-    taken = mix(docs, seed).filter("copies > 0").select(F.col("doc_id").alias("_id"), "copies", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("copies"))).alias("_n"))
-    kept = own.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_nth") == F.col("_n")))
-    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
+    """The mix itself: each row of ``docs`` as often as it is taken, columns unchanged.
+
+    Rows are numbered in a written table first, so each gets its own copies, whether ids
+    repeat or are null; columns stay in one struct, so that no name clashes.
+    """
+    rows = staged(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.monotonically_increasing_id().alias("row")), "rows")
+    marked = rows.select("doc.doc_id", "doc.source", "doc.text", "row")
+    taken = staged(_choose(marked, seed).filter("copies > 0").select("row", "copies"), "taken")
+    return rows.join(taken, "row").select("doc", F.explode(F.sequence(F.lit(1), "copies"))).select("doc.*")
 
 
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged, table, texts
+from .common import NULL_ID, as_rows, no_null_ids, null_ids_back, staged, table, texts
 from .graph import components
 
 SEED = 42
@@ -61,8 +61,8 @@ EXACT = Plan()
 SIMILAR = Plan(shingle=5, words=8, tables=12, bits=40, radius=4, most=88, once=True, screen=112)
 #: Least Jaccard index of a link of ``similar``, as a fraction of whole numbers.
 LEAST = (4, 5)
-#: Candidates are compared all at once if they are at most DENSE a node, or after ROUNDS rounds of each node's nearest.
-DENSE, ROUNDS = 8, 4
+#: How many nearest candidates a text sends from each task in the first round, and eight times that in the second; 0: all at once.
+DENSE = 8
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -223,10 +223,10 @@ def trie_pairs(turned: np.ndarray, roots: np.ndarray, fixed: int, bits: int, rad
 
 
 def _dealt_rows(batches, words: int):
-    """key, side, id and fingerprint arrays of one partition, or None where it has no rows."""
-    got = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(), np.frombuffer(b"".join(b.column(3).to_pylist()), ">u8")) for b in batches if b.num_rows]
+    """key, side, id, label and fingerprint arrays of one partition, or None where it has no rows."""
+    got = [(*(b.column(i).to_numpy() for i in range(4)), np.frombuffer(b"".join(b.column(4).to_pylist()), ">u8")) for b in batches if b.num_rows]
     if got:
-        return *(np.concatenate(x) for x in list(zip(*got))[:3]), np.concatenate([g[3] for g in got]).astype(np.uint64).reshape(-1, words)
+        return *(np.concatenate(x) for x in list(zip(*got))[:4]), np.concatenate([g[4] for g in got]).astype(np.uint64).reshape(-1, words)
 
 
 def _join(plan: Plan):
@@ -237,7 +237,7 @@ def _join(plan: Plan):
         rows = _dealt_rows(batches, plan.words)
         if not rows:
             return
-        key, side, ids, fp = rows
+        key, side, ids, _, fp = rows
         doc, node = np.unique(ids, return_inverse=True)
         forest = Forest(len(doc))
         for t in range(plan.tables):
@@ -263,10 +263,45 @@ def _join(plan: Plan):
     return run
 
 
-def _pairs(plan: Plan):
-    """All candidate pairs of one partition of (key, side, id, fp) rows, with the bits they differ in.
-
-    A pair that meets under several keys comes out under the first only.
+class Nearest:
+    """Of pairs added bit by bit, those that are among the ``most`` nearest of one of their ends."""
+
+    def __init__(self, most: int):
+        self.most, self.held, self.size, self.count = most, [], 0, {}
+
+    def add(self, a, b, d) -> None:
+        self.held.append((np.concatenate((a, b)), np.concatenate((b, a)), np.concatenate((d, d))))
+        self.size += 2 * len(a)
+        if self.size > 1 << 22:
+            self.cut()
+
+    def cut(self):
+        a, b, d = (np.concatenate(x) for x in zip(*self.held))
+        order = np.lexsort((b, d, a))
+        a, b, d = a[order], b[order], d[order]
+        first = np.concatenate(([0], np.flatnonzero(np.diff(a)) + 1)) if len(a) else np.zeros(0, np.int64)
+        rank = np.arange(len(a)) - np.repeat(first, np.diff(np.append(first, len(a))))
+        keep = rank < self.most
+        # ends with a pair left out are asked again
+        self.count.update(dict.fromkeys(a[~keep].tolist()))
+        self.held, self.size = [(a[keep], b[keep], d[keep])], int(keep.sum())
+
+    def result(self):
+        """(a, b, d) with a < b, each pair once, and the ends that have more."""
+        if not self.held:
+            return np.zeros((3, 0), np.int64), []
+        self.cut()
+        a, b, d = self.held[0]
+        rows = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b), d.astype(np.int64))), axis=1)
+        return rows, list(self.count)
+
+
+def _pairs(plan: Plan, most: int | None):
+    """Candidate pairs of one partition of (key, side, id, label, fp) rows, with the bits they differ in.
+
+    Only ids of different labels make pairs. A pair that meets under several keys comes out
+    under the first only. With ``most`` each id sends so many of its nearest a key's task;
+    ids with more to send come out as (id, null, null).
     """
     blocks = _blocks(plan)
 
@@ -274,7 +309,8 @@ def _pairs(plan: Plan):
         rows = _dealt_rows(batches, plan.words)
         if not rows:
             return
-        key, side, ids, fp = rows
+        key, side, ids, label, fp = rows
+        near = Nearest(most) if most else None
         for t in range(plan.tables):
             for n, (first, width) in enumerate(blocks):
                 mine = np.flatnonzero(key // (1 << 40) == t * len(blocks) + n)
@@ -285,6 +321,8 @@ def _pairs(plan: Plan):
                 mine, turned = mine[order], turned[order]
                 for a, b in trie_pairs(turned, key[mine], width, plan.bits, plan.radius, side[mine]):
                     a, b = mine[a], mine[b]
+                    open_ = label[a] != label[b]
+                    a, b = a[open_], b[open_]
                     apart = fp[a] ^ fp[b]
                     d = np.bitwise_count(apart).sum(axis=1, dtype=np.int32)
                     ok = d <= plan.screen
@@ -294,8 +332,14 @@ def _pairs(plan: Plan):
                     for at, wide in blocks[:n]:
                         ok &= (own << np.uint64(at)) >> np.uint64(64 - wide) != 0
                     a, b, d = ids[a[ok]], ids[b[ok]], d[ok]
-                    if len(a):
+                    if near is not None:
+                        near.add(a, b, d)
+                    elif len(a):
                         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(d)], ["a", "b", "d"])
+        if near is not None:
+            (a, b, d), more = near.result()
+            none = [None] * len(more)
+            yield pa.RecordBatch.from_arrays([pa.array([*a.tolist(), *more], pa.int64()), pa.array([*b.tolist(), *none], pa.int64()), pa.array([*d.tolist(), *none], pa.int32())], ["a", "b", "d"])
 
     return run
 
@@ -311,13 +355,13 @@ def links(distinct: DataFrame, plan: Plan) -> DataFrame:
     return _dealt(distinct, plan).mapInArrow(_join(plan), "a long, b long")
 
 
-def candidates(distinct: DataFrame, plan: Plan) -> DataFrame:
-    """(a, b, d): all pairs of (rep, fp) rows that a table joins and ``screen`` lets through."""
-    return _dealt(distinct, plan).mapInArrow(_pairs(plan), "a long, b long, d int")
+def candidates(distinct: DataFrame, plan: Plan, most: int | None = None) -> DataFrame:
+    """(a, b, d): pairs of (rep, label, fp) rows of different labels that a table joins and ``screen`` lets through."""
+    return _dealt(distinct, plan).mapInArrow(_pairs(plan, most), "a long, b long, d int")
 
 
 def _dealt(distinct: DataFrame, plan: Plan) -> DataFrame:
-    """(key, side, id, fp): each row under each of its blocks, dealt by key.
+    """(key, side, id, label, fp): each row under each of its blocks, dealt by key.
 
     Bits 40 and up of a key name the table and block, those below the block's value and,
     for hot ones, the pair of salts.
@@ -327,26 +371,25 @@ def _dealt(distinct: DataFrame, plan: Plan) -> DataFrame:
     def deal(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            fp = np.frombuffer(b"".join(batch.column(1).to_pylist()), ">u8").astype(np.uint64).reshape(-1, plan.words)
+            fp = np.frombuffer(b"".join(batch.column(2).to_pylist()), ">u8").astype(np.uint64).reshape(-1, plan.words)
             for t in range(plan.tables):
                 for n, (first, width) in enumerate(blocks):
                     value = (_turned(fp, t, first, plan.bits) >> np.uint64(64 - width)).astype(np.int64)
                     key = (np.int64(t * len(blocks) + n) << 40) + (value << 20)
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(ids), 2, np.int8)), pa.array(ids), batch.column(1)], ["key", "side", "id", "fp"])
-
-    dealt = distinct.select("rep", "fp").mapInArrow(deal, "key long, side byte, id long, fp binary")
-    hot = dealt.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).collect()  # at most rows / HOT of them
-    if hot:
-        spark = distinct.sparkSession
-        salts = spark.createDataFrame([(r.key, min(1023, -(-r.n // HOT))) for r in hot], "key long, m int")
-        dealt = dealt.join(F.broadcast(salts), "key", "left")
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(ids), 2, np.int8)), pa.array(ids), batch.column(1), batch.column(2)], ["key", "side", "id", "label", "fp"])
+
+    label = "label" if "label" in distinct.columns else "rep"
+    dealt = distinct.select("rep", F.col(label).alias("label"), "fp").mapInArrow(deal, "key long, side byte, id long, label long, fp binary")
+    hot = staged(dealt.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > HOT), "hot")
+    if hot.take(1):
+        dealt = dealt.join(hot.select("key", F.least(F.lit(1023), F.ceil(F.col("n") / HOT)).cast("int").alias("m")), "key", "left")
         s = F.pmod(F.xxhash64("id"), "m").cast("int")
         # salt s meets each salt t in the task of (min, max); within its own, all pairs count
         pair = F.expr("explode(if(m is null, array(-1), sequence(0, m - 1)))")
         dealt = dealt.withColumn("s", s).select("*", pair.alias("t")).select(
             F.when(F.col("t") < 0, F.col("key")).otherwise(F.col("key") + F.least("s", "t") * 1024 + F.greatest("s", "t")).alias("key"),
-            F.when((F.col("t") < 0) | (F.col("s") == F.col("t")), F.lit(2)).otherwise((F.col("s") > F.col("t")).cast("int")).cast("byte").alias("side"), "id", "fp")
-    return dealt.repartition("key").select("key", "side", "id", "fp")
+            F.when((F.col("t") < 0) | (F.col("s") == F.col("t")), F.lit(2)).otherwise((F.col("s") > F.col("t")).cast("int")).cast("byte").alias("side"), "id", "label", "fp")
+    return dealt.repartition("key").select("key", "side", "id", "label", "fp")
 
 
 def near_duplicates(docs: DataFrame, plan: Plan = EXACT) -> DataFrame:
@@ -404,45 +447,67 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.filter(n * LEAST[1] >= (F.size("sa") + F.size("sb") - n) * LEAST[0]).select("a", "b")
 
 
-def exact_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Verified pairs with the same components as all verified pairs of ``pairs`` (a, b, d) have.
+def clusters(docs: DataFrame, plan: Plan = SIMILAR) -> DataFrame:
+    """(doc_id, k, c): rows by identity, null doc_ids as NULL_ID; c is the same for rows whose texts are linked.
 
-    A dense set of candidates is thinned first: each node's nearest candidate is compared,
-    and pairs inside a component found so are links or not, which changes nothing.
+    Pairs are nominated in rounds. In the first each text sends its DENSE nearest of a
+    task, which are verified; after that only pairs of texts not yet in one component
+    count, of texts that had more to send. The last round sends all that are left, so no
+    link is lost, and a group of near copies, however large, never sends all its pairs.
     """
-    found = None
-    for _ in range(ROUNDS):
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
-        if pairs.count() <= DENSE * ends.distinct().count():
+    spark, docs = docs.sparkSession, no_null_ids(docs)
+    marked = staged(_marks(docs, plan), "marks")
+    rows = marked.groupBy("node").agg(F.min(F.struct("doc_id", "k")).alias("row"), F.first("fp").alias("fp"))
+    distinct = staged(rows.select(F.col("node").alias("rep"), "fp", "row.doc_id", "row.k"), "distinct")
+    active, comp, found, done = distinct, None, None, None
+    for most in (DENSE, 8 * DENSE, None):
+        sent = staged(candidates(active, plan, most), "candidates")
+        pairs = sent.filter("b is not null").select("a", "b").distinct()
+        if done is not None:
+            pairs = pairs.join(done, ["a", "b"], "left_anti")
+        pairs = staged(pairs, "pairs")
+        if pairs.take(1):
+            ends = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+            wanted = staged(distinct.join(ends, "rep").select(F.col("rep").alias("node"), "doc_id", "k"), "wanted")
+            ok = staged(verified(pairs, staged(_sets(docs, wanted, plan), "sets")), "links")
+            found = ok if found is None else found.unionByName(ok)
+            done = pairs if done is None else done.unionByName(pairs)
+            comp = staged(components(found), "known")
+        more = staged(sent.filter("b is null").select(F.col("a").alias("rep")).distinct(), "more")
+        if not more.take(1):
             break
-        both = pairs.select(F.col("a").alias("node"), "a", "b", "d").unionByName(pairs.select(F.col("b").alias("node"), "a", "b", "d"))
-        near = both.groupBy("node").agg(F.min(F.struct("d", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
-        near = staged(near, "nearest")
-        ok = staged(verified(near, sets), "verified")
-        found = ok if found is None else found.unionByName(ok)
-        comp = staged(components(found), "known")
-        left = pairs.join(near, ["a", "b"], "left_anti")
-        for end in ("a", "b"):
-            left = left.join(comp.select(F.col("node").alias(end), F.col("component").alias("c" + end)), end, "left")
-        pairs = staged(left.filter("not coalesce(ca = cb, false)").select("a", "b", "d"), "candidates")
-    rest = verified(pairs.select("a", "b"), sets)
-    return rest if found is None else found.unionByName(rest)
+        active = distinct.join(more, "rep")
+        active = active.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("label"), "fp")
+    c = F.col("node")
+    if comp is not None:
+        marked, c = marked.join(comp, "node", "left"), F.coalesce("component", "node")
+    return marked.select("doc_id", "k", c.alias("c"))
 
 
 def similar(docs: DataFrame, plan: Plan = SIMILAR) -> DataFrame:
     """(doc_id, component_id): component_id is the smallest doc_id reachable over pairs that are LEAST alike or more."""
-    marked = staged(_marks(docs, plan), "marks")
-    held = marked.filter("doc_id is not null").groupBy("node").agg(F.min(F.struct("doc_id", "k")).alias("row"), F.first("fp").alias("fp"))
-    distinct = staged(held.select(F.col("node").alias("rep"), "fp", "row.doc_id", "row.k"), "distinct")
-    pairs = staged(candidates(distinct, plan), "candidates")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    sets = staged(_sets(docs, distinct.join(ends, "rep").select(F.col("rep").alias("node"), "doc_id", "k"), plan), "sets")
-    comp = components(exact_links(pairs, sets))
-    named = staged(marked.join(comp, "node", "left").select("doc_id", F.coalesce("component", "node").alias("c")), "named")
+    named = staged(null_ids_back(clusters(docs, plan)), "named")
     first = named.groupBy("c").agg(F.min("doc_id").alias("component_id"))
     return named.join(first, "c").select("doc_id", F.expr("if(doc_id is null, null, component_id)").alias("component_id"))
 
 
+def keep_one(docs: DataFrame, plan: Plan = SIMILAR) -> DataFrame:
+    """Of each group of near copies one row of ``docs``, columns unchanged.
+
+    It is the row of the smallest doc_id (nulls last, then by a hash of the text); of rows
+    that repeat doc_id and text too, one.
+    """
+    keys = ["doc_id", "k"]
+    found = staged(clusters(docs, plan).groupBy(*keys).agg(F.count("*").alias("n"), F.first("c").alias("c")), "clusters")
+    best = found.groupBy("c").agg(F.min(F.struct(F.col("doc_id") == NULL_ID, "doc_id", "k")).alias("m")).select("m.doc_id", "m.k", F.lit(True).alias("best"))
+    found = found.join(best, keys, "left")
+    gone = staged(found.filter("best is null").select(*keys), "gone")
+    twice = staged(found.filter("best and n > 1").select(*keys), "twice")
+    rows = as_rows(docs)
+    one = rows.join(twice, keys, "left_semi").groupBy(*keys).agg(F.min_by("doc", F.xxhash64(F.to_json("doc"))).alias("doc"))
+    return rows.join(gone.unionByName(twice), keys, "left_anti").unionByName(one).select("doc.*")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
