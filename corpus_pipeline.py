@@ -2,7 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept; its
 result is written as Parquet and read again. All but the last return the columns of
-``documents``. Null and empty texts pass every filter; tables may be empty.
+``documents``.
+
+Defined cases: rows are judged each for itself: a doc_id may be null or stand for several
+texts. Null and empty texts pass every filter, and as near copies they are one group, of
+which one row stays; of rows repeated whole one stays. Ties go to the smaller doc_id, then
+to a hash of the text. Tables may be empty; a further column goes along with its row,
+whatever its name, and never meets a column of an operator.
 """
 
 from __future__ import annotations
@@ -11,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkfacts.llm import decontamination, mixing, simhash, token_output, toxicity
-from sparkfacts.llm.common import staged, table
+from sparkfacts.llm.common import discard, held, staged, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,19 +26,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (distinct five-word shingles, Jaccard index 0.8 or more) the smallest doc_id stays."""
-    found = staged(simhash.similar(docs), "groups")
-    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    twice = found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
-    once = docs.join(gone.unionByName(twice), "doc_id", "left_anti")
-    # a row repeated whole is a group of its own: one of the rows stays
-    return once.unionByName(docs.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
+    """Of each group of near copies (distinct five-word shingles, Jaccard index 0.8 or more) one row stays, of the smallest doc_id."""
+    return simhash.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a window of a benchmark item's template go."""
-    found = decontamination.hits(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(staged(found, "contaminated"), "doc_id", "left_anti").select(*docs.columns)
+    return decontamination.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +58,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in turn; what a stage staged goes once its result is written."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
+        since = len(held(spark))
         docs = staged(stage(spark, docs, sf_dir), name)
+        discard(spark, since, keep=1)
     return STAGES[-1][1](spark, docs, sf_dir)
