@@ -1,20 +1,21 @@
-"""Token-ID output: one wavelet matrix per shard, with rank and select support.
+"""Token-ID output: one wavelet matrix per shard file, with rank and select support.
 
 Texts are encoded where they are read, ids (not texts) are dealt to ranges of doc_id, and
-each range writes its shards in ascending doc_id order. A shard row holds the ids of whole
-documents, about SHARD_TOKENS of them, as compressed bit planes; token access, counting
-and occurrence lookup work on the shard without decoding it (``WaveletMatrix``).
+each range writes its shards in ascending doc_id order, one file a shard. A shard holds
+the ids of whole documents, about SHARD_TOKENS of them, as packed bit planes in small
+compressed blocks with ranks beside them; token access, counting and occurrence lookup
+read a few blocks of each plane and leave the rest as it is (``WaveletMatrix``).
 
 Defined cases: null and empty texts give the end id alone; rows that repeat a doc_id are
-kept, in the order of their ids' bytes; a very long text makes a shard of its own size; an
-empty table gives an empty file set and no rows; other columns of the input are ignored.
+kept, in the order of a hash of their ids, and spread over ranges if there are many; a
+very long text makes a shard of its own size; an empty table gives an empty file set and
+no rows; other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
 import json
 import os
-import re
 import struct
 import zlib
 from array import array
@@ -27,36 +28,70 @@ from pyspark.sql import functions as F
 
 from .common import no_null_ids, null_ids_back, staged, table, texts
 
-SHARD_TOKENS = 1 << 18
-CACHED_WORDS = 600_000
+SHARD_TOKENS = 1 << 20
+CACHED_WORDS = 400_000
 CACHED_LENGTH = 48
 END_ID = 2
 SPAN = 512  # bits between stored ranks
+BLOCK = 4096  # bytes of a plane that are compressed together
+HELD_BLOCKS = 64
+HEAD = "<4sQHHI"
 
 
 class WaveletMatrix:
-    """Bit planes from the highest bit down; each plane moves zeros before ones, stably."""
+    """Bit planes from the highest bit down; each plane moves zeros before ones, stably.
 
-    def __init__(self, n: int, bits: list[np.ndarray]):
-        self.n, self.bits = n, bits
-        self.zeros = [n - int(b.sum()) for b in bits]
-        self.ranks = [np.concatenate(([0], np.cumsum(np.add.reduceat(b, np.arange(0, n, SPAN), dtype=np.int64)))) if n else np.zeros(1, np.int64) for b in bits]
+    Planes stay packed, eight bits a byte: as arrays where the matrix was built, as
+    compressed blocks, of which HELD_BLOCKS are held open, where it was read.
+    """
+
+    def __init__(self, n: int, planes: list[np.ndarray]):
+        self.n, self.width, self.planes, self.opened = n, len(planes), planes, {}
+        self.ranks = [self._count(p) for p in planes]
+        self.zeros = [n - int(r[-1]) for r in self.ranks]
+
+    @staticmethod
+    def _count(plane: np.ndarray) -> np.ndarray:
+        """Ones before each span and before the end."""
+        ones = np.bitwise_count(plane)
+        return np.concatenate(([0], np.cumsum(np.add.reduceat(ones, np.arange(0, len(ones), SPAN // 8), dtype=np.int64)))) if len(ones) else np.zeros(1, np.int64)
 
     @classmethod
     def build(cls, ids: np.ndarray, width: int | None = None) -> WaveletMatrix:
         width = width or max(1, int(ids.max(initial=0)).bit_length())
         kind = np.uint16 if width <= 16 else np.uint32
-        ids, bits = np.ascontiguousarray(ids, dtype=kind), []
+        ids, planes = np.ascontiguousarray(ids, dtype=kind), []
         for k in range(width - 1, -1, -1):
             one = (ids & kind(1 << k)) != 0
-            bits.append(one.view(np.uint8))
+            planes.append(np.packbits(one))
             ids = np.concatenate((ids.take(np.flatnonzero(~one)), ids.take(np.flatnonzero(one))))
-        return cls(len(ids), bits)
+        return cls(len(ids), planes)
+
+    def _block(self, plane: int, j: int) -> np.ndarray:
+        if (plane, j) not in self.opened:
+            import zstandard
+
+            if len(self.opened) >= HELD_BLOCKS:
+                self.opened.pop(next(iter(self.opened)))
+            at, size = self.at[plane][j + 1], self.sizes[plane][j + 1]
+            self.opened[plane, j] = np.frombuffer(zstandard.ZstdDecompressor().decompress(self.raw[at : at + size]), np.uint8)
+        return self.opened[plane, j]
+
+    def _span(self, plane: int, s: int) -> np.ndarray:
+        """The packed bits of a span."""
+        a = s * (SPAN // 8)
+        if self.planes is not None:
+            return self.planes[plane][a : a + SPAN // 8]
+        return self._block(plane, a // BLOCK)[a % BLOCK : a % BLOCK + SPAN // 8]
 
     def _rank1(self, plane: int, i: int) -> int:
         """Ones in the first i bits of a plane."""
-        s = i // SPAN
-        return int(self.ranks[plane][s]) + int(self.bits[plane][s * SPAN : i].sum())
+        s, rest = divmod(i, SPAN)
+        if not rest:
+            return int(self.ranks[plane][s])
+        span, whole = self._span(plane, s), rest // 8
+        ones = int(self.ranks[plane][s]) + int(np.bitwise_count(span[:whole]).sum())
+        return ones + (int(span[whole]) >> (8 - rest % 8)).bit_count() if rest % 8 else ones
 
     def _select(self, plane: int, bit: int, k: int) -> int:
         """Position of the k-th (from 0) such bit of a plane."""
@@ -64,22 +99,22 @@ class WaveletMatrix:
         if not bit:
             r = np.minimum(np.arange(len(r)) * SPAN, self.n) - r
         s = int(np.searchsorted(r, k, side="right")) - 1
-        inside = np.flatnonzero(self.bits[plane][s * SPAN : (s + 1) * SPAN] == bit)
+        inside = np.flatnonzero(np.unpackbits(self._span(plane, s)) == bit)
         return s * SPAN + int(inside[k - int(r[s])])
 
     def access(self, i: int) -> int:
         """The id at position i."""
         out = 0
-        for k, b in enumerate(self.bits):
-            bit, ones = int(b[i]), self._rank1(k, i)
+        for k in range(self.width):
+            bit, ones = int(self._span(k, i // SPAN)[i % SPAN // 8]) >> (7 - i % 8) & 1, self._rank1(k, i)
             out = out << 1 | bit
             i = self.zeros[k] + ones if bit else i - ones
         return out
 
     def _range(self, symbol: int, lo: int, hi: int) -> tuple[int, int]:
-        for k in range(len(self.bits)):
+        for k in range(self.width):
             a, b = self._rank1(k, lo), self._rank1(k, hi)
-            if symbol >> (len(self.bits) - 1 - k) & 1:
+            if symbol >> (self.width - 1 - k) & 1:
                 lo, hi = self.zeros[k] + a, self.zeros[k] + b
             else:
                 lo, hi = lo - a, hi - b
@@ -87,7 +122,7 @@ class WaveletMatrix:
 
     def count(self, symbol: int, lo: int = 0, hi: int | None = None) -> int:
         """Occurrences of an id in positions lo to hi."""
-        if symbol >> len(self.bits):
+        if symbol >> self.width:
             return 0
         a, b = self._range(symbol, lo, self.n if hi is None else hi)
         return b - a
@@ -98,71 +133,62 @@ class WaveletMatrix:
         if not 0 <= k < hi - lo:
             raise IndexError(k)
         i = lo + k
-        for p in range(len(self.bits) - 1, -1, -1):
-            i = self._select(p, 1, i - self.zeros[p]) if symbol >> (len(self.bits) - 1 - p) & 1 else self._select(p, 0, i)
+        for p in range(self.width - 1, -1, -1):
+            i = self._select(p, 1, i - self.zeros[p]) if symbol >> (self.width - 1 - p) & 1 else self._select(p, 0, i)
         return i
 
     def decode(self) -> np.ndarray:
-        """All ids, from the lowest plane up."""
-        kind = np.uint16 if len(self.bits) <= 16 else np.uint32
+        """All ids, from the lowest plane up, one plane unpacked at a time."""
+        kind = np.uint16 if self.width <= 16 else np.uint32
         out = np.zeros(self.n, kind)
-        for k in range(len(self.bits) - 1, -1, -1):
-            one, up = self.bits[k].view(bool), np.empty_like(out)
+        for k in range(self.width - 1, -1, -1):
+            if self.planes is not None:
+                plane = self.planes[k]
+            else:
+                plane = np.concatenate([self._block(k, j) for j in range(len(self.sizes[k]) - 1)] or [np.zeros(0, np.uint8)])
+            one, up = np.unpackbits(plane, count=self.n).view(bool), np.empty_like(out)
             up[np.flatnonzero(~one)] = out[: self.zeros[k]]
-            up[np.flatnonzero(one)] = out[self.zeros[k] :] | kind(1 << (len(self.bits) - 1 - k))
+            up[np.flatnonzero(one)] = out[self.zeros[k] :] | kind(1 << (self.width - 1 - k))
             out = up
         return out
 
     def to_bytes(self) -> bytes:
-        """Header, then for each plane its packed bits and ranks, compressed."""
+        """Header; for each plane the sizes of its parts; then for each plane its ranks and its blocks, each compressed."""
         import zstandard
 
-        c = zstandard.ZstdCompressor(level=1)
-        parts = []
-        for b, r in zip(self.bits, self.ranks):
-            x = c.compress(np.packbits(b).tobytes() + r.astype("<u8").tobytes())
-            parts += [struct.pack("<I", len(x)), x]
-        return struct.pack("<4sQHH", b"WMX1", self.n, len(self.bits), SPAN) + b"".join(parts)
+        c, sizes, parts = zstandard.ZstdCompressor(level=1), [], []
+        for plane, r in zip(self.planes, self.ranks):
+            own = [c.compress(r.astype("<u4").tobytes()), *(c.compress(plane[a : a + BLOCK].tobytes()) for a in range(0, len(plane), BLOCK))]
+            sizes.append(np.array([len(x) for x in own], "<u4").tobytes())
+            parts += own
+        return struct.pack(HEAD, b"WMX2", self.n, self.width, SPAN, BLOCK) + b"".join(sizes) + b"".join(parts)
 
     @classmethod
     def from_bytes(cls, raw: bytes) -> WaveletMatrix:
         import zstandard
 
-        magic, n, width, span = struct.unpack_from("<4sQHH", raw)
-        if magic != b"WMX1" or span != SPAN:
+        magic, n, width, span, block = struct.unpack_from(HEAD, raw)
+        if (magic, span, block) != (b"WMX2", SPAN, BLOCK):
             raise ValueError("not a wavelet matrix shard")
-        d, at, self = zstandard.ZstdDecompressor(), struct.calcsize("<4sQHH"), cls.__new__(cls)
-        self.n, self.bits, self.ranks, self.zeros = n, [], [], []
-        for _ in range(width):
-            (m,) = struct.unpack_from("<I", raw, at)
-            x = d.decompress(raw[at + 4 : at + 4 + m])
-            at += 4 + m
-            self.bits.append(np.unpackbits(np.frombuffer(x, np.uint8, (n + 7) // 8), count=n))
-            self.ranks.append(np.frombuffer(x, "<u8", offset=(n + 7) // 8).astype(np.int64))
-            self.zeros.append(n - int(self.ranks[-1][-1]))
+        self = cls.__new__(cls)
+        self.n, self.width, self.raw, self.planes, self.opened = n, width, raw, None, {}
+        parts = 1 + -(-((n + 7) // 8) // BLOCK)
+        head = struct.calcsize(HEAD)
+        self.sizes = np.frombuffer(raw, "<u4", width * parts, head).astype(np.int64).reshape(width, parts)
+        self.at = head + 4 * width * parts + (np.cumsum(self.sizes) - self.sizes.ravel()).reshape(width, parts)
+        d = zstandard.ZstdDecompressor()
+        self.ranks = [np.frombuffer(d.decompress(raw[a : a + m]), "<u4").astype(np.int64) for a, m in zip(self.at[:, 0], self.sizes[:, 0])]
+        self.zeros = [n - int(r[-1]) for r in self.ranks]
         return self
 
 
-# The tokenizer's own split for lower-cased Latin-1 text: contractions, letters, single digits, other signs.
-_L = r"a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff"
-_N = r"0-9\xb2\xb3\xb9\xbc-\xbe"
-_PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\t-\r\x20\x85\xa0{_L}{_N}]+")
-
-
-def _byte_signs() -> dict[int, str]:
-    """The signs by which byte-level vocabularies write bytes: printable ones stand for themselves, the rest follow from 256."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
-
-
 class Encoder:
-    """Encodes texts with a lower-casing byte-level tokenizer that drops white space.
+    """Encodes UTF-8 texts with the tokenizers library, each distinct word once.
 
-    Latin-1 texts (where composition changes nothing) are lower-cased and split here; each
-    distinct piece goes through the vocabulary's merges once and is kept, up to
-    CACHED_WORDS of them. Any other text, and any tokenizer of another build, goes through
-    the library whole. Both ways give the same ids.
+    Where the tokenizer's own pattern leaves out white space, no piece spans two words, so a
+    text's ids are those of its words (split at ASCII white space) in a row. The library
+    encodes the words not met before, and up to CACHED_WORDS are kept. With any other
+    tokenizer whole texts go to the library.
     """
 
     def __init__(self, path: str):
@@ -171,37 +197,35 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.model, self.signs, self.known = self.tokenizer.model, _byte_signs(), {}
+        self.known: dict[bytes, bytes] = {}
         spec = json.loads(self.tokenizer.to_str())
-        split = [x.get("type") for x in (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])]
-        norm = [x.get("type") for x in (spec.get("normalizer") or {}).get("normalizers", [])]
-        pattern = ((spec["pre_tokenizer"]["pretokenizers"][0].get("pattern") or {}).get("Regex")) if split == ["Split", "ByteLevel"] else None
-        self.own = norm == ["NFC", "Replace", "Lowercase"] and pattern == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-        special = [x["content"] for x in spec.get("added_tokens", [])]
-        self.special = re.compile("|".join(map(re.escape, special)), re.I) if special else None
-
-    def _piece(self, piece: str) -> bytes:
-        signs = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.signs)
-        out = array(self.code, [t.id for t in self.model.tokenize(signs)]).tobytes()
-        if len(self.known) < CACHED_WORDS and len(piece) <= CACHED_LENGTH:
-            self.known[piece] = out
-        return out
+        first = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+        drops = first.get("type") == "Split" and (first.get("behavior"), first.get("invert")) == ("Removed", True) and (first["pattern"].get("Regex") or "").endswith(r"|[^\s\p{L}\p{N}]+")
+        self.by_word = drops and not any(x["lstrip"] or x["rstrip"] or x["content"].split() != [x["content"]] for x in spec.get("added_tokens", []))
 
-    @property
-    def code(self) -> str:
-        return "H" if self.type.itemsize == 2 else "I"
+    def _encode(self, raws: list[bytes]) -> list[bytes]:
+        code = "H" if self.type.itemsize == 2 else "I"
+        return [array(code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast([r.decode("utf-8", "replace") for r in raws], add_special_tokens=False)]
 
-    def ids(self, text: str) -> bytes:
+    def ids(self, text: str | bytes) -> bytes:
         """The text's ids as little-endian integers of this encoder's type."""
+        raw = text.encode() if isinstance(text, str) else text
+        if not self.by_word:
+            return self._encode([raw])[0]
+        words, known = raw.split(), self.known
         try:
-            text.encode("latin-1")
-            plain = self.own and not (self.special and self.special.search(text))
-        except UnicodeEncodeError:
-            plain = False
-        if not plain:
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.type).tobytes()
-        known = self.known
-        return b"".join([known.get(p) or self._piece(p) for p in _PIECE.findall(text.lower())])
+            return b"".join(map(known.__getitem__, words))
+        except KeyError:
+            new = list(set(words) - known.keys())
+        if len(known) + len(new) > CACHED_WORDS:
+            known.clear()
+            new = list(set(words))
+        known.update(zip(new, self._encode(new)))
+        out = b"".join(map(known.__getitem__, words))
+        for w in new:
+            if len(w) > CACHED_LENGTH:
+                del known[w]
+        return out
 
 
 @lru_cache(2)
@@ -215,25 +239,37 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def encode(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
-    """(doc_id, ids binary): ids of each whole text with the end id, in the encoder's type."""
+def _range_of(d: np.ndarray, spread: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Ranges of doc_ids: those of a doc_id that several cuts agree on are dealt by ``spread`` (from 0 to 1)."""
+    low, high = (np.searchsorted(cuts, d, side=x) for x in ("left", "right"))
+    return np.where(high > low, low + 1 + np.floor(spread * (high - low)).astype(np.int64), high)
+
+
+def encode(docs: DataFrame, tokenizer: str, end_id: int = END_ID, cuts: list[float] = ()) -> DataFrame:
+    """(range_id, doc_id, h, ids binary): ids of each whole text with the end id, in the encoder's type; h is their hash."""
+    cuts = np.array(cuts, float)
 
     def run(batches):
+        import xxhash
+
         enc = encoder(tokenizer)
         end = np.array([end_id], enc.type).tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([enc.ids(t.as_py()) + end for t in part.column(1)], pa.large_binary())], ["doc_id", "ids"])
+                ids = [enc.ids(t.as_py()) + end for t in part.column(1)]
+                h = np.array([xxhash.xxh3_64_intdigest(x) >> 1 for x in ids], np.int64)
+                r = _range_of(part.column(0).to_numpy().astype(float), h / 2.0**63 * (1 - 2.0**-50), cuts)
+                yield pa.RecordBatch.from_arrays([pa.array(r.astype(np.int32)), part.column(0), pa.array(h), pa.array(ids, pa.large_binary())], ["range_id", "doc_id", "h", "ids"])
 
-    return texts(docs, as_bytes=False).mapInArrow(run, "doc_id long, ids binary")
+    return texts(docs).mapInArrow(run, "range_id int, doc_id long, h long, ids binary")
 
 
 SHARD_SCHEMA = "range_id int, shard int, start_in_range long, n_tokens long, n_docs int, doc_ids binary, lengths binary, matrix binary"
 
 
 def write_shards(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """Writes the shard files to the shared folder and returns them as read from there.
+    """Writes the shard files to the shared folder, one a shard, and returns them as read from there.
 
     Shards ascend by (range_id, shard), and so do their documents. Ranges come from
     quantiles of doc_id alone; how many there are follows spark.sql.shuffle.partitions.
@@ -242,7 +278,7 @@ def write_shards(docs: DataFrame, tokenizer: str | None = None, end_id: int = EN
     tokenizer = tokenizer or default_tokenizer()
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ids = docs.select(F.col("doc_id").cast("double").alias("d"))
-    cuts = sorted(set(ids.approxQuantile("d", [i / n for i in range(1, n)], 0.25 / n))) if n > 1 else []
+    cuts = sorted(ids.approxQuantile("d", [i / n for i in range(1, n)], 0.25 / n)) if n > 1 else []
     item = encoder(tokenizer).type.str
 
     def run(batches):
@@ -269,10 +305,8 @@ def write_shards(docs: DataFrame, tokenizer: str | None = None, end_id: int = EN
         if held:
             yield flush()
 
-    # width_bucket over a sorted array: number of cuts at or below the id
-    bucket = F.expr(f"size(filter(array({','.join(f'{c!r}D' for c in cuts)}), c -> c <= cast(doc_id as double)))") if len(cuts) else F.lit(0)
-    dealt = encode(docs, tokenizer, end_id).select(bucket.cast("int").alias("range_id"), "doc_id", "ids").repartition(n, "range_id").sortWithinPartitions("range_id", "doc_id", "ids")
-    return staged(dealt.mapInArrow(run, SHARD_SCHEMA), "shards")
+    dealt = encode(docs, tokenizer, end_id, cuts).repartition(n, "range_id").sortWithinPartitions("range_id", "doc_id", "h", "ids")
+    return staged(dealt.select("range_id", "doc_id", "ids").mapInArrow(run, SHARD_SCHEMA), "shards", maxRecordsPerFile=1)
 
 
 def read_documents(shards: DataFrame) -> DataFrame:
@@ -300,6 +334,21 @@ def read_documents(shards: DataFrame) -> DataFrame:
     return null_ids_back(shards.join(F.broadcast(starts), "range_id").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long"))
 
 
+def document(shards: DataFrame, doc_id: int) -> list[list[int]]:
+    """Ids of the documents of this doc_id, each read by access to its positions alone."""
+
+    def run(batches):
+        for batch in batches:
+            for d, m, w in zip(*(batch.column(i) for i in range(3))):
+                lengths = np.frombuffer(m.as_py(), "<u4").astype(np.int64)
+                ends = np.cumsum(lengths)
+                matrix = WaveletMatrix.from_bytes(w.as_py())
+                ids = [[matrix.access(int(i)) for i in range(ends[j] - lengths[j], ends[j])] for j in np.flatnonzero(np.frombuffer(d.as_py(), "<i8") == doc_id)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.list_(pa.int64()))], ["ids"])
+
+    return [r.ids for r in shards.select("doc_ids", "lengths", "matrix").mapInArrow(run, "ids array<long>").collect()]
+
+
 def occurrences(shards: DataFrame, token: int) -> DataFrame:
     """(range_id, shard, n): how often an id occurs in each shard, counted on the bit planes."""
 

@@ -1,6 +1,6 @@
 """Toxicity: character n-gram linear classifier on naive Bayes log-count ratios.
 
-Features are the hashed byte n-grams (lower-cased A-Z) that occur in a text, each worth
+Features are the hashed n-grams of characters (code points, lower-cased) that occur in a text, each worth
 its log-count ratio between toxic and other labelled texts; a logistic regression over
 them gives the score. The fit takes at most SAMPLE labelled rows of each class, in hash
 order of doc_id, and keeps FEATURES n-grams; both bounds are parameters. Every whole text
@@ -45,21 +45,21 @@ class Model:
 
 def _hits(raws: list[bytes], kept: np.ndarray | None):
     """(document index, hash) of the n-grams of texts, distinct; only kept hashes if given."""
-    # a zero byte stands between texts, and no n-gram holds one
-    raws = [r.lower().replace(b"\0", b" ") for r in raws]
-    starts = np.cumsum([0] + [len(r) + 1 for r in raws])
-    buf = np.frombuffer(b"\0".join(raws) + b"\0", np.uint8)
+    # a zero stands between texts, and no n-gram holds one
+    chars = [r.decode("utf-8", "replace").lower().replace("\0", " ") for r in raws]
+    starts = np.cumsum([0] + [len(r) + 1 for r in chars])
+    buf = np.frombuffer(("\0".join(chars) + "\0").encode("utf-32-le", "replace"), "<u4")
     found = []
     for a in range(0, len(buf), PIECE):
         piece = buf[a : a + PIECE + max(ORDERS) - 1]
         zero = np.concatenate(([0], np.cumsum(piece == 0)))
-        value = piece.astype(np.uint64)
+        value = piece.astype(np.uint64) + np.uint64(1)
         gram = value.copy()
         for n in range(2, max(ORDERS) + 1):
-            gram = (gram[:-1] << np.uint64(8)) | value[n - 1 :]
+            gram = gram[:-1] * np.uint64(0xD6E8FEB86659FD93) + value[n - 1 :]
             if n not in ORDERS:
                 continue
-            hashed = ((gram * np.uint64(0x9E3779B97F4A7C15) + np.uint64(n)) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(64 - BITS)).astype(np.int32)
+            hashed = ((gram ^ (gram >> np.uint64(32))) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(64 - BITS)).astype(np.int32)
             # a gram belongs to the piece in which it starts
             at = np.flatnonzero(kept[hashed[:PIECE]]) if kept is not None else np.arange(min(len(hashed), PIECE))
             at = at[zero[at + n] == zero[at]]
