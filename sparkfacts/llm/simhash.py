@@ -470,14 +470,16 @@ def clusters(docs: DataFrame, plan: Plan = SIMILAR) -> DataFrame:
             ends = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
             wanted = staged(distinct.join(ends, "rep").select(F.col("rep").alias("node"), "doc_id", "k"), "wanted")
             ok = staged(verified(pairs, staged(_sets(docs, wanted, plan), "sets")), "links")
-            found = ok if found is None else found.unionByName(ok)
             done = pairs if done is None else done.unionByName(pairs)
-            comp = staged(components(found), "known")
+            if ok.take(1):
+                found = ok if found is None else found.unionByName(ok)
+                comp = staged(components(found), "known")
         more = staged(sent.filter("b is null").select(F.col("a").alias("rep")).distinct(), "more")
         if not more.take(1):
             break
-        active = distinct.join(more, "rep")
-        active = active.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("label"), "fp")
+        active = distinct.join(more, "rep").withColumn("label", F.col("rep"))
+        if comp is not None:
+            active = active.drop("label").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("label"), "fp")
     c = F.col("node")
     if comp is not None:
         marked, c = marked.join(comp, "node", "left"), F.coalesce("component", "node")
