@@ -67,7 +67,8 @@ def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(1, a.shape[1])
     if most < 2**53:
         return np.rint(a @ b.T).astype(np.int64)
-    return (a.astype(object) @ b.T.astype(object)).astype(np.int64)
+    whole = np.vectorize(int, otypes=[object])
+    return np.vectorize(lambda v: (v + (1 << 63)) % (1 << 64) - (1 << 63), otypes=[np.int64])(whole(a) @ whole(b).T)
 
 
 def _best(q, v, s, k):
@@ -103,11 +104,13 @@ def _scan(batches, ids, x, floor, k):
                 sy = _stats(y, n)
                 if alive is None:
                     top = sx @ sy.T
-                    # the slack covers rounding of the bound, so that none is lost
-                    alive = np.nonzero(top + 1e-9 * np.abs(top) + 1e-6 >= floor[:, None])
+                    # the slack covers rounding of the bound, which goes by the norms, so that none is lost
+                    nx, ny = (np.sqrt((v * v).sum(axis=1)) for v in (sx, sy))
+                    slack = 1e-9 * nx[:, None] * ny[None, :] + 1e-6
+                    alive = np.nonzero(top + slack >= floor[:, None])
                 elif len(alive[0]):
                     top = np.einsum("ij,ij->i", sx[alive[0]], sy[alive[1]]) if len(alive[0]) < 0.2 * len(ids) * len(v) else (sx @ sy.T)[alive]
-                    fit = top + 1e-9 * np.abs(top) + 1e-6 >= floor[alive[0]]
+                    fit = top + slack[alive] >= floor[alive[0]]
                     alive = (alive[0][fit], alive[1][fit])
             qi, ci = alive
             if not len(qi):
@@ -130,26 +133,27 @@ def _scan(batches, ids, x, floor, k):
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, wave: int = WAVE) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best candidates of every query row."""
     spark = vectors.sparkSession
-    pool, asked = usable(vectors), usable(queries)
+    # rows that ask the same are one query and get the same rows each
+    pool, asked = usable(vectors), staged(usable(queries).groupBy("vec_id", "x").agg(F.count("*").alias("n")), "queries")
     waves = max(1, math.ceil(asked.count() / wave))
     asked = asked.withColumn("w", F.pmod(F.xxhash64("vec_id", "x"), F.lit(waves)))
     out = None
     for w in range(waves):
-        got = asked.filter(F.col("w") == w).select("vec_id", "x").toArrow()
-        ids, x = got.column(0).to_numpy(), _matrix(got.column(1))
+        got = asked.filter(F.col("w") == w).select("vec_id", "x", "n").toArrow()
+        ids, x, times = got.column(0).to_numpy(), _matrix(got.column(1)), got.column(2).to_numpy()
         own = _exact(x, x).astype(np.float64) if len(ids) else np.zeros((0, 0))
         own[ids[:, None] == ids[None, :]] = -np.inf
         floor = np.partition(own, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(ids), -np.inf)
-        sent = spark.sparkContext.broadcast((ids, x, floor))
+        sent = spark.sparkContext.broadcast((ids, x, floor, times))
 
         def run(batches, sent=sent):
-            ids, x, floor = sent.value
+            ids, x, floor, times = sent.value
             for q, v, s in _scan(batches, ids, x, floor, k) if len(ids) else []:
-                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(ids[q]), pa.array(v), pa.array(s)], ["q", "query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(ids[q]), pa.array(v), pa.array(s), pa.array(times[q])], ["q", "query_id", "vec_id", "score", "times"])
 
-        near = pool.mapInArrow(run, "q long, query_id long, vec_id long, score long")
+        near = pool.mapInArrow(run, "q long, query_id long, vec_id long, score long, times long")
         rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))
-        best = near.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        best = near.withColumn("rank", rank).filter(F.col("rank") <= k).withColumn("t", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).select("query_id", "rank", "vec_id", "score")
         best = staged(best, "wave") if waves > 1 else best
         out = best if out is None else out.unionByName(best)
     return out
