@@ -25,10 +25,22 @@ def event_links(html: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(html, F.lit('href="/([a-z0-9-]+/20[0-9]{2})"'), F.lit(1)), lambda x: x))
 
 
-def page_state(html: Column) -> Column:
-    """placeholder, blocked or content, from telling phrases."""
-    low = F.lower(html)
-    return F.when(low.isNull() | (F.trim(low) == ""), "missing").when(low.rlike("captcha|access denied|verify you are human"), "blocked").when(low.rlike("coming soon|no results (?:yet|available)"), "placeholder").otherwise("content")
+# Statuses and phrases of a page that stands for "blocked", and phrases of one without results.
+BLOCKED_STATUS = (403, 429, 503)
+BLOCKED_PHRASES = ("just a moment", "enable javascript and cookies", "/cdn-cgi/", "cf-chl-", "cf-mitigated", "challenge-platform")
+EMPTY_PHRASES = ("page not found", "no results found")
+
+
+def page_state(html: Column, status: Column | None = None, challenged: Column | None = None) -> Column:
+    """blocked, missing, placeholder or content; ``challenged`` is true where a header says so."""
+    low = F.lower(F.coalesce(html, F.lit("")))
+    words = F.trim(F.regexp_replace(F.regexp_replace(low, "<[^>]*>", " "), r"\s+", " "))
+    held = low.rlike("|".join(BLOCKED_PHRASES))
+    if status is not None:
+        held = held | F.coalesce(status.isin(*BLOCKED_STATUS), F.lit(False))
+    if challenged is not None:
+        held = held | F.coalesce(challenged, F.lit(False))
+    return F.when(held, "blocked").when(words == "", "missing").when(words.rlike("|".join(EMPTY_PHRASES)), "placeholder").otherwise("content")
 
 
 class _Tables(HTMLParser):
