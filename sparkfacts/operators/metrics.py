@@ -14,7 +14,6 @@ RATIOS = {
     "compensation_intensity": ("salaries_benefits_total", "total_expenses"),
     "membership_dues_share": ("membership_dues", "total_revenue"),
 }
-ANCHOR_TOLERANCE = 0.05
 
 
 def winning_filings(filings: DataFrame, keys: list[str]) -> DataFrame:
@@ -60,7 +59,7 @@ def identity_findings(df: DataFrame, whole: Column, parts: Column, tolerance: fl
 
 
 def cross_check(ours: Column, theirs: Column) -> Column:
-    """match, null or mismatch of one anchor; no row at all is no_row."""
+    """match, null or mismatch of one anchor; ``derive.anchor_outcomes`` tells rows that aren't there apart."""
     return F.when(theirs.isNull(), "null").when(ours == theirs, "match").otherwise("mismatch")
 
 

@@ -79,10 +79,29 @@ def latest_captures(people: DataFrame, keys: list[str], stamp: list[str]) -> Dat
     return latest_by(people, keys, [F.desc(c) for c in stamp])
 
 
-def people_year(people: DataFrame, keys: list[str], parts: list[str]) -> DataFrame:
-    """Of a filing's people: total pay, how many are paid and how many volunteer."""
+def people_year(people: DataFrame, keys: list[str], parts: list[str], shown: Column | None = None) -> DataFrame:
+    """Of a filing's people: total pay, how many are paid and how many volunteer; with ``shown`` the list of the paid."""
     total = sum((F.coalesce(F.col(p), F.lit(0)) for p in parts[1:]), F.coalesce(F.col(parts[0]), F.lit(0)))
-    return people.withColumn("_t", total).groupBy(*keys).agg(F.sum("_t").alias("total"), F.count_if(F.col("_t") > 0).alias("n_paid"), F.count_if(F.col("_t") <= 0).alias("n_volunteers"))
+    paid = [] if shown is None else [F.array_sort(F.collect_list(F.when(F.col("_t") > 0, shown))).alias("paid")]
+    return people.withColumn("_t", total).groupBy(*keys).agg(F.sum("_t").alias("total"), F.count_if(F.col("_t") > 0).alias("n_paid"), F.count_if(F.col("_t") <= 0).alias("n_volunteers"), *paid)
+
+
+def overlay(base: DataFrame, over: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of ``base`` with every value that ``over`` has for their key in place of their own."""
+    o = over.select(*keys, *(F.col(c).alias(f"_{c}") for c in over.columns if c not in keys))
+    mine = [F.coalesce(f"_{c}", c).alias(c) if c in over.columns and c not in keys else F.col(c) for c in base.columns]
+    return base.join(o, keys, "left").select(*mine)
+
+
+def by_kind(payloads: DataFrame, key: str, kind: str, value: str, kinds: dict[str, str]) -> DataFrame:
+    """One row a key that has every kind, one column a kind; one pass in place of a self join."""
+    held = payloads.filter(F.col(kind).isin(*kinds.values())).groupBy(key).agg(*(F.max(F.when(F.col(kind) == k, F.col(value))).alias(c) for c, k in kinds.items()))
+    return held.dropna(subset=list(kinds))
+
+
+def coverage_percent(rows: DataFrame, by: list[str], covered: Column) -> DataFrame:
+    """Rows of each group, and the percentage that is covered, at two decimals."""
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.round(100.0 * F.count_if(covered) / F.count("*"), 2).alias("percent"))
 
 
 def coverage_state(forms: DataFrame, key: str, form: str) -> DataFrame:
