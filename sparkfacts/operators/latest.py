@@ -64,9 +64,23 @@ def guarded_tasks(proposed: DataFrame, open_tasks: DataFrame, identity: list[str
     return insert_if_absent(proposed, open_tasks, identity)
 
 
+def ranked(df: DataFrame, order: list[Column]) -> DataFrame:
+    """Adds ``rank`` over all rows in ``order`` (which has to tell rows apart), without a one-task window.
+
+    Rows are dealt to ranges; a row's rank is its place in the range and the rows of the
+    ranges before, of which there are as many as shuffle partitions.
+    """
+    part = F.spark_partition_id()
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", part)
+    placed = dealt.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return placed.join(F.broadcast(sizes), "_part").withColumn("rank", (F.col("_before") + F.col("_at")).cast("int")).drop("_part", "_at", "_before")
+
+
 def retention(df: DataFrame, order: list[Column], keep: int = 3) -> DataFrame:
-    """Snapshots with rank and whether they stay; snapshots are few, one row each."""
-    return df.withColumn("rank", F.row_number().over(Window.orderBy(*order))).withColumn("kept", F.col("rank") <= keep)
+    """Snapshots with rank and whether they stay."""
+    return ranked(df, order).withColumn("kept", F.col("rank") <= keep)
 
 
 def carry_forward(df: DataFrame, keys: list[str], order: list[str], columns: list[str]) -> DataFrame:

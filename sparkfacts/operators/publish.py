@@ -23,6 +23,24 @@ def require(counts: DataFrame) -> None:
         raise ValueError("publish stopped: " + ", ".join(broken))
 
 
+def snapshot_violations(rows: DataFrame, scope: DataFrame, series: list[str]) -> dict[str, DataFrame]:
+    """Violations by rule of rows (org, slug, season and the columns of a series key) that may be published for ``scope`` only."""
+    return {
+        "slug_blank": rows.filter(F.trim("slug") == ""),
+        "slug_shared": rows.filter(F.trim("slug") != "").groupBy("slug").agg(F.countDistinct("org").alias("n_orgs")).filter("n_orgs > 1"),
+        "series_repeated": rows.groupBy(*series).agg(F.count("*").alias("n_rows")).filter("n_rows > 1"),
+        "no_season": rows.filter("season is null"),
+        "out_of_scope": rows.join(scope.select("org"), "org", "left_anti"),
+    }
+
+
+def redacted(entries: DataFrame, people: DataFrame, suppressed_names: DataFrame, key: str) -> DataFrame:
+    """Entries with ``names`` in seat order: minors have neither names nor a label, suppressed names go before they are gathered."""
+    open_ = people.join(suppressed_names, "name", "left_anti").join(entries.filter("not minor").select(key), key, "left_semi")
+    named = open_.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("seat", "name"))), lambda p: p["name"]).alias("names"))
+    return hide_labels(entries, F.col("minor"), "crew_label").join(named, key, "left").withColumn("names", F.coalesce("names", F.array().cast("array<string>")))
+
+
 def suppressed(rows: DataFrame, rules: DataFrame, name: str, scope: list[str]) -> DataFrame:
     """Rows that a suppression rule names; a null in a rule's scope column matches all."""
     r = rules.select(F.col(name).alias("_name"), *(F.col(c).alias(f"_{c}") for c in scope))
@@ -44,10 +62,14 @@ def result_sanity(rows: DataFrame) -> DataFrame:
     return rows.withColumn("reasons", reasons).withColumn("quality_state", F.when(F.size("reasons") > 0, "under_review").otherwise("verified"))
 
 
+KEPT = 10  # pointer files that stay
+
+
 class Snapshots:
-    """Published tables under one root: each snapshot a partition, one pointer file naming the active one.
+    """Published tables under one root: each snapshot a partition, numbered pointer files naming the active one.
 
-    The pointer is replaced by rename, so readers see the old snapshot or the new one.
+    Pointers are only added, each by a rename to a name that isn't there yet, and the
+    highest number counts: readers see the old snapshot or the new one, on any store.
     Paths go through Hadoop's file system, so any store that Spark writes will do.
     """
 
@@ -64,19 +86,27 @@ class Snapshots:
     def read(self, name: str, snapshot: str | None = None) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{name}/snapshot_id={snapshot or self.active()}")
 
+    def _pointers(self) -> list[str]:
+        at = self._path(f"{self.root}/_active")
+        names = [f.getPath().getName() for f in self._fs.listStatus(at)] if self._fs.exists(at) else []
+        return sorted(n for n in names if n.isdigit())
+
     def active(self) -> str | None:
-        at = self._path(f"{self.root}/ACTIVE")
-        return self.spark.read.text(f"{self.root}/ACTIVE").first()[0] if self._fs.exists(at) else None
+        have = self._pointers()
+        return self.spark.read.text(f"{self.root}/_active/{have[-1]}").first()[0] if have else None
 
     def activate(self, snapshot: str) -> None:
-        new, at = self._path(f"{self.root}/ACTIVE.new"), self._path(f"{self.root}/ACTIVE")
+        """A new pointer file appears by one rename under the next number; the last KEPT ones stay."""
+        have = self._pointers()
+        number = int(have[-1]) + 1 if have else 1
+        new = self._path(f"{self.root}/_active/_new-{number}")
         out = self._fs.create(new, True)
         out.write(bytearray(snapshot.encode()))
         out.close()
-        if self._fs.exists(at):
-            self._fs.delete(at, False)
-        if not self._fs.rename(new, at):
-            raise OSError("the pointer could not be replaced")
+        if not self._fs.rename(new, self._path(f"{self.root}/_active/{number:012d}")):
+            raise OSError("the pointer could not be moved on")
+        for name in have[: 1 - KEPT]:
+            self._fs.delete(self._path(f"{self.root}/_active/{name}"), False)
 
     def rollback(self, states: DataFrame, directory: str) -> str:
         """Activates the newest superseded snapshot that still has directory rows."""

@@ -95,8 +95,10 @@ def fit(fields: DataFrame, division: list[str], event: str, club: str) -> DataFr
 
 def display(strength: DataFrame, division: list[str]) -> DataFrame:
     """1500 at a division's geometric mean, 400 a decade."""
-    centre = F.avg(F.ln("s")).over(Window.partitionBy(*division)) if division else F.avg(F.ln("s")).over(Window.partitionBy(F.lit(1)))
-    return strength.withColumn("rating", SCALE_MEAN + SCALE_FACTOR * F.log10(F.col("s") / F.exp(centre)))
+    centre = strength.groupBy(*division).agg(F.avg(F.ln("s")).alias("_centre"))
+    # one row a division, a single row without any
+    joined = strength.join(centre, division) if division else strength.join(F.broadcast(centre))
+    return joined.withColumn("rating", SCALE_MEAN + SCALE_FACTOR * F.log10(F.col("s") / F.exp("_centre"))).drop("_centre")
 
 
 def eligible(coverage: DataFrame) -> DataFrame:

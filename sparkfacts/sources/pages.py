@@ -210,3 +210,25 @@ def keyed_rows(column: Column, element: str) -> Column:
     as_list = F.from_json(column, f"array<{element}>")
     as_map = F.map_values(F.from_json(column, f"map<string,{element}>"))
     return F.when(F.trim(column).startswith("["), as_list).otherwise(as_map)
+
+
+def envelope_rows(column: Column, element: str, field: str = "value") -> Column:
+    """Rows of a landed JSON page that is either a list or an object with the list in a field."""
+    as_list = F.from_json(column, f"array<{element}>")
+    inside = F.from_json(F.get_json_object(column, f"$.{field}"), f"array<{element}>")
+    return F.coalesce(F.when(F.trim(column).startswith("["), as_list).otherwise(inside), F.array().cast(f"array<{element}>"))
+
+
+def landed_payloads(rows: DataFrame, key: str, status: str, body: str) -> tuple[DataFrame, DataFrame]:
+    """Payloads worth staging with their checksum, and (key, reason) of the others: not found, failed or no JSON."""
+    reason = F.when(F.col(status) == 404, "not_found").when(F.col(status) >= 400, "failed").when(~F.coalesce(F.substring(F.trim(body), 1, 1).isin("{", "["), F.lit(False)), "not_json")
+    marked = rows.withColumn("_reason", reason)
+    good = marked.filter("_reason is null").drop("_reason").withColumn("checksum", F.sha2(F.col(body).cast("binary"), 256))
+    return good, marked.filter("_reason is not null").select(key, F.col("_reason").alias("reason"))
+
+
+def store_states(landed: DataFrame, stored: DataFrame, key: str, checksum: str) -> DataFrame:
+    """(key, state): new, same or conflict of landed content against a store that is written once."""
+    have = stored.select(key, F.col(checksum).alias("_have"))
+    state = F.when(F.col("_have").isNull(), "new").when(F.col("_have") == F.col(checksum), "same").otherwise("conflict")
+    return landed.join(have, key, "left").select(key, state.alias("state"))
