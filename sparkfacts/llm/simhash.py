@@ -61,7 +61,7 @@ EXACT = Plan()
 SIMILAR = Plan(shingle=5, words=8, tables=12, bits=40, radius=4, most=88, once=True, screen=112)
 #: Least Jaccard index of a link of ``similar``, as a fraction of whole numbers.
 LEAST = (4, 5)
-#: How many nearest candidates a text sends from each task in the first round, and eight times that in the second; 0: all at once.
+#: How many nearest candidates a text sends from each task in the first round; 0: all at once.
 DENSE = 8
 
 
@@ -450,17 +450,17 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def clusters(docs: DataFrame, plan: Plan = SIMILAR) -> DataFrame:
     """(doc_id, k, c): rows by identity, null doc_ids as NULL_ID; c is the same for rows whose texts are linked.
 
-    Pairs are nominated in rounds. In the first each text sends its DENSE nearest of a
-    task, which are verified; after that only pairs of texts not yet in one component
-    count, of texts that had more to send. The last round sends all that are left, so no
-    link is lost, and a group of near copies, however large, never sends all its pairs.
+    Pairs are nominated in two rounds. In the first each text sends its DENSE nearest of a
+    task, which are verified; in the second only pairs of texts not yet in one component
+    count, of texts that had more to send. All those are sent, so no link is lost, and a
+    group of near copies that the first round joins never sends all its pairs.
     """
     spark, docs = docs.sparkSession, no_null_ids(docs)
     marked = staged(_marks(docs, plan), "marks")
     rows = marked.groupBy("node").agg(F.min(F.struct("doc_id", "k")).alias("row"), F.first("fp").alias("fp"))
     distinct = staged(rows.select(F.col("node").alias("rep"), "fp", "row.doc_id", "row.k"), "distinct")
     active, comp, found, done = distinct, None, None, None
-    for most in (DENSE, 8 * DENSE, None):
+    for most in (DENSE, None):
         sent = staged(candidates(active, plan, most), "candidates")
         pairs = sent.filter("b is not null").select("a", "b").distinct()
         if done is not None:
