@@ -190,6 +190,53 @@ def repeated(df: DataFrame, hashes, n: int, hot: int) -> tuple[DataFrame, int]:
     return df.mapInArrow(run, "s int, at binary, times binary").groupBy("s").applyInArrow(unite, "h long, often boolean"), width + 32
 
 
+def probed(df: DataFrame, windows, n: int) -> tuple[DataFrame, int]:
+    """(h long) of the reference blocks that another window meets, and how many top bits of a hash h has.
+
+    ``windows(batches)`` yields (hashes, which of them are blocks). Blocks and probes are
+    dealt by slices of the hash, as in ``repeated``: a slice indexes its blocks and probes
+    them with all its windows, a block's own among them. A task sends a hash once.
+    """
+    width = max(8, (n >> 22).bit_length())
+
+    def sliced(held):
+        h, lead = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(h)
+        h, lead = h[order], lead[order]
+        first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        state = np.logical_or.reduceat(lead, first).astype(np.uint8) | (np.diff(np.append(first, len(h))) > 1).astype(np.uint8) << np.uint8(1)
+        h = h[first]
+        cut = np.flatnonzero(np.diff(h >> np.uint64(32))) + 1
+        for part, of in zip(np.split(h, cut), np.split(state, cut)):
+            yield pa.RecordBatch.from_arrays([pa.array([int(part[0] >> np.uint64(32))], pa.int32()), pa.array([part.astype("<u4").tobytes()], pa.binary()), pa.array([of.tobytes()], pa.binary())], ["s", "at", "state"])
+
+    def run(batches):
+        held, size = [], 0
+        for h, lead in windows(batches):
+            held.append((h >> np.uint64(32 - width), lead))
+            size += len(h)
+            if size > 1 << 22:
+                yield from sliced(held)
+                held, size = [], 0
+        if size:
+            yield from sliced(held)
+        held = None
+        tidy()
+
+    def unite(key, batch):
+        at = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in batch.column(1)])
+        state = np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in batch.column(2)])
+        index = np.unique(at[state & 1 > 0])
+        place = np.searchsorted(index, at)
+        hit = np.zeros(len(at), bool)
+        inside = place < len(index)
+        hit[inside] = index[place[inside]] == at[inside]
+        met = np.bincount(place[hit], weights=1 + (state[hit] >> 1), minlength=len(index))
+        return pa.Table.from_arrays([pa.array((key[0].as_py() << 32) + index[met > 1].astype(np.int64))], ["h"])
+
+    return df.mapInArrow(run, "s int, at binary, state binary").groupBy("s").applyInArrow(unite, "h long"), width + 32
+
+
 def column_hashes(batches):
     """Hashes held by the first column."""
     for b in batches:

@@ -6,9 +6,11 @@ indexed, every rolling BLOCK-word window of every document probes the index, and
 met more than once are the anchors. Around them hits are extended to maximal exact
 repeats: each window over an anchor is compared whole, by 128 bits of hash.
 
-Bitmaps of a fixed size, broadcast, keep windows apart that can't match; when they fill
-up, more rows are shuffled and the result stays the same. Texts that are equal word for
-word are judged once. A task sends one row for a window that it has seen twice already,
+Index and probes are dealt by slices of the hash, four bytes and a state for each distinct
+window of a task, and anchors find their documents by a join, so the work is in proportion
+to the input at any size. A bitmap of doc_ids of a fixed size keeps texts that need no
+part out of a join; when it fills up, more rows are shuffled and the result stays the
+same. Texts that are equal word for word are judged once. A task sends one row for a window that it has seen twice already,
 so that copies, however many, make few rows a task.
 
 Defined cases: null and empty texts have no words and the hash of the empty string; each
@@ -22,6 +24,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,20 +60,36 @@ def overview(docs: DataFrame) -> DataFrame:
     return texts(docs).mapInArrow(run, "doc_id long, k long, k1 long, k2 long, n_words long, whole string")
 
 
-def _sequences(batches, sent, seeds=(0,)):
-    """(ids, row of each word, word hashes by seed, place of each word in its document) of the documents to judge."""
+def _words(raws, seeds):
+    """(row of each word, word hashes by seed, place of each word in its document) of some texts."""
+    starts = np.cumsum([0] + [len(r) + 1 for r in raws[:-1]])
+    buf = np.frombuffer(b"\n".join(raws), np.uint8)
+    a, b = R.word_bounds(buf)
+    row = np.searchsorted(starts, a, side="right") - 1
+    return row, [R.word_hashes(buf, a, b, s) for s in seeds], np.arange(len(a)) - np.searchsorted(a, starts)[row]
+
+
+def _sequences(batches, sent):
+    """(ids, texts, row of each word, word hashes, place of each word) of the documents to judge."""
     for part, raws in R.buffers(batches, 1):
         ids = part.column(0).to_numpy()
         use = np.flatnonzero(R.member(sent, R.mix(ids.astype(np.uint64))))
-        if not len(use):
-            continue
-        raws, ids = [raws[i] for i in use], ids[use]
-        starts = np.cumsum([0] + [len(r) + 1 for r in raws[:-1]])
-        buf = np.frombuffer(b"\n".join(raws), np.uint8)
-        a, b = R.word_bounds(buf)
-        row = np.searchsorted(starts, a, side="right") - 1
-        place = np.arange(len(a)) - np.searchsorted(a, starts)[row]
-        yield ids, raws, row, [R.word_hashes(buf, a, b, s) for s in seeds], place
+        if len(use):
+            raws = [raws[i] for i in use]
+            yield ids[use], raws, *_words(raws, (0,))
+
+
+def _with(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """(doc_id, k, text, and what ``marks`` has) of the documents that ``marks`` names by doc_id and k."""
+    some = docs.sparkSession.sparkContext.broadcast(R.column_bitmap(marks, "doc_id", R.bits_for(marks.count())))
+
+    def only(batches):
+        for b in batches:
+            mask = R.member(some.value, R.mix(b.column(0).to_numpy().astype(np.uint64)))
+            keys = [_key(b" ".join(x.as_py().split())) if m else None for x, m in zip(b.column(1), mask)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.int64()), b.column(1)], ["doc_id", "k", "text"]).filter(pa.array(mask))
+
+    return texts(docs).mapInArrow(only, "doc_id long, k long, text binary").join(marks, ["doc_id", "k"])
 
 
 def _windows(h: np.ndarray, row: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -91,38 +110,40 @@ def repeated_windows(docs: DataFrame, seen: DataFrame, width: int) -> DataFrame:
     judged = sc.broadcast(R.column_bitmap(once, "doc_id", R.bits_for(size.n)))
     source = texts(docs)
 
-    def blocks(batches):
+    def windows(batches):
         for _, _, row, (h,), place in _sequences(batches, judged.value):
             start, w = _windows(h, row, block)
-            yield w[place[start] % block == 0]
+            yield w, place[start] % block == 0
 
-    index = sc.broadcast(R.bitmap_of(source, blocks, R.bits_for(size.words // block)))
+    found, bits = R.probed(source, windows, size.words)
 
-    def probe(batches):
-        for _, _, row, (h,), place in _sequences(batches, judged.value):
+    def blocks(batches):
+        for ids, raws, row, (h,), place in _sequences(batches, judged.value):
             start, w = _windows(h, row, block)
-            w = w[(place[start] % block == 0) | R.member(index.value, w)]
-            w, n = np.unique(w, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(w.astype(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
+            lead = place[start] % block == 0
+            at = start[lead]
+            key = np.fromiter((_key(b" ".join(r.split())) for r in raws), np.int64, len(ids))
+            columns = ((w[lead] >> np.uint64(64 - bits)).astype(np.int64), ids[row[at]], key[row[at]], place[at].astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "doc_id", "k", "p"])
 
-    anchors = staged(source.mapInArrow(probe, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h"), "anchors")
-    found = sc.broadcast(R.bitmap_of(anchors, lambda bs: (b.column(0).to_numpy().astype(np.uint64) for b in bs), R.bits_for(anchors.count())))
+    anchors = source.mapInArrow(blocks, "h long, doc_id long, k long, p int").join(found, "h").groupBy("doc_id", "k").agg(F.collect_set("p").alias("ps"))
+    near = _with(docs, staged(anchors, "anchors"))
 
     def extend(batches):
         held, size = [], 0
-        for ids, raws, row, (h, g), place in _sequences(batches, judged.value, (0, 1)):
-            start, w = _windows(h, row, block)
-            lead = start[(place[start] % block == 0)]
-            good = np.zeros(len(h), bool)
-            good[lead] = R.member(found.value, w[place[start] % block == 0])
+        for part, raws in R.buffers(batches, 2):
+            ids, key = part.column(0).to_numpy(), part.column(1).to_numpy()
+            row, (h, g), place = _words(raws, (0, 1))
+            first, ps = np.searchsorted(row, np.arange(len(raws))), part.column(3)
+            lead = np.zeros(len(h), bool)
+            lead[np.repeat(first, pc.list_value_length(ps).to_numpy()) + ps.flatten().to_numpy()] = True
             start, w1 = _windows(h, row, width)
             # the one block that lies in the window from here
-            fit = good[start + -place[start] % block]
+            fit = lead[start + -place[start] % block]
             start, w1 = start[fit], w1[fit]
             if not len(start):
                 continue
             w2 = R.window(R.sums(g), start, start + width)
-            key = np.fromiter((_key(b" ".join(r.split())) for r in raws), np.int64, len(ids))
             held.append((w1, w2, ids[row[start]], key[row[start]], place[start].astype(np.int32)))
             size += len(start)
             if size > 1 << 20:
@@ -146,7 +167,7 @@ def repeated_windows(docs: DataFrame, seen: DataFrame, width: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(d[keep]), pa.array(k[keep]), pa.array(p[keep])], ["doc_id", "k", "p"])
 
     # rows of state 2 are settled and only pass through; their keys are spread by document
-    sent = source.mapInArrow(extend, "w1 long, w2 long, doc_id long, k long, p int, state byte")
+    sent = near.mapInArrow(extend, "w1 long, w2 long, doc_id long, k long, p int, state byte")
     to = F.when(F.col("state") == 2, F.col("k")).otherwise(F.col("w1"))
     return sent.repartition(to).mapInArrow(count, "doc_id long, k long, p int")
 
@@ -165,19 +186,9 @@ def _condensed(held):
 
 def dedup(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_removed, kept_sha256 (and k, for joins)."""
-    sc, docs = docs.sparkSession.sparkContext, no_null_ids(docs)
+    docs = no_null_ids(docs)
     seen = staged(overview(docs), "overview")
     hits = staged(repeated_windows(docs, seen, width).groupBy("doc_id", "k").agg(F.collect_list("p").alias("ps")), "hits")
-    some = sc.broadcast(R.column_bitmap(hits, "doc_id", R.bits_for(hits.count())))
-
-    def only(batches):
-        for b in batches:
-            mask = R.member(some.value, R.mix(b.column(0).to_numpy().astype(np.uint64)))
-            keys = [_key(b" ".join(x.as_py().split())) if m else None for x, m in zip(b.column(1), mask)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.int64()), b.column(1)], ["doc_id", "k", "text"]).filter(pa.array(mask))
-
-    touched = texts(docs).mapInArrow(only, "doc_id long, k long, text binary").join(hits, ["doc_id", "k"])
-
     def cut(batches):
         for b in batches:
             rows = []
@@ -193,7 +204,7 @@ def dedup(docs: DataFrame, width: int = WINDOW) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.string()))], ["doc_id", "k", "gone", "rest"])
 
-    done = touched.mapInArrow(cut, "doc_id long, k long, gone long, rest string").dropDuplicates(["doc_id", "k"])
+    done = _with(docs, hits).mapInArrow(cut, "doc_id long, k long, gone long, rest string").dropDuplicates(["doc_id", "k"])
     copies = seen.groupBy("k1", "k2").agg(F.count("*").alias("copies")).filter("copies > 1")
     out = seen.join(copies, ["k1", "k2"], "left").join(done, ["doc_id", "k"], "left")
     copy = (F.col("copies") > 1) & (F.col("n_words") >= width)
