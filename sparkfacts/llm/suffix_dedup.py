@@ -9,11 +9,12 @@ follows the trigger and by what goes before it (reversed), with their common pre
 Strings at distance a from their trigger are equal exactly where both orders agree, to
 LENGTH - a bytes after and a bytes before; the first in corpus order stays.
 
-Triggers are counted by hash first; a bitmap of at most a fixed size holds those met
-again and keeps the others out (when it fills up, more rows are shuffled and the result
-stays the same). Surroundings are made distinct in each task
-before they are dealt by trigger; for a trigger met more than HOT times each of its
-strings is dealt by its own hash. Texts that are equal byte for byte are parsed once.
+Triggers are counted by hash first, in slices of the hash, and a join brings those met
+again back to their documents, so the work is in proportion to the input at any size. A
+bitmap of doc_ids of a fixed size keeps texts that need no part out of a join; when it
+fills up, more rows are shuffled and the result stays the same. Surroundings are made
+distinct in each task before they are dealt by trigger; for a trigger met more than HOT
+times each of its strings is dealt by its own hash. Texts that are equal byte for byte are parsed once.
 
 Defined cases: null and empty texts have no bytes and the hash of the empty string; texts
 shorter than LENGTH keep all; rows that share a doc_id count as one document for what is
@@ -26,6 +27,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -106,6 +108,19 @@ def _parsed(batches, judged, length: int):
             yield ids, raws, buf, start, end, *triggers(buf, start, end, length)
 
 
+def _with(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """(doc_id, k, text, and what ``marks`` has) of the documents that ``marks`` names by doc_id and k."""
+    some = docs.sparkSession.sparkContext.broadcast(R.column_bitmap(marks, "doc_id", R.bits_for(marks.count())))
+
+    def only(batches):
+        for b in batches:
+            mask = R.member(some.value, R.mix(b.column(0).to_numpy().astype(np.uint64)))
+            keys = [_key(x.as_py()) if m else None for x, m in zip(b.column(1), mask)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.int64()), b.column(1)], ["doc_id", "k", "text"]).filter(pa.array(mask))
+
+    return texts(docs).mapInArrow(only, "doc_id long, k long, text binary").join(marks, ["doc_id", "k"])
+
+
 def _batch(to, d, k, p, la, ra, around):
     blobs = pa.array([None] * len(to), pa.binary()) if around is None else pa.FixedSizeBinaryArray.from_buffers(pa.binary(around.shape[1]), len(around), [None, pa.py_buffer(np.ascontiguousarray(around))]).cast(pa.binary())
     return pa.RecordBatch.from_arrays([pa.array(to.astype(np.int64)), pa.array(d), pa.array(k), pa.array(p.astype(np.int32)), pa.array(la.astype(np.int32)), pa.array(ra.astype(np.int32)), blobs], ["to", "doc_id", "k", "p", "la", "ra", "around"])
@@ -125,16 +140,15 @@ def _first(around, la, ra, d, p):
     return order, new, (d[order] != d[order][first]) | (p[order] != p[order][first])
 
 
-def _distinct(held, hot, bits, length):
+def _distinct(held, length):
     """Rows to send: surroundings that a task has met before are settled (around is null)."""
-    h, d, k, p, la, ra, around = (np.concatenate(c) for c in zip(*held))
+    h, often, d, k, p, la, ra, around = (np.concatenate(c) for c in zip(*held))
     order, new, late = _first(around, la, ra, d, p)
-    h, d, k, p, la, ra, around = (x[order] for x in (h, d, k, p, la, ra, around))
+    h, often, d, k, p, la, ra, around = (x[order] for x in (h, often, d, k, p, la, ra, around))
     again = late & (la + ra >= length)
     if again.any():
         yield _batch(k[again], d[again], k[again], p[again], la[again], ra[again], None)
-    h, d, k, p, la, ra, around = (x[new] for x in (h, d, k, p, la, ra, around))
-    often = np.isin((h >> np.uint64(64 - bits)).astype(np.int64), hot) if len(hot) else np.zeros(len(h), bool)
+    h, often, d, k, p, la, ra, around = (x[new] for x in (h, often, d, k, p, la, ra, around))
     if (~often).any():
         yield _batch(*(x[~often] for x in (h, d, k, p, la, ra, around)))
     h, d, k, p, la, ra, around = (x[often] for x in (h, d, k, p, la, ra, around))
@@ -198,32 +212,37 @@ def spans(docs: DataFrame, seen: DataFrame, length: int, hot_limit: int) -> Data
         return docs.sparkSession.createDataFrame([], "doc_id long, k long, b int, e int")
     judged, source = sc.broadcast(R.column_bitmap(once, "doc_id", R.bits_for(size.n))), texts(docs)
     again, bits = R.repeated(source, lambda batches: (x[6] for x in _parsed(batches, judged.value, length)), 2 * size.bytes // (most + 2), hot_limit)
-    again = staged(again, "again")
-    hot = np.sort(np.array([r.h for r in again.filter("often").select("h").collect()], np.int64))  # at most triggers / hot_limit of them
-    sent = sc.broadcast((R.column_bitmap(again, "h", R.bits_for(again.count())), hot))
+
+    def parse(batches):
+        for ids, raws, _, start, end, at, h in _parsed(batches, judged.value, length):
+            row = np.searchsorted(end, at, side="right")
+            k = np.fromiter(map(_key, raws), np.int64, len(raws))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in ((h >> np.uint64(64 - bits)).astype(np.int64), ids[row], k[row], (at - start[row]).astype(np.int32))], ["h", "doc_id", "k", "p"])
+
+    met = source.mapInArrow(parse, "h long, doc_id long, k long, p int").join(again, "h")
+    marks = staged(met.groupBy("doc_id", "k").agg(F.collect_set(F.struct("p", "h", "often")).alias("marks")), "marks")
 
     def surround(batches):
-        repeated, hot = sent.value
         held, size = [], 0
-        for ids, raws, buf, start, end, at, h in _parsed(batches, judged.value, length):
-            use = R.member(repeated, R.mix(h >> np.uint64(64 - bits)))
-            at, h = at[use], h[use]
-            if not len(at):
-                continue
-            row = np.searchsorted(end, at, side="right")
-            la, ra = np.minimum(most, at - start[row]), np.minimum(length, end[row] - at)
-            wide = np.concatenate((np.zeros(most, np.uint8), buf, np.zeros(length, np.uint8)))
+        for part, raws in R.buffers(batches, 2, BUFFER):
+            ids, k, marks = part.column(0).to_numpy(), part.column(1).to_numpy(), part.column(3)
+            n = np.array([len(r) for r in raws])
+            end = np.cumsum(n)
+            row = np.repeat(np.arange(len(raws)), pc.list_value_length(marks).to_numpy())
+            p, h, often = (x.to_numpy(zero_copy_only=False) for x in marks.flatten().flatten())
+            at = (end - n)[row] + p
+            la, ra = np.minimum(most, p), np.minimum(length, n[row] - p)
+            wide = np.concatenate((np.zeros(most, np.uint8), np.frombuffer(b"".join(raws), np.uint8), np.zeros(length, np.uint8)))
             around = sliding_window_view(wide, most + length)[at].copy()
             col = np.arange(most + length)
             around[(col < (most - la)[:, None]) | (col >= (most + ra)[:, None])] = 0
-            k = np.fromiter(map(_key, raws), np.int64, len(raws))
-            held.append((h, ids[row], k[row], at - start[row], la, ra, around))
+            held.append((h, often, ids[row], k[row], p, la, ra, around))
             size += len(at)
             if size >= HELD:
-                yield from _distinct(held, hot, bits, length)
+                yield from _distinct(held, length)
                 held, size = [], 0
         if held:
-            yield from _distinct(held, hot, bits, length)
+            yield from _distinct(held, length)
         held = None
         R.tidy()
 
@@ -262,7 +281,7 @@ def spans(docs: DataFrame, seen: DataFrame, length: int, hot_limit: int) -> Data
         del to, d, k, p, la, ra, around, order, new, late
         R.tidy()
 
-    return source.mapInArrow(surround, SENT).repartition("to").mapInArrow(settle, "doc_id long, k long, b int, e int")
+    return _with(docs, marks).mapInArrow(surround, SENT).repartition("to").mapInArrow(settle, "doc_id long, k long, b int, e int")
 
 
 def _out(d, k, b, e):
@@ -271,19 +290,9 @@ def _out(d, k, b, e):
 
 def dedup(docs: DataFrame, length: int = LENGTH, hot_limit: int = HOT) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    sc, docs = docs.sparkSession.sparkContext, no_null_ids(docs)
+    docs = no_null_ids(docs)
     seen = staged(overview(docs), "overview")
     hits = staged(spans(docs, seen, length, hot_limit).groupBy("doc_id", "k").agg(F.collect_list(F.struct("b", "e")).alias("be")), "hits")
-    some = sc.broadcast(R.column_bitmap(hits, "doc_id", R.bits_for(hits.count())))
-
-    def only(batches):
-        for b in batches:
-            mask = R.member(some.value, R.mix(b.column(0).to_numpy().astype(np.uint64)))
-            keys = [_key(x.as_py()) if m else None for x, m in zip(b.column(1), mask)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.int64()), b.column(1)], ["doc_id", "k", "text"]).filter(pa.array(mask))
-
-    touched = texts(docs).mapInArrow(only, "doc_id long, k long, text binary").join(hits, ["doc_id", "k"])
-
     def cut(batches):
         for batch in batches:
             rows = []
@@ -298,7 +307,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, hot_limit: int = HOT) -> DataFr
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()))], ["doc_id", "k", "gone", "runs", "rest"])
 
-    done = touched.mapInArrow(cut, "doc_id long, k long, gone long, runs long, rest string").dropDuplicates(["doc_id", "k"])
+    done = _with(docs, hits).mapInArrow(cut, "doc_id long, k long, gone long, runs long, rest string").dropDuplicates(["doc_id", "k"])
     firsts = seen.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
     out = seen.join(firsts, ["k1", "k2"], "left").join(done, ["doc_id", "k"], "left")
     copy = (F.col("doc_id") > F.col("first")) & (F.col("n_bytes") >= length)
