@@ -99,24 +99,20 @@ def _places(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (h >> np.uint64(64 - bits)).astype(np.int64), (mix(h) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _gather(parts: DataFrame, bits: int, twice: bool, hot: int = 0):
-    """The bitmap of (s int, at binary) rows of places; with ``twice`` only places given
-    twice or more, and beside it the places given more than ``hot`` times."""
+def _gather(parts: DataFrame, bits: int) -> np.ndarray:
+    """The bitmap of (s int, at binary) rows of places."""
     width = 1 << min(bits, SLICE_BITS)
 
     def unite(key, batch):
-        n = np.zeros(width, np.int64)
+        n = np.zeros(width, bool)
         for x in batch.column(1):
-            n += np.bincount(np.frombuffer(x.as_py(), "<u4"), minlength=width)
-        often = np.flatnonzero(n > hot).astype("<u4") if hot else np.zeros(0, "<u4")
-        row = [pa.array([key[0].as_py()], pa.int32()), pa.array([np.packbits(n >= (2 if twice else 1)).tobytes()], pa.binary()), pa.array([often.tobytes()], pa.binary())]
-        return pa.Table.from_arrays(row, ["s", "map", "often"])
+            n[np.frombuffer(x.as_py(), "<u4")] = True
+        return pa.Table.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([np.packbits(n).tobytes()], pa.binary())], ["s", "map"])
 
-    out, often = np.zeros((1 << bits) // 8, np.uint8), [np.zeros(0, np.int64)]
-    for r in parts.groupBy("s").applyInArrow(unite, "s int, map binary, often binary").collect():  # 2^bits / 8 bytes in all
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for r in parts.groupBy("s").applyInArrow(unite, "s int, map binary").collect():  # 2^bits / 8 bytes in all
         out[r.s * width // 8 : (r.s + 1) * width // 8] = np.frombuffer(r["map"], np.uint8)
-        often.append(np.frombuffer(r["often"], "<u4").astype(np.int64) + r.s * width)
-    return (out, np.sort(np.concatenate(often))) if hot else out
+    return out
 
 
 def _sliced(places: np.ndarray, bits: int):
@@ -129,18 +125,13 @@ def _sliced(places: np.ndarray, bits: int):
         yield pa.RecordBatch.from_arrays([pa.array([int(part[0] >> width)], pa.int32()), pa.array([(part & ((1 << width) - 1)).astype("<u4").tobytes()], pa.binary())], ["s", "at"])
 
 
-def bitmap_of(df: DataFrame, hashes, bits: int, twice: bool = False, hot: int = 0):
-    """A bitmap of what ``hashes(batches)`` yields (arrays) over ``df``.
-
-    Plain: a hash sets two places and ``member`` tests both. ``twice``: a hash counts in
-    one place, only places hit by two or more hashes are set (``member_once``), and with
-    ``hot`` the places hit more often than that come too.
-    """
+def bitmap_of(df: DataFrame, hashes, bits: int) -> np.ndarray:
+    """A bitmap of what ``hashes(batches)`` yields (arrays) over ``df``; a hash sets two places and ``member`` tests both."""
 
     def run(batches):
         held, size = [], 0
         for h in hashes(batches):
-            at = (h >> np.uint64(64 - bits)).astype(np.int64) if twice else np.concatenate(_places(h, bits))
+            at = np.concatenate(_places(h, bits))
             held.append(at)
             size += len(at)
             if size > 1 << 22:
@@ -149,7 +140,7 @@ def bitmap_of(df: DataFrame, hashes, bits: int, twice: bool = False, hot: int =
         if size:
             yield from _sliced(np.concatenate(held), bits)
 
-    return _gather(df.mapInArrow(run, "s int, at binary"), bits, twice, hot)
+    return _gather(df.mapInArrow(run, "s int, at binary"), bits)
 
 
 def repeated(df: DataFrame, hashes, n: int, hot: int) -> tuple[DataFrame, int]:
@@ -253,9 +244,3 @@ def member(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
     for at in _places(h, bits):
         out &= (bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
     return out
-
-
-def member_once(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
-    bits = (len(bitmap) * 8).bit_length() - 1
-    at = (h >> np.uint64(64 - bits)).astype(np.int64)
-    return (bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
