@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..staging import written
+
 
 def latest_by(df: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> DataFrame:
     """The first n rows of each key in ``order``; the rank filter prunes before the shuffle."""
@@ -64,23 +66,35 @@ def guarded_tasks(proposed: DataFrame, open_tasks: DataFrame, identity: list[str
     return insert_if_absent(proposed, open_tasks, identity)
 
 
-def ranked(df: DataFrame, order: list[Column]) -> DataFrame:
-    """Adds ``rank`` over all rows in ``order`` (which has to tell rows apart), without a one-task window.
+_ROW = (1 << 33) - 1  # monotonically_increasing_id: partition above 33 bits, row of the partition in them
+
+
+def ranked(df: DataFrame, order: list[Column], within: tuple[str, ...] = ()) -> DataFrame:
+    """Adds ``rank`` (long, from 1, dense) over all rows in ``order``, or over the rows of each ``within``.
 
-    Rows are dealt to ranges; a row's rank is its place in the range and the rows of the
-    ranges before, of which there are as many as shuffle partitions.
+    Rows are dealt to ranges, sorted and numbered there once, and written; a row's rank is
+    its number and the rows of the ranges before, counted from the written table, so that
+    nothing depends on a second run of the exchange. Rows that ``order`` doesn't tell
+    apart are ranked in the order of the input, and may be dealt to several ranges.
     """
-    part = F.spark_partition_id()
-    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", part)
-    placed = dealt.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    keys = [F.asc_nulls_first(c) for c in within] + list(order) + [F.asc("_tie")]
+    dealt = df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    table = written(dealt.drop("_tie").withColumn("_id", F.monotonically_increasing_id()), "ranked")
+    part = F.shiftrightunsigned("_id", 33)
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    return placed.join(F.broadcast(sizes), "_part").withColumn("rank", (F.col("_before") + F.col("_at")).cast("int")).drop("_part", "_at", "_before")
+    # one row a range: as many as shuffle partitions
+    sizes = table.groupBy(part.alias("_part")).agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    placed = table.withColumn("_part", part).join(F.broadcast(sizes), "_part").withColumn("rank", F.col("_before") + F.col("_id").bitwiseAND(F.lit(_ROW)) + 1).drop("_part", "_before", "_id")
+    if not within:
+        return placed
+    first = placed.groupBy(*within).agg(F.min("rank").alias("_first")).select(*(F.col(c).alias(f"_within_{i}") for i, c in enumerate(within)), "_first")
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_within_{i}")) for i, c in enumerate(within)))
+    return placed.join(first, same).withColumn("rank", F.col("rank") - F.col("_first") + 1).drop("_first", *(f"_within_{i}" for i in range(len(within))))
 
 
 def retention(df: DataFrame, order: list[Column], keep: int = 3) -> DataFrame:
     """Snapshots with rank and whether they stay."""
-    return ranked(df, order).withColumn("kept", F.col("rank") <= keep)
+    return ranked(df, order).withColumn("rank", F.col("rank").cast("int")).withColumn("kept", F.col("rank") <= keep)
 
 
 def carry_forward(df: DataFrame, keys: list[str], order: list[str], columns: list[str]) -> DataFrame:

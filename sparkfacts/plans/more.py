@@ -151,3 +151,16 @@ def guarded_tasks(spark, d):
     o = table(spark, d, "orders")
     proposed = o.filter("o_orderstatus = 'F'").selectExpr("o_custkey AS entity", "'inclusion' AS kind")
     return latest.guarded_tasks(proposed, o.filter("o_orderstatus = 'P'").selectExpr("o_custkey AS entity", "'inclusion' AS kind"), ["entity", "kind"])
+
+
+@query("""SELECT event_id, user_id, event_type, value, props, CAST(row_number() OVER (ORDER BY ts DESC, event_id DESC) AS INT) AS rank, row_number() OVER (ORDER BY ts DESC, event_id DESC) <= 100 AS kept FROM events""")
+def retained_snapshots(spark, d):
+    """Every event a snapshot, with its whole payload beside the rank."""
+    return latest.retention(table(spark, d, "events"), [F.desc("ts"), F.desc("event_id")], 100).drop("ts")
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag, l_shipdate, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_shipdate DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS rank FROM lineitem""")
+def ranked_within(spark, d):
+    """Ranks within three large groups, none of which meets in one task."""
+    order = [F.desc("l_shipdate"), *(F.asc(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))]
+    return latest.ranked(table(spark, d, "lineitem"), order, ("l_returnflag",)).select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag", "l_shipdate", "rank")

@@ -60,6 +60,33 @@ def test_ranks_over_all_rows(spark):
     assert all(r["rank"] == r.x + 1 for r in latest.ranked(df, [F.asc("x")]).collect())
 
 
+@pytest.mark.parametrize("partitions", [8, 200])
+def test_ranks_lose_no_row_of_wide_frames(spark, partitions):
+    from pyspark.sql import functions as F
+
+    from sparkfacts.operators import latest
+
+    n, before = 600_000, spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        df = spark.range(n).select(((F.col("id") * 7919) % n).alias("x"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 2).alias("payload"))
+        one = latest.ranked(df, [F.desc("x")]).agg(F.count("*"), F.countDistinct("rank"), F.sum((F.col("rank") != n - F.col("x")).cast("int")), F.countDistinct("payload")).first()
+        assert tuple(one) == (n, n, 0, n)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_ranks_within_groups_and_ties(spark):
+    from pyspark.sql import functions as F
+
+    from sparkfacts.operators import latest
+
+    rows = [(None, 5), ("a", 2), ("a", None), ("b", 1), ("a", 2), (None, 4), ("a", 1)]
+    got = latest.ranked(spark.createDataFrame(rows, "g string, x int"), [F.asc_nulls_last("x")], ("g",)).collect()
+    assert sorted((str(r.g), r["rank"], r.x) for r in got) == [("None", 1, 4), ("None", 2, 5), ("a", 1, 1), ("a", 2, 2), ("a", 3, 2), ("a", 4, None), ("b", 1, 1)]
+    assert latest.ranked(spark.createDataFrame([], "g string, x int"), [F.asc("x")]).count() == 0
+
+
 def test_date_ranges_over_new_year(spark):
     from pyspark.sql import functions as F
 
