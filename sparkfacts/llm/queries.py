@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, langid, merkle, mixing, pii, simhash, substring_dedup, suffix_dedup, token_output, toxicity, vector_search
+from . import decontamination, langid, lexical, merkle, mixing, pii, simhash, substring_dedup, suffix_dedup, token_output, toxicity, vector_search
 
 
 def queries() -> dict:
@@ -18,8 +18,9 @@ def queries() -> dict:
         "op9_pii": pii.op9_pii,
         "op10_langid": langid.op10_langid,
         "op11_merkle": merkle.op11_merkle,
+        "op13_lexical": lexical.op13_lexical,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_topk": vector_search.ORACLE, "op8_substrings": substring_dedup.ORACLE, "op11_merkle": merkle.ORACLE}
+    return {"op4_topk": vector_search.ORACLE, "op8_substrings": substring_dedup.ORACLE, "op11_merkle": merkle.ORACLE, "op13_lexical": lexical.ORACLE}
