@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, langid, lexical, merkle, mixing, pii, simhash, substring_dedup, suffix_dedup, token_output, toxicity, vector_search
+from . import decontamination, langid, lexical, merkle, mixing, pii, quality, simhash, substring_dedup, suffix_dedup, token_output, toxicity, vector_search
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_pii": pii.op9_pii,
         "op10_langid": langid.op10_langid,
         "op11_merkle": merkle.op11_merkle,
+        "op12_quality": quality.op12_quality,
         "op13_lexical": lexical.op13_lexical,
     }
 
