@@ -34,11 +34,14 @@ def paths(spark: SparkSession) -> list[str]:
     return list(getattr(spark, "_sparkfacts_paths", []))
 
 
+def forget(spark: SparkSession, path: str) -> None:
+    """Deletes one written table."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    spark._sparkfacts_paths = [p for p in paths(spark) if p != path]
+
+
 def discard(spark: SparkSession, since: int = 0) -> None:
     """Deletes the tables written after the first ``since``; a session calls it when no frame reads them any more."""
-    known = paths(spark)
-    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-    for path in known[since:]:
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(hadoop).delete(at, True)
-    spark._sparkfacts_paths = known[:since]
+    for path in paths(spark)[since:]:
+        forget(spark, path)

@@ -5,11 +5,11 @@ import threading
 
 import pytest
 
-from sparkfacts.plans import catalog, derive, forms, landed, profile
+from sparkfacts.plans import catalog, derive, forms, landed, profile, rated
 
 from .test_catalog import DATA, TABLES, plain
 
-NAMES = sorted(n for n, f in catalog.QUERIES.items() if f.__module__ in {m.__name__ for m in (derive, forms, landed, profile)})
+NAMES = sorted(n for n, f in catalog.QUERIES.items() if f.__module__ in {m.__name__ for m in (derive, forms, landed, profile, rated)})
 
 
 @pytest.fixture(scope="module")
