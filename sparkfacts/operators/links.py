@@ -6,10 +6,11 @@ import difflib
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_discovery_name, token_sort
+from ..staging import written
 
 ATTACH = 0.6
 AUTO = 0.85
@@ -28,29 +29,95 @@ def ambiguous(links: DataFrame, entity: str, org: str) -> DataFrame:
     return links.groupBy(entity).agg(F.countDistinct(org).alias("n_orgs"), F.array_sort(F.collect_set(org)).alias("orgs")).filter("n_orgs > 1")
 
 
+def _letters(name: Column) -> Column:
+    """A name's characters as places in ALPHABET."""
+    return F.transform(F.split(name, ""), lambda c: F.call_function("locate", c, F.lit(ALPHABET)) - 1)
+
+
+def _masks(letters: Column) -> Column:
+    """For each character of ALPHABET the bits of its places in a name of up to 62 characters; null beyond."""
+
+    def mask(k):
+        bits = F.aggregate(letters, F.struct(F.lit(0).cast("long").alias("m"), F.lit(1).cast("long").alias("b")), lambda a, x: F.struct(F.when(x == k, a.m.bitwiseOR(a.b)).otherwise(a.m).alias("m"), F.shiftleft(a.b, 1).alias("b")))
+        return bits.m
+
+    return F.when(F.size(letters) <= 62, F.transform(F.sequence(F.lit(0), F.lit(len(ALPHABET) - 1)), mask))
+
+
+def _common(masks: Column, length: Column, letters: Column) -> Column:
+    """Length of the longest common subsequence of a name, by its masks, and another: one bit-parallel step a character."""
+    low = F.call_function("shiftleft", F.lit(1).cast("long"), length) - 1
+
+    def step(v, c):
+        hit = v.bitwiseAND(F.get(masks, c))
+        return (v + hit).bitwiseOR(v - hit).bitwiseAND(low)
+
+    return length - F.bit_count(F.aggregate(letters, low, step))
+
+
+#: What word-sorted names are made of.
+ALPHABET = " abcdefghijklmnopqrstuvwxyz0123456789"
+#: Names of one side that meet in a task, at most.
+SHARE = 1000
+
+
+def similar_candidates(left: DataFrame, right: DataFrame, least: float = ATTACH) -> DataFrame:
+    """(name, other): pairs of distinct word-sorted names that may reach ``least``; none that does is missing.
+
+    A ratio is twice the matched characters over both lengths. Lengths of a pair so lie
+    within one factor: names meet in bands of that factor, a band dealt to shares of about
+    SHARE names. Characters counted in both names, and then the longest common subsequence
+    (names of up to 62 characters), are no fewer than can match; both are held against the
+    lengths in Spark's own expressions. At 0.6 no index of characters or their pairs rules
+    out more: names of 60 characters need share but 36 of them in any order.
+    """
+    factor = (2 - least) / least
+    n = F.length("name")
+    band = F.floor(F.log(n.cast("double")) / math.log(factor) + 1e-9).cast("int")
+    need = lambda lengths: F.greatest(F.lit(1), F.ceil(least / 2 * lengths - 1e-9))
+    counts = [(n - F.length(F.replace("name", F.lit(c), F.lit("")))).alias(f"c{i}") for i, c in enumerate(ALPHABET)]
+
+    def ready(names: DataFrame, what: str) -> DataFrame:
+        own = names.select(token_sort(F.col("name")).alias("name")).filter("name <> ''").distinct()
+        return written(own.select("name", n.alias("n"), band.alias("band"), F.xxhash64("name").alias("h"), _letters(F.col("name")).alias("letters"), *counts), what)
+
+    a, b = ready(left, "left_names"), ready(right, "right_names")
+    # one row a band: as many as the logarithm of the longest name
+    shares = lambda x, name: F.broadcast(x.groupBy("band").agg(F.ceil(F.count("*") / SHARE).cast("int").alias(name)).withColumnRenamed("band", "_band"))
+    side = lambda x, mark: x.select(*(F.col(c).alias(f"{c}_{mark}") for c in x.columns))
+    own_a = a.withColumn("to", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))).withColumn("masks", _masks(F.col("letters"))).drop("letters")
+    dealt = own_a.join(shares(a, "_own"), F.col("band") == F.col("_band")).drop("_band").join(shares(b, "_others"), F.col("to") == F.col("_band")).drop("_band")
+    dealt = dealt.withColumn("share", F.pmod("h", "_own").cast("int")).withColumn("other_share", F.explode(F.sequence(F.lit(0), F.col("_others") - 1))).drop("_own", "_others", "h")
+    met = b.join(shares(b, "_own"), F.col("band") == F.col("_band")).withColumn("other_share", F.pmod("h", "_own").cast("int")).drop("_own", "_band", "h")
+    # dealt by both shares: a band's names meet in as many tasks as it has pairs of shares
+    ends = a.groupBy("band").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("_n")).select(F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("_to"), F.col("band").alias("_from"), F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_share"))
+    met = met.join(F.broadcast(ends), F.col("band") == F.col("_to"))
+    left_side, right_side = side(dealt, "a"), side(met, "b")
+    keys = (F.col("band_a") == F.col("_from_b")) & (F.col("to_a") == F.col("band_b")) & (F.col("share_a") == F.col("_share_b")) & (F.col("other_share_a") == F.col("other_share_b"))
+    lengths = F.col("n_a") + F.col("n_b")
+    shared = sum((F.least(f"c{i}_a", f"c{i}_b") for i in range(len(ALPHABET))), F.lit(0))
+    common = F.when(F.col("masks_a").isNotNull(), _common(F.col("masks_a"), F.col("n_a"), F.col("letters_b"))).otherwise(F.col("n_a"))
+    near = left_side.join(right_side, keys & (shared >= need(lengths)) & (common >= need(lengths)))
+    return near.select(F.col("name_a").alias("name"), F.col("name_b").alias("other"))
+
+
 def similar_names(left: DataFrame, right: DataFrame, least: float = ATTACH) -> DataFrame:
     """(left_id, right_id, score): all pairs of names whose matching-block ratio reaches ``least``.
 
-    The ratio is at most 2 * shorter / (shorter + longer), so lengths of a pair lie within
-    one factor; bands of that factor, each met by its neighbours, make an equi join that
-    loses no pair. Bags of characters bound the ratio again before it is computed.
+    Names are compared once for each distinct pair, and only those that
+    ``similar_candidates`` can't rule out are matched block by block in Python.
     """
-    factor = (2 - least) / least
-    band = F.floor(F.log(F.length("name")) / math.log(factor)).cast("int")
-    a = left.select(F.col("id").alias("left_id"), token_sort(F.col("name")).alias("name")).filter("name <> ''").withColumn("band", F.explode(F.array(band - 1, band, band + 1)))
-    b = right.select(F.col("id").alias("right_id"), token_sort(F.col("name")).alias("name")).filter("name <> ''").withColumn("band", band).withColumnRenamed("name", "other")
 
     def score(batches):
         for pdf in batches:
-            out = []
-            for x, y in zip(pdf["name"], pdf["other"]):
-                m = difflib.SequenceMatcher(None, x, y)
-                out.append(m.ratio() if m.real_quick_ratio() >= least and m.quick_ratio() >= least else 0.0)
+            out = [difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(pdf["name"], pdf["other"])]
             pdf = pdf.assign(score=pd.Series(out, dtype="float64", index=pdf.index).round(4))
-            yield pdf.loc[pdf["score"] >= least, ["left_id", "right_id", "score"]]
+            yield pdf.loc[[x >= least for x in out], ["name", "other", "score"]]
 
-    pairs = a.join(b, "band").select("left_id", "right_id", "name", "other")
-    return pairs.mapInPandas(score, "left_id long, right_id long, score double").groupBy("left_id", "right_id").agg(F.max("score").alias("score"))
+    pairs = similar_candidates(left, right, least).mapInPandas(score, "name string, other string, score double")
+    a = left.select(F.col("id").alias("left_id"), token_sort(F.col("name")).alias("name"))
+    b = right.select(F.col("id").alias("right_id"), token_sort(F.col("name")).alias("other"))
+    return pairs.join(a, "name").join(b, "other").groupBy("left_id", "right_id").agg(F.max("score").alias("score"))
 
 
 def resolution_outcome(staged: DataFrame, scored: DataFrame) -> DataFrame:

@@ -569,3 +569,10 @@ def event_windows(spark, d):
 def coverage_counts(spark, d):
     rank = F.when(F.col("o_orderstatus") == "F", 3).when(F.col("o_orderstatus") == "O", 2).otherwise(1)
     return table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("state")).agg(F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("n_final"), F.max(rank).alias("best"))
+
+
+@query(None)
+def similar_titles(spark, d):
+    """Titles of pages against each other, by matching blocks; not said in SQL."""
+    titles = table(spark, d, "pages").select(F.col("page_id").alias("id"), F.regexp_extract("html", "(?is)<title>(.*?)</title>", 1).alias("name"))
+    return links.similar_names(titles, titles)
