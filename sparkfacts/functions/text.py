@@ -71,6 +71,18 @@ def person_key(names: pd.Series) -> pd.Series:
     return names.map(key, na_action=None)
 
 
+#: Text on which Spark's own functions fold names as ``person_key`` does.
+PLAIN = r"^[\t\n\x0B\f\r\x20-\x7E]*$"
+
+
+def name_words(c: Column) -> Column:
+    """Distinct words of a name, compatible, case-folded and sorted; plain ASCII never leaves the JVM."""
+    plain = c.rlike(PLAIN)
+    folded = F.regexp_replace(F.lower(c), r"[^a-z0-9_\s]", "")
+    other = person_key(F.when(~plain, c))
+    return F.array_sort(F.array_distinct(F.filter(F.split(F.when(plain, folded).otherwise(other), r"\s+"), lambda w: w != "")))
+
+
 def is_discovery_name(c: Column) -> Column:
     return F.coalesce(c.rlike(DISCOVERY), F.lit(False))
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .latest import latest_by
-from .metrics import RATIOS, ratio, winning_filings
+from .metrics import RATIOS, ratio
 
 # The concepts of a ratio, and those that have to be above zero or resolved.
 INPUTS = {"operating_margin": ("total_revenue", "total_expenses")} | RATIOS
@@ -18,19 +18,24 @@ MOST_MISMATCHES = 0.05
 
 
 def filing_chain(staged: DataFrame, stored: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(filings to insert with ``authoritative``, review tasks) of staged filings.
+    """(filings to insert with ``authoritative``, review tasks) of staged filings (keys, object_id, amended).
 
-    Of each key one staged filing wins. It becomes authoritative only where no stored one
-    is; a stored flag never changes. A winner that is amended and comes after an
-    authoritative filing is a task for review.
+    An amended filing comes before one that isn't, then the greater object_id, as text.
+    The best staged filing of a key becomes authoritative where it comes before all stored
+    ones, whether these are authoritative or not; a stored flag never changes. If it is
+    amended and the best stored one is authoritative, both are for now: a task for review,
+    with the filing it outranks. Object_ids stored already are not inserted again.
     """
-    new = staged.join(stored.select("object_id"), "object_id", "left_anti")
-    won = winning_filings(new, keys).select("object_id", F.lit(True).alias("_won"))
-    held = stored.filter("authoritative").select(*keys).distinct().withColumn("_held", F.lit(True))
-    both = new.join(won, "object_id", "left").join(held, keys, "left")
-    late = F.col("_won") & F.col("_held") & F.col("amended")
-    flag = F.coalesce(F.col("_won"), F.lit(False)) & F.col("_held").isNull()
-    return both.withColumn("authoritative", flag).drop("_won", "_held"), both.filter(late).select(*keys, "object_id")
+    rank = lambda: F.struct(F.coalesce("amended", F.lit(False)).alias("amended"), F.col("object_id").cast("string").alias("id"))
+    best = staged.groupBy(*keys).agg(F.max(rank()).alias("_best"))
+    held = stored.groupBy(*keys).agg(F.max(rank()).alias("_held"), F.max_by(F.struct("object_id", "authoritative"), rank()).alias("_old"))
+    new = staged.join(stored.select("object_id").distinct(), "object_id", "left_anti").dropDuplicates(["object_id"])
+    # nulls in a key meet no stored filing, as they would not in SQL
+    both = new.join(best, [new[k].eqNullSafe(best[k]) for k in keys]).drop(*(best[k] for k in keys)).join(held, keys, "left")
+    wins = (rank() == F.col("_best")) & (F.col("_held").isNull() | (F.col("_best") > F.col("_held")))
+    flagged = both.withColumn("authoritative", wins)
+    tasks = flagged.filter(F.col("authoritative") & F.col("amended") & F.col("_old.authoritative"))
+    return flagged.drop("_best", "_held", "_old").select(*staged.columns, "authoritative"), tasks.select(*keys, "object_id", F.col("_old.object_id").alias("outranks"))
 
 
 def newest_facts(facts: DataFrame, keys: list[str], version: list[str]) -> DataFrame:

@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import finished_status
+from ..functions.text import finished_status, name_words
+from .curation import contained_names
 
 
 def invariant_counts(violations: dict[str, DataFrame]) -> DataFrame:
@@ -48,6 +49,38 @@ def suppressed(rows: DataFrame, rules: DataFrame, name: str, scope: list[str]) -
     return rows.join(r, (F.col(name) == F.col("_name")) & same, "left_semi")
 
 
+def unsuppressed(people: DataFrame, rules: DataFrame) -> DataFrame:
+    """People (name, source, club and others) that no suppression names.
+
+    A rule (name, source, club) holds for its source and club, a null in either for all.
+    Names are equal by their words. Each kind of rule is an equi anti-join of its own.
+    """
+    keyed = people.withColumn("_words", name_words(F.col("name")))
+    told = rules.select(name_words(F.col("name")).alias("_words"), "source", "club").filter(F.size("_words") > 0)
+    for scope in (["source", "club"], ["source"], ["club"], []):
+        blank = [c for c in ("source", "club") if c not in scope]
+        own = told.filter(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in scope] + [F.col(c).isNull() for c in blank]))
+        keyed = keyed.join(own.select("_words", *scope).distinct(), ["_words", *scope], "left_anti")
+    return keyed.select(*people.columns)
+
+
+def crews(entries: DataFrame, people: DataFrame, rules: DataFrame, key: str) -> DataFrame:
+    """Entries with ``crew`` (seat, name) in seat order after scoped suppressions; minors have neither crew nor label.
+
+    ``people`` has the key, seat and name, ``entries`` the key, source, club, minor and crew_label.
+    """
+    scoped = people.join(entries.filter("not minor").select(key, "source", "club"), key)
+    named = unsuppressed(scoped, rules).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("seat", "name"))).alias("crew"))
+    return hide_labels(entries, F.col("minor"), "crew_label").join(named, key, "left")
+
+
+def leaks(names: DataFrame, rows: DataFrame, key: str, labels: list[str]) -> DataFrame:
+    """(key, place, person_id): published people whose names stand in labels of published rows, the last check before activation."""
+    strings = rows.select(F.col(key), F.explode(F.array(*(F.struct(F.lit(c).alias("place"), F.col(c).alias("value")) for c in labels))).alias("s")).select(key, "s.*").filter("value is not null")
+    found = contained_names(names, strings.select(F.struct(key, "place").alias("value_id"), "value"))
+    return found.select(F.col(f"value_id.{key}").alias(key), "value_id.place", "person_id")
+
+
 def hide_labels(rows: DataFrame, minor: Column, *labels: str) -> DataFrame:
     """Labels of minors' events are null."""
     return rows.withColumns({c: F.when(~minor, F.col(c)) for c in labels})

@@ -22,8 +22,10 @@ def _staged(spark, d):
 _CHAIN = """
 WITH f AS (SELECT o_custkey AS ein, last_day(o_orderdate) AS period_end, CASE WHEN o_orderkey % 3 = 0 THEN '990EZ' ELSE '990' END AS form, o_orderstatus = 'F' AS amended, o_orderkey AS object_id FROM orders),
 stored AS (SELECT *, object_id % 8 = 0 AS authoritative FROM f WHERE object_id % 4 = 0), new AS (SELECT * FROM f WHERE object_id % 4 <> 0),
-held AS (SELECT DISTINCT ein, period_end, form FROM stored WHERE authoritative),
-w AS (SELECT *, row_number() OVER (PARTITION BY ein, period_end, form ORDER BY amended DESC, object_id DESC) = 1 AS won, (ein, period_end, form) IN (SELECT (ein, period_end, form) FROM held) AS had FROM new)
+best AS (SELECT ein, period_end, form, object_id AS best, amended FROM f QUALIFY row_number() OVER (PARTITION BY ein, period_end, form ORDER BY amended DESC, CAST(object_id AS VARCHAR) DESC) = 1),
+held AS (SELECT ein, period_end, form, object_id AS held, amended AS held_amended, authoritative AS held_authoritative FROM stored QUALIFY row_number() OVER (PARTITION BY ein, period_end, form ORDER BY amended DESC, CAST(object_id AS VARCHAR) DESC) = 1),
+w AS (SELECT new.*, held, held_authoritative, object_id = best AND (held IS NULL OR new.amended > held_amended OR (new.amended = held_amended AND CAST(object_id AS VARCHAR) > CAST(held AS VARCHAR))) AS authoritative
+  FROM new JOIN best USING (ein, period_end, form) LEFT JOIN held USING (ein, period_end, form))
 """
 
 
@@ -33,12 +35,12 @@ def _chain(spark, d):
     return derive.filing_chain(f, stored, ["ein", "period_end", "form"])
 
 
-@query(_CHAIN + "SELECT object_id, won AND NOT had AS authoritative FROM w")
+@query(_CHAIN + "SELECT object_id, authoritative FROM w")
 def filing_chain(spark, d):
     return _chain(spark, d)[0].select("object_id", "authoritative")
 
 
-@query(_CHAIN + "SELECT object_id, ein, form FROM w WHERE won AND had AND amended")
+@query(_CHAIN + "SELECT object_id, ein, form FROM w WHERE authoritative AND held_authoritative AND amended")
 def late_amendments(spark, d):
     return _chain(spark, d)[1].select("object_id", "ein", "form")
 
@@ -251,7 +253,7 @@ def club_candidates(spark, d):
     return curation.ranked_candidates(_clubs(spark, d)[1]).select("club", "org", "rank")
 
 
-@query(_SCORED + "SELECT club, org AS ein, score FROM scored WHERE score > 0.85 QUALIFY row_number() OVER (PARTITION BY club ORDER BY score DESC, org) <= 5")
+@query(_SCORED + "SELECT club, org AS ein, score FROM scored WHERE score >= 0.85 QUALIFY row_number() OVER (PARTITION BY club ORDER BY score DESC, org) <= 5")
 def registry_proposals(spark, d):
     return curation.proposed_registry(_clubs(spark, d)[1].withColumnRenamed("org", "ein")).select("club", "ein", "score")
 
@@ -264,28 +266,32 @@ def open_pairs(spark, d):
 
 
 _REPLAY = """
-WITH d AS (SELECT o_orderkey AS club, o_custkey AS org, CASE WHEN o_orderkey % 3 = 0 THEN 'reject' ELSE 'link' END AS action FROM orders WHERE o_orderstatus <> 'P'),
-own AS (SELECT o_orderkey AS club, CASE WHEN o_orderkey % 5 = 1 THEN o_custkey ELSE o_custkey + 1 END AS org FROM orders WHERE o_orderkey % 5 < 3),
-a AS (SELECT d.*, CASE WHEN action = 'reject' THEN 'rejected' WHEN own.org IS NULL THEN 'linked' WHEN own.org = d.org THEN 'unchanged' ELSE 'owned_by_other' END AS outcome FROM d LEFT JOIN own USING (club)),
-t AS (SELECT o_orderkey AS club, o_custkey + u AS org, CASE WHEN o_orderkey % 7 = 0 THEN 'resolved' ELSE 'open' END AS status FROM orders, (VALUES (0), (1)) v(u))
+WITH d AS (SELECT o_custkey AS club, o_orderkey AS pos, CAST(year(o_orderdate) % 3 AS BIGINT) AS org, CASE WHEN o_orderstatus = 'O' THEN 'reject' ELSE 'link' END AS action FROM orders WHERE o_orderpriority LIKE '1%'),
+own AS (SELECT c_custkey AS club, CAST(c_nationkey % 3 AS BIGINT) AS owner FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')),
+t AS (SELECT o_custkey AS club, o_orderkey AS task, CASE WHEN o_orderstatus = 'F' THEN 'resolved' ELSE 'open' END AS status FROM orders WHERE o_orderpriority LIKE '2%'),
+firsts AS (SELECT *, first_value(org) OVER (PARTITION BY club ORDER BY CASE action WHEN 'link' THEN 0 ELSE 1 END, pos) AS first_link, row_number() OVER (PARTITION BY club, action ORDER BY pos) AS nth FROM d LEFT JOIN own USING (club)),
+valid AS (SELECT *, action = 'link' AND org <> coalesce(owner, first_link) AS conflict FROM firsts),
+closing AS (SELECT club, min(pos) AS pos, arg_min(action, pos) AS action, arg_min(org, pos) AS org FROM valid WHERE NOT conflict AND club IN (SELECT club FROM t WHERE status = 'open') GROUP BY club),
+a AS (SELECT v.club, v.pos, v.org, v.action, CASE WHEN conflict THEN 'conflict' WHEN c.pos IS NOT NULL THEN CASE v.action WHEN 'reject' THEN 'rejected' ELSE 'promoted' END
+  WHEN v.action = 'link' AND owner IS NULL AND nth = 1 THEN 'promoted' ELSE 'unchanged' END AS outcome FROM valid v LEFT JOIN closing c ON c.club = v.club AND c.pos = v.pos)
 """
 
 
 def _replayed(spark, d):
     o = table(spark, d, "orders")
-    pair = o.select(F.col("o_orderkey").alias("club"), F.col("o_custkey").alias("org"), "o_orderstatus")
-    decisions = pair.filter("o_orderstatus <> 'P'").withColumn("action", F.expr("if(club % 3 = 0, 'reject', 'link')")).drop("o_orderstatus")
-    owners = pair.filter("club % 5 < 3").select("club", F.expr("if(club % 5 = 1, org, org + 1)").alias("org"))
-    tasks = pair.select("club", F.explode(F.array("org", F.col("org") + 1)).alias("org"), F.expr("if(club % 7 = 0, 'resolved', 'open')").alias("status"))
+    decisions = o.filter("o_orderpriority like '1%'").selectExpr("o_custkey AS club", "o_orderkey AS pos", "cast(year(o_orderdate) % 3 AS bigint) AS org", "if(o_orderstatus = 'O', 'reject', 'link') AS action")
+    owners = table(spark, d, "customer").filter("c_mktsegment in ('BUILDING', 'MACHINERY')").selectExpr("c_custkey AS club", "cast(c_nationkey % 3 AS bigint) AS org")
+    tasks = o.filter("o_orderpriority like '2%'").selectExpr("o_custkey AS club", "o_orderkey AS task", "if(o_orderstatus = 'F', 'resolved', 'open') AS status")
     return curation.replay(decisions, owners, tasks)
 
 
-@query(_REPLAY + "SELECT club, org, action, outcome FROM a")
+@query(_REPLAY + "SELECT club, pos, org, action, outcome FROM a")
 def curation_audit(spark, d):
+    """Every decision with its outcome; only promoted and rejected ones leave an audit row."""
     return _replayed(spark, d)[0]
 
 
-@query(_REPLAY + """SELECT club, t.org, CASE WHEN status <> 'open' THEN status WHEN club IN (SELECT club FROM a WHERE outcome = 'linked') THEN 'resolved' WHEN (club, t.org) IN (SELECT (club, org) FROM a WHERE outcome = 'rejected') THEN 'dismissed' ELSE 'open' END AS status FROM t""")
+@query(_REPLAY + """SELECT t.club, task, CASE WHEN status <> 'open' OR c.club IS NULL THEN status WHEN c.action = 'reject' THEN 'dismissed' ELSE 'resolved' END AS status, CASE WHEN status = 'open' AND c.action = 'reject' THEN c.org END AS rejected_org FROM t LEFT JOIN closing c ON c.club = t.club""")
 def curation_tasks(spark, d):
     return _replayed(spark, d)[1]
 
