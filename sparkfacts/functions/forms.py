@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .nested import CONTACTS
 from .text import provider_of_host, search_normalize
 
 # Forms that are read, and what they are called.
@@ -168,8 +169,8 @@ def any_present(*columns: Column) -> Column:
     return F.coalesce(*(F.when(c.isNotNull(), True) for c in columns), F.lit(False))
 
 
-def without_contacts(fields: Column, pattern: str = "(?i)mail|phone|contact|address") -> Column:
-    """A map without the keys that name contacts."""
+def without_contacts(fields: Column, pattern: str = CONTACTS) -> Column:
+    """A map without the keys that name contacts; ``nested.scrub`` does so at any depth."""
     return F.map_filter(fields, lambda k, v: ~k.rlike(pattern))
 
 
