@@ -5,11 +5,11 @@ import threading
 
 import pytest
 
-from sparkfacts.plans import catalog, derive, filed, forms, gates, landed, profile, rated
+from sparkfacts.plans import catalog, derive, filed, forms, gates, landed, profile, rated, released
 
 from .test_catalog import DATA, TABLES, plain
 
-NAMES = sorted(n for n, f in catalog.QUERIES.items() if f.__module__ in {m.__name__ for m in (derive, filed, forms, gates, landed, profile, rated)})
+NAMES = sorted(n for n, f in catalog.QUERIES.items() if f.__module__ in {m.__name__ for m in (derive, filed, forms, gates, landed, profile, rated, released)})
 
 
 @pytest.fixture(scope="module")
