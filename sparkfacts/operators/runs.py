@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timezone
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 
@@ -28,6 +28,34 @@ class Run:
         return spark.createDataFrame([(self.job, self.source, self.started, status, stats)], "job string, source string, started timestamp_ntz, status string, stats map<string,bigint>")
 
 
+def ingest(run: Run, incoming: DataFrame, stored: DataFrame, keys: list[str], checksum: str, dropped: Column, bad: Column, reason: Column, path: str) -> DataFrame:
+    """Writes what is new of ``incoming`` and what is to be quarantined, and counts every row in that one pass.
+
+    Rows are dropped (not wanted), quarantined (bad), repeated (another row of their key
+    comes first), unchanged (stored with this checksum), or inserted; a stored key with
+    another checksum is a conflict and is quarantined. ``run`` gets a counter of each, and
+    ``path`` a partition ``state`` of inserted and of quarantined rows, with the reason.
+    Returns the written rows.
+    """
+    first = Window.partitionBy(*keys, F.coalesce(dropped, F.lit(False)), F.coalesce(bad, F.lit(True))).orderBy(F.asc_nulls_last(checksum))
+    have = stored.select(*keys, F.col(checksum).alias("_have")).dropDuplicates(keys)
+    marked = incoming.withColumn("_nth", F.row_number().over(first)).join(have, keys, "left")
+    state = (
+        F.when(F.coalesce(dropped, F.lit(False)), "dropped")
+        .when(F.coalesce(bad, F.lit(True)), "quarantined")
+        .when(F.col("_nth") > 1, "repeated")
+        .when(F.col("_have") == F.col(checksum), "unchanged")
+        .when(F.col("_have").isNotNull(), "conflict")
+        .otherwise("inserted")
+    )
+    why = F.when(F.col("_state") == "conflict", "conflict").when(F.col("_state") == "quarantined", F.coalesce(reason, F.lit("bad")))
+    marked = marked.withColumn("_state", state).withColumn("reason", why).drop("_nth", "_have")
+    counted = run.counted(marked, **{s: F.col("_state") == s for s in ("inserted", "unchanged", "repeated", "dropped", "quarantined", "conflict")})
+    kept = counted.filter(F.col("_state").isin("inserted", "quarantined", "conflict")).withColumn("state", F.when(F.col("_state") == "inserted", "inserted").otherwise("quarantined")).drop("_state")
+    kept.write.partitionBy("state").parquet(path)
+    return incoming.sparkSession.read.schema(kept.schema).parquet(path)
+
+
 def quarantine(df: DataFrame, bad: Column, reason: Column, payload: list[str]) -> tuple[DataFrame, DataFrame]:
     """Good rows, and the others as (reason, payload JSON)."""
     wrong = F.coalesce(bad, F.lit(True))

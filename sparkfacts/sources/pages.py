@@ -232,3 +232,20 @@ def store_states(landed: DataFrame, stored: DataFrame, key: str, checksum: str)
     have = stored.select(key, F.col(checksum).alias("_have"))
     state = F.when(F.col("_have").isNull(), "new").when(F.col("_have") == F.col(checksum), "same").otherwise("conflict")
     return landed.join(have, key, "left").select(key, state.alias("state"))
+
+
+def paged_catalog(spark, path: str, element: str, size: int = 5000, field: str = "value") -> DataFrame:
+    """Rows of landed catalog pages, up to the first page of fewer than ``size`` rows.
+
+    Each page is a file or folder ``page=<number>`` with a list or an envelope. A page
+    that is no JSON counts as empty and so ends the catalog, as does a gap in the numbers;
+    what lies behind the end isn't read into rows. Only one row a page is looked at to
+    find the end.
+    """
+    landed = spark.read.text(path, wholetext=True).withColumn("page", F.regexp_extract(F.input_file_name(), r"page=(\d+)", 1).cast("long"))
+    pages = landed.select("page", envelope_rows(F.col("value"), element, field).alias("rows"))
+    sizes = pages.select("page", F.size("rows").alias("n"))
+    short = sizes.filter(F.col("n") < size).select("page")
+    last = sizes.select("page").join(sizes.select((F.col("page") - 1).alias("page")), "page", "left_anti")
+    bound = short.unionByName(last).agg(F.min("page").alias("_end"))  # one row
+    return pages.join(F.broadcast(bound), F.col("page") <= F.col("_end")).select("page", F.inline("rows"))
