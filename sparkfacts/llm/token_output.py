@@ -19,6 +19,7 @@ import os
 import re
 import struct
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import no_null_ids, null_ids_back, staged, table, texts
 
 SHARD_TOKENS = 1 << 20
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 1_500_000
 CACHED_LENGTH = 48
 END_ID = 2
 SPAN = 512  # bits between stored ranks
@@ -206,13 +207,29 @@ class Encoder:
         drops = first.get("type") == "Split" and (first.get("behavior"), first.get("invert")) == ("Removed", True) and (first["pattern"].get("Regex") or "").endswith(r"|[^\s\p{L}\p{N}]+")
         special = [re.escape(x["content"].encode()) for x in spec.get("added_tokens", [])]
         self.special = re.compile(b"|".join(special)) if special else None
+        steps = (spec.get("normalizer") or {}).get("normalizers") or [spec.get("normalizer") or {}]
+        self.lowers = any(x.get("type") == "Lowercase" for x in steps)
+        byte_level = [x["type"] for x in (spec.get("pre_tokenizer") or {}).get("pretokenizers") or []][1:] == ["ByteLevel"] and {x.get("type") for x in steps} <= {"NFC", "Replace", "Lowercase", None}
+        # a run of ASCII letters is one piece then, which the model takes as it is
+        self.letters_whole = byte_level and any(x.get("type") == "BPE" for x in [spec["model"]])
         self.by_word = drops and not any(x["lstrip"] or x["rstrip"] or x["content"].split() != [x["content"]] for x in spec.get("added_tokens", []))
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.type).tobytes()
 
     def _words(self, words: list[bytes]) -> list[bytes]:
-        """Ids of each of several words, encoded in one text and told apart by where tokens start."""
+        """Ids of each of several words: letters by the library's model, others encoded in one text and told apart by where tokens start."""
+        if self.letters_whole:
+            letters = [w for w in words if w.isalpha()]
+            if letters:
+                model, kind = self.tokenizer.model.tokenize, {"<u2": "H", "<u4": "I"}[self.type.str]
+                found = {w: array(kind, [t.id for t in model(w.decode())]).tobytes() for w in letters}  # lower-cased by ``many`` if the tokenizer does so
+                rest = [w for w in words if w not in found]
+                found.update(zip(rest, self._joined(rest)) if rest else ())
+                return [found[w] for w in words]
+        return self._joined(words)
+
+    def _joined(self, words: list[bytes]) -> list[bytes]:
         texts_ = [w.decode("utf-8", "replace") for w in words]
         found = self.tokenizer.encode(" ".join(texts_), add_special_tokens=False)
         ids = np.array(found.ids, self.type).tobytes()
@@ -224,23 +241,28 @@ class Encoder:
 
     def ids(self, text: str | bytes) -> bytes:
         """The text's ids as little-endian integers of this encoder's type."""
-        raw = text.encode() if isinstance(text, str) else text
+        return self.many([text.encode() if isinstance(text, str) else text])[0]
+
+    def many(self, raws: list[bytes]) -> list[bytes]:
+        """The ids of several texts; the library gets all their words not met before as one text."""
         if not self.by_word:
-            return self._whole(raw.decode("utf-8", "replace"))
-        # white space where ASCII letters and signs meet, at a bound of the pattern, leaves fewer distinct words
-        words, known = (raw if self.special and self.special.search(raw) else _EDGE.sub(b" ", raw)).split(), self.known
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            new = [w for w in set(words) if w not in known]
-        if len(known) + len(new) > CACHED_WORDS:
+            return [self._whole(r.decode("utf-8", "replace")) for r in raws]
+        known, texts_ = self.known, [r.split() for r in raws]
+        new = set().union(*texts_).difference(known)
+        if len(known) + 2 * len(new) > CACHED_WORDS:
             known.clear()
-            new = list(set(words))
-        known.update(zip(new, self._words(new)))
-        out = b"".join(map(known.__getitem__, words))
-        for w in new:
-            if len(w) > CACHED_LENGTH:
-                del known[w]
+            new = set().union(*texts_)
+        # cut where ASCII letters and signs meet, at a bound of the pattern, new words are made of fewer distinct ones
+        fold = self.lowers and self.letters_whole
+        whole = lambda w: w.isalnum() or self.special and self.special.search(w)
+        cut = {w: [w.lower() if fold else w] if w.isalpha() else [w] if whole(w) else [p.lower() if fold and p.isalpha() else p for p in _EDGE.sub(b" ", w).split()] for w in new}
+        parts = list(set().union(*cut.values()).difference(known))
+        if parts:
+            known.update(zip(parts, self._words(parts)))
+        known.update((w, b"".join(map(known.__getitem__, p))) for w, p in cut.items())
+        out = [b"".join(map(known.__getitem__, words)) for words in texts_]
+        for w in [w for w in (*new, *parts) if len(w) > CACHED_LENGTH]:
+            known.pop(w, None)
         return out
 
 
@@ -261,6 +283,18 @@ def _range_of(d: np.ndarray, spread: np.ndarray, cuts: np.ndarray) -> np.ndarray
     return np.where(high > low, low + 1 + np.floor(spread * (high - low)).astype(np.int64), high)
 
 
+def _groups(batch, most_rows: int = 256, most_bytes: int = 1 << 20):
+    """Slices of a batch with their texts as bytes, each of so many rows or bytes, or one text."""
+    at = size = 0
+    raws: list[bytes] = []
+    for i, x in enumerate(batch.column(1)):
+        raws.append(x.as_buffer().to_pybytes())
+        size += len(raws[-1])
+        if len(raws) == most_rows or size >= most_bytes or i + 1 == batch.num_rows:
+            yield batch.slice(at, len(raws)), raws
+            at, size, raws = i + 1, 0, []
+
+
 def encode(docs: DataFrame, tokenizer: str, end_id: int = END_ID, cuts: list[float] = ()) -> DataFrame:
     """(range_id, doc_id, h, ids binary): ids of each whole text with the end id, in the encoder's type; h is their hash."""
     cuts = np.array(cuts, float)
@@ -271,9 +305,8 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int = END_ID, cuts: list[flo
         enc = encoder(tokenizer)
         end = np.array([end_id], enc.type).tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ids = [enc.ids(t.as_py()) + end for t in part.column(1)]
+            for part, raws in _groups(batch):
+                ids = [x + end for x in enc.many(raws)]
                 h = np.array([xxhash.xxh3_64_intdigest(x) >> 1 for x in ids], np.int64)
                 r = _range_of(part.column(0).to_numpy().astype(float), h / 2.0**63 * (1 - 2.0**-50), cuts)
                 yield pa.RecordBatch.from_arrays([pa.array(r.astype(np.int32)), part.column(0), pa.array(h), pa.array(ids, pa.large_binary())], ["range_id", "doc_id", "h", "ids"])
