@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import no_null_ids, null_ids_back, staged, table, texts
 
 SHARD_TOKENS = 1 << 20
-CACHED_WORDS = 1_500_000
+CACHED_WORDS = 1_000_000
 CACHED_LENGTH = 48
 END_ID = 2
 SPAN = 512  # bits between stored ranks
@@ -212,6 +212,7 @@ class Encoder:
         byte_level = [x["type"] for x in (spec.get("pre_tokenizer") or {}).get("pretokenizers") or []][1:] == ["ByteLevel"] and {x.get("type") for x in steps} <= {"NFC", "Replace", "Lowercase", None}
         # a run of ASCII letters is one piece then, which the model takes as it is
         self.letters_whole = byte_level and any(x.get("type") == "BPE" for x in [spec["model"]])
+        self.folds = self.lowers and self.letters_whole
         self.by_word = drops and not any(x["lstrip"] or x["rstrip"] or x["content"].split() != [x["content"]] for x in spec.get("added_tokens", []))
 
     def _whole(self, text: str) -> bytes:
@@ -223,7 +224,7 @@ class Encoder:
             letters = [w for w in words if w.isalpha()]
             if letters:
                 model, kind = self.tokenizer.model.tokenize, {"<u2": "H", "<u4": "I"}[self.type.str]
-                found = {w: array(kind, [t.id for t in model(w.decode())]).tobytes() for w in letters}  # lower-cased by ``many`` if the tokenizer does so
+                found = {w: array(kind, [t.id for t in model(w.decode().lower() if self.lowers else w.decode())]).tobytes() for w in letters}
                 rest = [w for w in words if w not in found]
                 found.update(zip(rest, self._joined(rest)) if rest else ())
                 return [found[w] for w in words]
@@ -243,19 +244,23 @@ class Encoder:
         """The text's ids as little-endian integers of this encoder's type."""
         return self.many([text.encode() if isinstance(text, str) else text])[0]
 
+    def _folded(self, raw: bytes) -> bytes:
+        """A text with ASCII letters lower-cased, as the tokenizer does itself; not where that would make special tokens or other compositions with a diacritic."""
+        low = raw if not self.folds or b"\xcc" in raw or b"\xcd" in raw else raw.lower()
+        return raw if self.special and self.special.search(low) else low
+
     def many(self, raws: list[bytes]) -> list[bytes]:
         """The ids of several texts; the library gets all their words not met before as one text."""
         if not self.by_word:
             return [self._whole(r.decode("utf-8", "replace")) for r in raws]
-        known, texts_ = self.known, [r.split() for r in raws]
+        known, texts_ = self.known, [self._folded(r).split() for r in raws]
         new = set().union(*texts_).difference(known)
         if len(known) + 2 * len(new) > CACHED_WORDS:
             known.clear()
             new = set().union(*texts_)
         # cut where ASCII letters and signs meet, at a bound of the pattern, new words are made of fewer distinct ones
-        fold = self.lowers and self.letters_whole
         whole = lambda w: w.isalnum() or self.special and self.special.search(w)
-        cut = {w: [w.lower() if fold else w] if w.isalpha() else [w] if whole(w) else [p.lower() if fold and p.isalpha() else p for p in _EDGE.sub(b" ", w).split()] for w in new}
+        cut = {w: [w] if whole(w) else _EDGE.sub(b" ", w).split() for w in new}
         parts = list(set().union(*cut.values()).difference(known))
         if parts:
             known.update(zip(parts, self._words(parts)))

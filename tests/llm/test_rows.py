@@ -139,3 +139,11 @@ def test_one_document_of_a_shard(spark):
     assert sorted(got) == sorted(tk.encode(t, add_special_tokens=False).ids + [2] for i, t, _ in rows if i == 3)
     files = {r.f for r in shards.selectExpr("_metadata.file_path f").collect()}
     assert len(files) == shards.count() > 1
+
+
+def test_folded_words_are_the_librarys():
+    enc = token_output.encoder(token_output.default_tokenizer())
+    texts = ["The THE the tHe don't DON'T I'LL x1Y2 A1", "H\u0331at H\u0331 T\u0308 plain Words", "<|ENDOFTEXT|> Mixed <|endoftext|> Words", "ÀÉ İstanbul ẞ STRASSE", "Word! wOrd!! WORD$$$ a-B_c", "", "\0 \x1f"] + ["Same Words Again And again"] * 3
+    got = enc.many([t.encode() for t in texts])
+    want = [enc.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(g, enc.type).tolist() for g in got] == want
