@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import no_null_ids, null_ids_back, staged, table, texts
 
 SHARD_TOKENS = 1 << 20
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 500_000
 CACHED_LENGTH = 48
 END_ID = 2
 SPAN = 512  # bits between stored ranks
