@@ -56,6 +56,25 @@ KINDS = (
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", "text rlike '[A-Z]{2}[0-9]{2}'",
          "length(translate(x.m, ' ', '')) between 15 and 34 and aggregate(split(concat(substring(translate(x.m, ' ', ''), 5), substring(x.m, 1, 4)), ''), 0L,"
          " (s, c) -> if(c = '', s, (s * if(c between 'A' and 'Z', 100, 10) + instr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', c) - 1) % 97)) = 1", 0.9, "iban|bank|account", False),
+    # a run of letters and digits is a secret only where a word near it says so
+    Kind("secret", r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{20,200}+={0,2}(?![A-Za-z0-9_+/=-])", "text rlike '(?i)token|key|secret|passw|auth|bearer|credential'",
+         "x.m rlike '[0-9]' and x.m rlike '[A-Za-z]' and size(array_distinct(split(lower(x.m), ''))) >= 8", 0.5, "(?:[a-z]+[_-])*(?:token|key|secret|password|passwd|auth|authorization|bearer|credentials?)", False),
+    # known prefixes; gh?_ ends in the CRC-32 of what stands before, base 62
+    Kind("api_key", r"(?<![A-Za-z0-9_])(?:A(?:KIA|SIA)[A-Z2-7]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk_live_[A-Za-z0-9]{24,99}|xox[abprs]-[A-Za-z0-9-]{20,99})(?![A-Za-z0-9_])", "text rlike 'A[KS]IA|gh[pousr]_|sk_live_|xox'",
+         "not x.m rlike '^gh' or crc32(cast(substring(x.m, 5, 30) as binary)) = aggregate(split(substring(x.m, 35, 6), ''), 0L,"
+         " (s, c) -> if(c = '', s, s * 62 + instr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz', c) - 1))", 0.9, "key|token|secret|aws|github|stripe|slack", False),
+    # digits weighted 3, 7, 1 add to a multiple of 10
+    Kind("routing", r"(?<![0-9.,-])[0-9]{9}(?![0-9-])", "text rlike '[0-9]{9}'",
+         "aggregate(sequence(1, 9), 0, (s, i) -> s + cast(substring(x.m, i, 1) as int) * element_at(array(1, 3, 7), i % 3 + 1)) % 10 = 0 and x.m <> '000000000'", 0.5, "routing|aba|transit", False),
+    # a letter for the number modulo 23
+    Kind("dni", r"(?<![A-Za-z0-9])[0-9]{8}-?[A-Z](?![A-Za-z0-9])", "text rlike '[0-9]{8}-?[A-Z]'", "right(x.m, 1) = substring('TRWAGMYFPDXBNJZSQVHLCKE', cast(substring(x.m, 1, 8) as int) % 23 + 1, 1)", 0.7, "dni|nif|documento|identidad", False),
+    # sex, year, month, place and order; the key is 97 less the number modulo 97
+    Kind("nir", r"(?<![0-9])[12] ?[0-9]{2} ?(?:0[1-9]|1[0-2]) ?[0-9]{2} ?[0-9]{3} ?[0-9]{3} ?[0-9]{2}(?![0-9])", "text rlike '[0-9] ?[0-9]{2} ?[0-9]{2} ?[0-9]{2} ?[0-9]{3}'",
+         "cast(right(x.m, 2) as int) = 97 - cast(substring(translate(x.m, ' ', ''), 1, 13) as bigint) % 97", 0.7, "nir|insee", False),
+    # ISO 7064, modulo 11 and 10
+    Kind("tax_id", r"(?<![0-9])[1-9][0-9]{10}(?![0-9])", "text rlike '[0-9]{11}'",
+         "aggregate(sequence(1, 10), 10, (p, i) -> (if((cast(substring(x.m, i, 1) as int) + p) % 10 = 0, 10, (cast(substring(x.m, i, 1) as int) + p) % 10) * 2) % 11, p -> (11 - p) % 10) = cast(right(x.m, 1) as int)",
+         0.5, "steuer|steuer-id|steueridentifikationsnummer|idnr|tin|tax", False),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "text rlike '[0-9]-[0-9]'", "not x.m rlike '^(?:000|666|9)|-00-|-0000$'", 0.5, "ssn|social|security", False),
 )
 BASE = ("email", "ip", "card", "phone")
