@@ -91,10 +91,19 @@ def iso_utc(c: Column) -> Column:
     return F.concat(whole, F.when(micros != "000000", F.concat(F.lit("."), micros)).otherwise(""), F.lit("Z"))
 
 
-def season(start: Column, key: Column) -> Column:
-    """Year of the start date, else the last year that is a part of the key's path; null without either."""
-    years = F.regexp_extract_all(key, F.lit(r"(?:^|/)((?:19|20)[0-9]{2})(?=/|$)"), F.lit(1))
-    return F.coalesce(F.year(start), F.try_element_at(years, F.lit(-1)).cast("int"))
+# Fixed value: a year that is a part of a key's path.
+KEY_YEAR = r"(?:^|/)((?:19|20)\d{2})(?=/|$)"
+
+
+def season(start: Column, key: Column, of_key: Column | None = None) -> Column:
+    """Year of the start date, else the last year in the key's path where ``of_key`` lets keys tell it (everywhere if not given), else null."""
+    year = F.try_element_at(F.regexp_extract_all(key, F.lit(KEY_YEAR), F.lit(1)), F.lit(-1)).cast("int")
+    return F.coalesce(F.year(start), year if of_key is None else F.when(of_key, year))
+
+
+def season_problem(start: Column, key: Column, source: Column) -> Column:
+    """Why a result has no season, null if it has one: such a row stops a publication."""
+    return F.when(season(start, key, source == "time_team").isNull(), F.lit("neither a start date nor a year in the key"))
 
 
 def number_text(c: Column) -> Column:

@@ -14,7 +14,7 @@ from ..functions.text import ein, is_discovery_name
 
 def registry_csv(spark: SparkSession, path: str, watched: DataFrame | None = None) -> DataFrame:
     """A header CSV of registrations, all strings: rows with a valid EIN that are watched or have a telling name."""
-    raw = spark.read.csv(path, header=True, encoding="UTF-8")
+    raw = spark.read.csv(path, header=True, encoding="UTF-8", escape='"')
     raw = raw.toDF(*(c.removeprefix("﻿") for c in raw.columns)).withColumn("EIN", ein(F.col("EIN"))).filter("EIN is not null")
     if watched is None:
         return raw.filter(is_discovery_name(F.col("NAME")))
@@ -75,7 +75,7 @@ def zipped_rows(spark: SparkSession, path: str, names: list[str], sep: str = "|"
 
 def curated_csv(spark: SparkSession, path: str, required: list[str], lists: tuple[str, ...] = ()) -> DataFrame:
     """A small curated CSV: # comments, required columns, fields with several values."""
-    df = spark.read.csv(path, header=True, comment="#")
+    df = spark.read.csv(path, header=True, comment="#", escape='"')
     lacking = [c for c in required if c not in df.columns]
     if lacking:
         raise ValueError(f"columns missing: {', '.join(lacking)}")

@@ -5,11 +5,11 @@ import threading
 
 import pytest
 
-from sparkfacts.plans import catalog, derive, filed, forms, gates, ingested, landed, profile, rated, released
+from sparkfacts.plans import catalog, derive, filed, forms, gates, ingested, landed, profile, rated, released, sourced
 
 from .test_catalog import DATA, TABLES, plain
 
-NAMES = sorted(n for n, f in catalog.QUERIES.items() if f.__module__ in {m.__name__ for m in (derive, filed, forms, gates, ingested, landed, profile, rated, released)})
+NAMES = sorted(n for n, f in catalog.QUERIES.items() if f.__module__ in {m.__name__ for m in (derive, filed, forms, gates, ingested, landed, profile, rated, released, sourced)})
 
 
 @pytest.fixture(scope="module")
