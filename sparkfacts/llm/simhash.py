@@ -452,8 +452,11 @@ def clusters(docs: DataFrame, plan: Plan = SIMILAR) -> DataFrame:
 
     Pairs are nominated in two rounds. In the first each text sends its DENSE nearest of a
     task, which are verified; in the second only pairs of texts not yet in one component
-    count, of texts that had more to send. All those are sent, so no link is lost, and a
-    group of near copies that the first round joins never sends all its pairs.
+    count, of texts that had more to send. All pairs that a table shows are sent then, so
+    no cap loses a link; two texts that meet in no table, or differ in more bits than the
+    screen lets through, are not linked (README has the chances). A group of near copies
+    that the first round joins never sends all its pairs; one whose texts are alike but
+    below the bound does, pair by pair, and each pair is refused.
     """
     spark, docs = docs.sparkSession, no_null_ids(docs)
     marked = staged(_marks(docs, plan), "marks")

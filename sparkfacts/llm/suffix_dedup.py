@@ -1,13 +1,14 @@
-"""Suffix-array dedup of bytes by prefix-free parsing.
+"""Dedup of bytes in suffix order around triggers; what stands in for a full prefix-free parse.
 
-Texts are parsed at triggers: positions whose rolling hash of TRIGGER bytes is the least in
+Texts are marked at triggers: positions whose rolling hash of TRIGGER bytes is the least in
 some stretch of LENGTH bytes. Every LENGTH-byte string so holds a trigger, and equal
-strings hold it at the same place. The dictionary are the triggers' surroundings (phrase
-suffix before, phrases after, as far as a string reaches); a surrounding that occurs again
-is removed by the parse alone. The distinct ones are put in suffix order twice, by what
-follows the trigger and by what goes before it (reversed), with their common prefixes.
-Strings at distance a from their trigger are equal exactly where both orders agree, to
-LENGTH - a bytes after and a bytes before; the first in corpus order stays.
+strings hold it at the same place. No phrases are cut between triggers, no dictionary of
+phrases and no suffix array of the parse are made: the surroundings of triggers met again
+take their place (README says why, with figures). Distinct surroundings are put in suffix
+order twice, by what follows the trigger and by what goes before it (reversed), with
+their common prefixes. Strings at distance a from their trigger are equal exactly where
+both orders agree, to LENGTH - a bytes after and a bytes before; the first in corpus order
+stays. At triggers met very often strings are compared by a hash of their content alone.
 
 Triggers are counted by hash first, in slices of the hash, and a join brings those met
 again back to their documents, so the work is in proportion to the input at any size. A
