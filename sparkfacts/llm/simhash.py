@@ -14,7 +14,8 @@ never form pairs.
 
 ``similar`` asks for similarity itself: fingerprints of distinct shingles only nominate
 pairs, each once; a pair is a link if the exact Jaccard index of its two sets of shingles
-is LEAST or more.
+is LEAST or more. Parities of the shingles' hashes go along with a table's bits: they bound
+the index from above, so that most pairs below LEAST never leave the task that meets them.
 
 Defined cases: null and empty texts have fingerprint zero, linked like any other; fewer
 words than a shingle count as one; repeated rows share a component; null doc_ids pass
@@ -43,7 +44,7 @@ LEAVES = 8  # node pairs of at most so many leaves each side are compared leaf b
 class Plan:
     """words: 64-bit words of a fingerprint, cut into ``tables`` of ``bits`` bits, each joined
     within ``radius``; a found pair is a link if all words differ in ``most`` bits at most,
-    and a candidate of ``similar`` if they do in ``screen``. ``once``: repeated shingles count once."""
+    ``once``: repeated shingles count once."""
 
     shingle: int = 3
     words: int = 1
@@ -52,13 +53,13 @@ class Plan:
     radius: int = 3
     most: int = 3
     once: bool = False
-    screen: int = 3
+    parity: int = 0  # 64-bit words of parities that ``similar`` holds pairs to
 
 
 EXACT = Plan()
 #: Five-word shingles at a similarity of 0.8: cosine 2s/(1+s) of equal sets, an angle of 0.15 pi, 78 of 512 bits expected,
-#: with a deviation of 8. ``most`` lies above by more than one, ``screen`` by four, so that few pairs at 0.8 are missed.
-SIMILAR = Plan(shingle=5, words=8, tables=12, bits=40, radius=4, most=88, once=True, screen=112)
+#: with a deviation of 8. ``most`` lies above by more than one, so that few pairs at 0.8 are missed.
+SIMILAR = Plan(shingle=5, words=8, tables=12, bits=40, radius=4, most=88, once=True, parity=8)
 #: Least Jaccard index of a link of ``similar``, as a fraction of whole numbers.
 LEAST = (4, 5)
 #: How many nearest candidates a text sends from each task in the first round; 0: all at once.
@@ -128,6 +129,11 @@ def _turned(fp: np.ndarray, t: int, first: int, bits: int) -> np.ndarray:
     x = fp[:, word] << np.uint64(off)
     if off + bits > 64:
         x = x | (fp[:, word + 1] >> np.uint64(64 - off))
+    return _rotated(x >> np.uint64(64 - bits) << np.uint64(64 - bits), first, bits)
+
+
+def _rotated(x: np.ndarray, first: int, bits: int) -> np.ndarray:
+    """The top bits of 64-bit numbers, with the one at ``first`` at the top."""
     x = x >> np.uint64(64 - bits)
     if first:
         x = ((x << np.uint64(first)) | (x >> np.uint64(bits - first))) & np.uint64((1 << bits) - 1)
@@ -263,6 +269,23 @@ def _join(plan: Plan):
     return run
 
 
+def parities(h: np.ndarray, words: int) -> list[int]:
+    """For each of 64 * words classes of hashes whether an odd number is in it, then how many hashes there are."""
+    odd = np.bincount((h % np.uint64(64 * words)).astype(np.int64), minlength=64 * words) & 1
+    return [*np.packbits(odd.astype(np.uint8)).view(">u8").astype(np.uint64).tolist(), len(h)]
+
+
+def _may_reach(n: np.ndarray, m: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """False where sets of n and m hashes, of which ``apart`` parities differ, can't have a Jaccard index of LEAST.
+
+    Each class of unlike parity holds a hash that one set alone has, so twice the common
+    ones are at most n + m less these classes.
+    """
+    least, of = LEAST
+    n, m = n.astype(np.int64), m.astype(np.int64)
+    return ((least + of) * (n + m - apart) >= 2 * least * (n + m)) & (np.minimum(n, m) * of >= np.maximum(n, m) * least)
+
+
 class Nearest:
     """Of pairs added bit by bit, those that are among the ``most`` nearest of one of their ends."""
 
@@ -297,38 +320,37 @@ class Nearest:
 
 
 def _pairs(plan: Plan, most: int | None):
-    """Candidate pairs of one partition of (key, side, id, label, fp) rows, with the bits they differ in.
+    """Candidate pairs of one partition of (key, side, id, label, fp) rows, with the parities they differ in.
 
-    Only ids of different labels make pairs. A pair that meets under several keys comes out
-    under the first only. With ``most`` each id sends so many of its nearest a key's task;
+    Only ids of different labels whose sets may reach LEAST make pairs. A pair that meets
+    under several blocks of a table comes out under the first only. With ``most`` each id sends so many of its nearest a key's task;
     ids with more to send come out as (id, null, null).
     """
     blocks = _blocks(plan)
 
     def run(batches):
-        rows = _dealt_rows(batches, plan.words)
+        rows = _dealt_rows(batches, plan.parity + 2)
         if not rows:
             return
-        key, side, ids, label, fp = rows
+        key, side, ids, label, sketch = rows
+        top, odd, size = sketch[:, 0], sketch[:, 1:-1], sketch[:, -1]
         near = Nearest(most) if most else None
         for t in range(plan.tables):
             for n, (first, width) in enumerate(blocks):
                 mine = np.flatnonzero(key // (1 << 40) == t * len(blocks) + n)
                 if len(mine) < 2:
                     continue
-                turned = _turned(fp[mine], t, first, plan.bits)
+                turned = _rotated(top[mine], first, plan.bits)
                 order = np.lexsort((turned, key[mine]))
                 mine, turned = mine[order], turned[order]
                 for a, b in trie_pairs(turned, key[mine], width, plan.bits, plan.radius, side[mine]):
                     a, b = mine[a], mine[b]
                     open_ = label[a] != label[b]
                     a, b = a[open_], b[open_]
-                    apart = fp[a] ^ fp[b]
+                    apart = odd[a] ^ odd[b]
                     d = np.bitwise_count(apart).sum(axis=1, dtype=np.int32)
-                    ok = d <= plan.screen
-                    for u in range(t):
-                        ok &= np.bitwise_count(_turned(apart, u, 0, plan.bits)) > plan.radius
-                    own = _turned(apart, t, 0, plan.bits)
+                    ok = _may_reach(size[a], size[b], d)
+                    own = top[a] ^ top[b]
                     for at, wide in blocks[:n]:
                         ok &= (own << np.uint64(at)) >> np.uint64(64 - wide) != 0
                     a, b, d = ids[a[ok]], ids[b[ok]], d[ok]
@@ -356,13 +378,15 @@ def links(distinct: DataFrame, plan: Plan) -> DataFrame:
 
 
 def candidates(distinct: DataFrame, plan: Plan, most: int | None = None) -> DataFrame:
-    """(a, b, d): pairs of (rep, label, fp) rows of different labels that a table joins and ``screen`` lets through."""
-    return _dealt(distinct, plan).mapInArrow(_pairs(plan, most), "a long, b long, d int")
+    """(a, b, d): pairs of (rep, label, fp) rows of different labels that a table joins and parities let through."""
+    return _dealt(distinct, plan, True).mapInArrow(_pairs(plan, most), "a long, b long, d int")
 
 
-def _dealt(distinct: DataFrame, plan: Plan) -> DataFrame:
+def _dealt(distinct: DataFrame, plan: Plan, sketched: bool = False) -> DataFrame:
     """(key, side, id, label, fp): each row under each of its blocks, dealt by key.
 
+    ``sketched``: in place of the fingerprint go the table's own bits, parities and size.
+
     Bits 40 and up of a key name the table and block, those below the block's value and,
     for hot ones, the pair of salts.
     """
@@ -371,12 +395,17 @@ def _dealt(distinct: DataFrame, plan: Plan) -> DataFrame:
     def deal(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            fp = np.frombuffer(b"".join(batch.column(2).to_pylist()), ">u8").astype(np.uint64).reshape(-1, plan.words)
+            own = batch.column(2)
+            fp = np.frombuffer(b"".join(own.to_pylist()), ">u8").astype(np.uint64).reshape(-1, plan.words + (plan.parity + 1) * sketched)
             for t in range(plan.tables):
+                if sketched:
+                    m = 8 * (plan.parity + 2)
+                    raw = np.column_stack((_turned(fp, t, 0, plan.bits), fp[:, plan.words :])).astype(">u8").tobytes()
+                    own = pa.array([raw[i : i + m] for i in range(0, len(raw), m)], pa.binary())
                 for n, (first, width) in enumerate(blocks):
                     value = (_turned(fp, t, first, plan.bits) >> np.uint64(64 - width)).astype(np.int64)
                     key = (np.int64(t * len(blocks) + n) << 40) + (value << 20)
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(ids), 2, np.int8)), pa.array(ids), batch.column(1), batch.column(2)], ["key", "side", "id", "label", "fp"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(ids), 2, np.int8)), pa.array(ids), batch.column(1), own], ["key", "side", "id", "label", "fp"])
 
     label = "label" if "label" in distinct.columns else "rep"
     dealt = distinct.select("rep", F.col(label).alias("label"), "fp").mapInArrow(deal, "key long, side byte, id long, label long, fp binary")
@@ -413,7 +442,8 @@ def _marks(docs: DataFrame, plan: Plan) -> DataFrame:
                 fp, node = [], []
                 for x in part.column(2):
                     h = shingles(x.as_py(), plan.shingle, True)
-                    fp.append(np.array(majority(h, plan.words), ">u8").tobytes())
+                    more = parities(h, plan.parity) if plan.parity else []
+                    fp.append(np.array([*majority(h, plan.words), *more], np.uint64).astype(">u8").tobytes())
                     node.append(xxhash.xxh3_64_intdigest(h.tobytes()) - (1 << 63))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fp, pa.binary()), pa.array(node, pa.int64())], ["doc_id", "k", "fp", "node"])
 
@@ -453,10 +483,9 @@ def clusters(docs: DataFrame, plan: Plan = SIMILAR) -> DataFrame:
     Pairs are nominated in two rounds. In the first each text sends its DENSE nearest of a
     task, which are verified; in the second only pairs of texts not yet in one component
     count, of texts that had more to send. All pairs that a table shows are sent then, so
-    no cap loses a link; two texts that meet in no table, or differ in more bits than the
-    screen lets through, are not linked (README has the chances). A group of near copies
-    that the first round joins never sends all its pairs; one whose texts are alike but
-    below the bound does, pair by pair, and each pair is refused.
+    no cap loses a link; two texts that meet in no table are not linked (README has the
+    chances). A group of near copies that the first round joins never sends all its pairs,
+    and pairs whose parities rule them out are not sent at all.
     """
     spark, docs = docs.sparkSession, no_null_ids(docs)
     marked = staged(_marks(docs, plan), "marks")
