@@ -35,9 +35,9 @@ def snapshot_violations(rows: DataFrame, scope: DataFrame, series: list[str]) ->
     }
 
 
-def redacted(entries: DataFrame, people: DataFrame, suppressed_names: DataFrame, key: str) -> DataFrame:
-    """Entries with ``names`` in seat order: minors have neither names nor a label, suppressed names go before they are gathered."""
-    open_ = people.join(suppressed_names, "name", "left_anti").join(entries.filter("not minor").select(key), key, "left_semi")
+def redacted(entries: DataFrame, people: DataFrame, suppressed: DataFrame, key: str, by: str = "name") -> DataFrame:
+    """Entries with ``names`` in seat order: minors have neither names nor a label, people suppressed ``by`` name or another column go before they are gathered."""
+    open_ = people.join(suppressed, by, "left_anti").join(entries.filter("not minor").select(key), key, "left_semi")
     named = open_.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("seat", "name"))), lambda p: p["name"]).alias("names"))
     return hide_labels(entries, F.col("minor"), "crew_label").join(named, key, "left").withColumn("names", F.coalesce("names", F.array().cast("array<string>")))
 

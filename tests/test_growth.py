@@ -28,3 +28,28 @@ def test_newest_capture_is_taken_before_people_meet_it(spark, nation):
     df = forms.newest_captures(spark, nation)
     assert {r.c_custkey for r in df.collect()} == {998} and df.count() == 30
     assert plan(df).index("Join") < plan(df).index("Window")
+
+
+def test_a_team_is_gathered_once(spark, nation):
+    from sparkfacts.operators import profiles
+
+    orgs = spark.sql("SELECT id AS org, id % 2 AS team FROM range(6)")
+    none = spark.sql("SELECT 1L AS org, 'total_revenue' AS key, 2000 AS tax_year, 1BD AS amount, 'filed' AS status").limit(0)
+    people = spark.createDataFrame([(0, "a", 1.0), (0, "b", 2.0), (3, "c", 1.0)], "team long, name string, pay double")
+    df = profiles.profiles(orgs, none, none, people, orgs.select("org").limit(0), "org", "team")
+    assert {r.org: r.people for r in df.collect()} == {i: ["b", "a"] if i % 2 == 0 else None for i in range(6)}
+    assert "Join" in plan(df).split("collect_list(struct(pay")[0]
+
+
+def test_people_of_one_name_are_redacted_by_key(spark, nation):
+    import duckdb
+
+    from sparkfacts.plans import catalog, profile
+
+    spark.sql("SELECT id AS o_orderkey, id % 9 AS o_custkey FROM range(40)").write.parquet(f"{nation}/orders.parquet")
+    spark.sql("SELECT id % 40 AS l_orderkey, cast(1 AS int) AS l_linenumber, id % 31 AS l_suppkey, id AS l_partkey FROM range(90)").write.parquet(f"{nation}/lineitem.parquet")
+    con = duckdb.connect()
+    for t in ("orders", "lineitem", "supplier"):
+        con.sql(f"create view {t} as select * from '{nation}/{t}.parquet/*.parquet'")
+    got = profile.redacted_activity(spark, nation).select("l_orderkey", "l_linenumber", "crew_label", "names").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(con.sql(catalog.SQL["redacted_activity"]).fetchall(), key=repr)
