@@ -67,3 +67,34 @@ def test_copies_of_names_are_members_not_pairs(spark):
     rep = {i: first.get(i, i) for i, n in enumerate(names) if n}
     opened = {(a, b): pairs[rep[a], rep[b]] for a in rep for b in rep if (rep[a], rep[b]) in pairs}
     assert opened == {(r.left_id, r.right_id): r.score for r in links.similar_names(df, df).collect()}
+
+
+def test_lines_are_dealt_by_event_once(spark):
+    from sparkfacts.plans import rated
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = rated.event_orders(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # orders and customers by customer, what they make and the lines by event
+    assert text.count("Exchange hashpartitioning") == 4
+
+
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_divisions_without_a_value_are_fitted(spark, monkeypatch, shuffled):
+    from sparkfacts.operators import ratings
+
+    orders = [(None, 1, "ABC"), (None, 2, "BAC"), ("x", 3, "CAB"), ("x", 4, "ABCD"), ("x", 5, "DA")]
+    rows = [(d, e, c, p + 1, len(o)) for d, e, o in orders for p, c in enumerate(o)]
+    fields = spark.createDataFrame(rows, "kind string, event long, club string, pos int, n int")
+    fitted = ratings.fit_large(fields, ["kind"], "event", "club", most_steps=2) if shuffled else ratings.fit(fields, ["kind"], "event", "club")
+    got = {(r.kind, r.club): (r.s, r.steps) for r in fitted.collect()}
+    if shuffled:
+        monkeypatch.setattr(ratings, "MOST_STEPS", 2)
+    want, pdf = {}, fields.toPandas()
+    for d in (None, "x"):
+        own = pdf[pdf.kind.isna() if d is None else pdf.kind == d]
+        want |= {(d, r.club): (r.s, r.steps) for r in ratings.fit_group(own, "event", "club").itertuples()}
+    assert got.keys() == want.keys() and all(got[k][1] == want[k][1] and abs(got[k][0] - want[k][0]) < 1e-9 for k in want)
