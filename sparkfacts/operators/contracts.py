@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,15 +20,25 @@ def _get(value: Column, key: str) -> Column:
     return F.try_variant_get(value, f"$[{mark}{key}{mark}]", "variant")
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """The array ``use(value)``, where the value is worked out once, however often it is used."""
+    return F.flatten(F.transform(F.array(value), use))
+
+
 def problems(schema: dict, value: Column, at: Column) -> Column:
     """array<string> of "place: rule" for what a variant breaks, in the schema's order; empty if nothing.
 
     Covers the keywords of KEYWORDS; another one is an error when the expression is made.
+    The value and its kind are worked out once, whatever number of rules ask for them.
     """
     if unknown := schema.keys() - KEYWORDS:
         raise ValueError(f"contract uses {sorted(unknown)}")
+    kind = lambda v: F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
+    return _once(value, lambda v: _once(F.struct(v.alias("value"), kind(v).alias("kind")), lambda x: _problems(schema, x["value"], x["kind"], at)))
+
+
+def _problems(schema: dict, value: Column, kind: Column, at: Column) -> Column:
     none = F.array().cast("array<string>")
-    kind = F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
     text, number = F.try_variant_get(value, "$", "string"), F.try_variant_get(value, "$", "double")
     is_ = lambda name: kind.isin(*_KINDS[name])
     out = []
@@ -63,8 +74,8 @@ def problems(schema: dict, value: Column, at: Column) -> Column:
         out.append(F.when(is_("object") & _get(value, key).isNull(), F.array(F.concat(at, F.lit(f".{key}: required")))).otherwise(none))
     known = schema.get("properties", {})
     for key, below in known.items():
-        child = _get(value, key)
-        out.append(F.when(is_("object") & child.isNotNull(), problems(below, child, F.concat(at, F.lit(f".{key}")))).otherwise(none))
+        inner = lambda v: F.when(v.isNotNull(), problems(below, v, F.concat(at, F.lit(f".{key}")))).otherwise(none)  # noqa: B023, E731
+        out.append(F.when(is_("object"), _once(_get(value, key), inner)).otherwise(none))
     if schema.get("additionalProperties") is False:
         keys = F.array_sort(F.map_keys(F.try_variant_get(value, "$", "map<string,variant>")))
         extra = F.array_except(keys, F.array(*map(F.lit, known)).cast("array<string>"))
@@ -79,16 +90,17 @@ def problems(schema: dict, value: Column, at: Column) -> Column:
     return F.concat(*out) if out else none
 
 
+def _found(payload: str, schema: dict) -> Column:
+    """What a JSON payload breaks; it is parsed once."""
+    return _once(F.try_parse_json(payload), lambda v: F.when(v.isNull(), F.array(F.lit("$: malformed"))).otherwise(problems(schema, v, F.lit("$"))))
+
+
 def violations(rows: DataFrame, key: str, payload: str, schema: dict) -> DataFrame:
     """(key, place, rule): one row for each rule that a JSON payload breaks; text that is no JSON breaks ``malformed``."""
-    value = F.try_parse_json(payload)
-    found = F.when(value.isNull(), F.array(F.lit("$: malformed"))).otherwise(problems(schema, value, F.lit("$")))
-    told = rows.select(key, F.explode(found).alias("m"))
+    told = rows.select(key, F.explode_outer(_found(payload, schema)).alias("m")).filter("m is not null")  # explode would add filters that check each payload again
     return told.select(key, F.regexp_extract("m", r"(?s)^(.*): (\w+)$", 1).alias("place"), F.regexp_extract("m", r"(?s)^(.*): (\w+)$", 2).alias("rule"))
 
 
 def checked(rows: DataFrame, payload: str, schema: dict) -> DataFrame:
     """``rows`` with ``valid`` and ``problems`` of a JSON payload."""
-    value = F.try_parse_json(payload)
-    found = F.when(value.isNull(), F.array(F.lit("$: malformed"))).otherwise(problems(schema, value, F.lit("$")))
-    return rows.withColumn("problems", found).withColumn("valid", F.size("problems") == 0)
+    return rows.withColumn("problems", _found(payload, schema)).withColumn("valid", F.size("problems") == 0)

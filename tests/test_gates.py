@@ -84,3 +84,10 @@ def test_contracts(spark):
     assert {r.id: r.n for r in told} == {i: len(x) for i, x in got.items() if x}
     with pytest.raises(ValueError, match="oneOf"):
         contracts.problems({"oneOf": []}, F.lit(None), F.lit("$"))
+
+
+def test_a_payload_is_parsed_once(spark):
+    from sparkfacts.operators import contracts
+
+    df = contracts.violations(spark.createDataFrame([(1, "{}")], "id int, p string"), "id", "p", SCHEMA)
+    assert df._jdf.queryExecution().optimizedPlan().toString().lower().count("parsejson") == 1
