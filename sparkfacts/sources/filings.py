@@ -181,20 +181,26 @@ def _read(xml: str | bytes | None, tries: dict[str, dict]) -> dict:
 READ = f"form_type string, return_version string, tax_period_end string, tax_period_begin string, ein string, filer_name string, amended boolean, return_type string, numbers map<string,array<bigint>>, people array<{PERSON}>, error string"
 
 
+#: Documents whose rows a task holds at a time.
+SLICE = 256
+
+
+def _read_batches(batches, tries: dict[str, dict], arrow: pa.Schema):
+    for batch in batches:
+        for start in range(0, batch.num_rows, SLICE):
+            ids, xmls = batch.slice(start, SLICE).columns
+            yield pa.RecordBatch.from_pylist([{"object_id": i, **_read(xml.as_py(), tries)} for i, xml in zip(ids.to_pylist(), xmls)], arrow)
+
+
 def read_filings(files: DataFrame) -> DataFrame:
     """Rows of (object_id, xml), read once each: header, form, numbers by path, people, or an error.
 
     Nothing stops the job: null, malformed and formless documents are rows with ``error``.
+    A task holds the rows of SLICE documents, whatever the size of its batches.
     """
     schema = f"object_id {files.schema['object_id'].dataType.simpleString()}, {READ}"
     tries, arrow = _tries(), to_arrow_schema(StructType.fromDDL(schema))
-
-    def run(batches):
-        for batch in batches:
-            rows = [{"object_id": i, **_read(xml.as_py(), tries)} for i, xml in zip(batch.column(0).to_pylist(), batch.column(1))]
-            yield pa.RecordBatch.from_pylist(rows, arrow)
-
-    return files.select("object_id", "xml").mapInArrow(run, schema)
+    return files.select("object_id", "xml").mapInArrow(lambda batches: _read_batches(batches, tries, arrow), schema)
 
 
 def _numbers(path: str) -> Column:

@@ -80,3 +80,15 @@ def test_broken_files_are_rows_and_stop_nothing(spark, kind):
 
 def test_empty_table(spark):
     assert filings.parse_filings(spark.createDataFrame([], "object_id int, xml string")).collect() == []
+
+
+def test_rows_of_few_documents_at_a_time():
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    n = 2 * filings.SLICE + 1
+    batch = pa.RecordBatch.from_pydict({"object_id": pa.array(range(n), "int64"), "xml": [doc("<IRS990/>")] * n})
+    out = list(filings._read_batches(iter([batch]), filings._tries(), to_arrow_schema(StructType.fromDDL(f"object_id bigint, {filings.READ}"))))
+    assert [b.num_rows for b in out] == [filings.SLICE, filings.SLICE, 1]
+    assert [i for b in out for i in b.column(0).to_pylist()] == list(range(n))
