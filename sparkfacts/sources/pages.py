@@ -7,12 +7,12 @@ import json
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
-
-from ..operators.latest import carry_forward
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def anchors(html: Column) -> Column:
@@ -95,11 +95,11 @@ def result_rows(pages: DataFrame, key: str, html: str) -> tuple[DataFrame, DataF
 
 
 class _Directory(HTMLParser):
-    """Date rows, category headings and links of a directory page, in order."""
+    """Links of a directory page, in order, each with the date row and category heading that stand before it."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.out, self.kind, self.href, self.text = [], None, None, []
+        self.out, self.n, self.date, self.category, self.kind, self.href, self.text = {}, 0, None, None, None, None, []
 
     def handle_starttag(self, tag, attrs):
         a = dict(attrs)
@@ -113,30 +113,40 @@ class _Directory(HTMLParser):
 
     def handle_endtag(self, tag):
         if self.kind and tag == self.kind[0]:
-            self.out.append((len(self.out), self.kind[1], " ".join("".join(self.text).split()), self.href))
-            self.kind = None
-
+            label = " ".join("".join(self.text).split())
+            if self.kind[1] == "link":
+                self.out.setdefault((self.date, self.href), (self.n, label, self.href, self.date, self.category))
+            else:
+                setattr(self, self.kind[1], label)
+            self.kind, self.n = None, self.n + 1
 
-_ITEM = T.StructType([T.StructField("pos", T.IntegerType()), *(T.StructField(c, T.StringType()) for c in ("kind", "label", "href"))])
 
-
-@pandas_udf(T.ArrayType(_ITEM))
-def directory_items(html: pd.Series) -> pd.Series:
-    def items(text):
-        p = _Directory()
-        p.feed(text or "")
-        return [{"pos": a, "kind": b, "label": c, "href": d} for a, b, c, d in p.out]
-
-    return html.map(items)
+#: Pages whose links a task holds at a time.
+PAGES = 256
 
 
 def directory_links(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """Links with the date and category that stand before them; the first of equal (date, href)."""
-    items = pages.select(key, F.inline(directory_items(html)))
-    items = items.withColumn("date", F.when(F.col("kind") == "date", F.col("label"))).withColumn("category", F.when(F.col("kind") == "category", F.col("label")))
-    links = carry_forward(items, [key], ["pos"], ["date", "category"]).filter("kind = 'link'")
-    first = links.groupBy(key, "date", "href").agg(F.min("pos").alias("pos"))
-    return links.join(first, (links[key] == first[key]) & links.date.eqNullSafe(first.date) & (links.href == first.href) & (links.pos == first.pos), "left_semi")
+    """Links (key, pos, label, href, date, category) of pages with the date and category that stand before them; of a page's links of equal (date, href) the first.
+
+    Each row is a page; what stands before a link stands in the same row, so no row is sent anywhere.
+    """
+    schema = T.StructType([T.StructField(key, pages.schema[key].dataType), T.StructField("pos", T.IntegerType()), *(T.StructField(c, T.StringType()) for c in ("label", "href", "date", "category"))])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, PAGES):
+                ids, texts = batch.slice(start, PAGES).columns
+                at, links = [], []
+                for i, text in enumerate(texts):
+                    p = _Directory()
+                    p.feed(text.as_py() or "")
+                    links += p.out.values()
+                    at += [i] * len(p.out)
+                columns = zip(*links) if links else [()] * 5
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at, "int32")).cast(arrow.types[0]), *(pa.array(c, t) for c, t in zip(columns, arrow.types[1:]))], schema=arrow)
+
+    return pages.select(key, html).mapInArrow(run, schema)
 
 
 def archive_years(html: Column) -> Column:

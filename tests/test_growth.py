@@ -98,3 +98,16 @@ def test_divisions_without_a_value_are_fitted(spark, monkeypatch, shuffled):
         own = pdf[pdf.kind.isna() if d is None else pdf.kind == d]
         want |= {(d, r.club): (r.s, r.steps) for r in ratings.fit_group(own, "event", "club").itertuples()}
     assert got.keys() == want.keys() and all(got[k][1] == want[k][1] and abs(got[k][0] - want[k][0]) < 1e-9 for k in want)
+
+
+def test_links_are_carried_where_their_page_is_read(spark):
+    from sparkfacts.sources import pages
+
+    date, kind, link = '<tr bgcolor="#FFCC00"><td>{}</td></tr>', '<span class="newscat2">{}</span>', '<a href="{}">{}</a>'
+    one = link.format("/0", "no date") + date.format("May") + kind.format("A") + link.format("/0", "x") + kind.format("B") + link.format("/0", "again") + link.format("/1", "y &amp; z") + date.format("June") + link.format("/0", "w")
+    df = spark.createDataFrame([(1, one), (2, link.format("/0", "other")), (3, None), (4, "no links")], "page long, html string")
+    found = pages.directory_links(df, "page", "html")
+    rows = sorted((r.page, r.pos, r.date, r.category, r.href, r.label) for r in found.collect())
+    assert rows == [(1, 0, None, None, "/0", "no date"), (1, 3, "May", "A", "/0", "x"), (1, 6, "May", "B", "/1", "y & z"), (1, 8, "June", "B", "/0", "w"), (2, 0, None, None, "/0", "other")]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("MapInArrow") == 1
