@@ -58,12 +58,18 @@ class Releases:
         row = F.xxhash64(F.to_json(F.struct(F.col("*")))).cast("decimal(38,0)")
         return F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(row), F.lit(0)).cast("string").alias("checksum")
 
-    def draft(self, tables: dict[str, DataFrame]) -> dict:
-        """Writes the tables; rows and checksums are observed in the same pass."""
+    def draft(self, tables: dict[str, DataFrame | Callable[[dict[str, DataFrame]], DataFrame]]) -> dict:
+        """Writes the tables; rows and checksums are observed in the same pass.
+
+        A table may be a function of those before it, which it gets as they were written:
+        what they hold isn't worked out again.
+        """
         have = self.numbers()
         made = {"base": have[-1] if have else 0, "folder": f"{self.root}/data/{uuid.uuid4().hex}", "tables": {}}
         for name, df in tables.items():
             seen, path = Observation(), f"{made['folder']}/{name}"
+            if callable(df):
+                df = df({n: self.spark.read.parquet(t["path"]) for n, t in made["tables"].items()})
             df.observe(seen, *self._measures()).write.parquet(path)
             made["tables"][name] = {"path": path} | seen.get
         return made
@@ -97,7 +103,7 @@ class Releases:
             raise
         return number
 
-    def release(self, tables: dict[str, DataFrame], rules: Callable[[dict[str, DataFrame]], dict[str, DataFrame]] | None = None) -> int:
+    def release(self, tables: dict[str, DataFrame | Callable[[dict[str, DataFrame]], DataFrame]], rules: Callable[[dict[str, DataFrame]], dict[str, DataFrame]] | None = None) -> int:
         draft = self.draft(tables)
         self.validate(draft, rules)
         return self.commit(draft)

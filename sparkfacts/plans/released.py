@@ -27,6 +27,7 @@ def _source(spark, d):
 
 
 def _facts(filings, lines):
+    lines = lines.join(filings.selectExpr("filing_id AS l_orderkey"), "l_orderkey", "left_semi")  # sent by filing once, and no lines of others
     rows = lines.selectExpr("l_orderkey AS filing_id", f"{_CONCEPT} AS concept", "l_partkey AS version", "cast(l_extendedprice AS decimal(16,2)) AS amount", "if(l_returnflag = 'R', 'partial', 'verified') AS quality_state", "l_shipdate AS retrieved_at", "l_suppkey")
     rows = rows.groupBy("filing_id", "concept", "version").agg(F.max_by(F.struct("amount", "quality_state", "retrieved_at"), F.struct("amount", "quality_state", "retrieved_at")).alias("v")).select("filing_id", "concept", "version", "v.*")
     return rows.join(filings, "filing_id").withColumns({"unit": F.lit("USD"), "period_begin": F.when(F.col("form") == "990", F.add_months("period_end", -6)), "source_path": F.concat(F.lit("/x/"), "concept"), "raw_url": F.concat(F.lit("https://example.org/"), F.col("filing_id").cast("string"))})
@@ -76,7 +77,7 @@ def _tables(spark, d):
     aliases = table(spark, d, "customer").filter("c_acctbal > 0").selectExpr("c_custkey AS org", "c_mktsegment AS alias")
     results = lines.selectExpr("l_suppkey AS org", "l_orderkey AS regatta", "l_linenumber AS entry", "l_extendedprice AS value").join(orders.selectExpr("o_orderkey AS regatta", "year(o_orderdate) AS season"), "regatta")
     made = (
-        assembly.directories(orgs, filings, notices, aliases), series, coverage, assembly.profile_payloads(orgs, filings, series, coverage, notices), profiles.peer_cohorts(orgs, "org", "kind"),
+        assembly.directories(orgs, filings, notices, aliases), series, coverage, lambda made: assembly.profile_payloads(orgs, filings, made["org_financial_series"], made["org_filing_coverage"], notices), profiles.peer_cohorts(orgs, "org", "kind"),
         table(spark, d, "part").selectExpr("p_type AS metric_key", "1 AS metric_version").distinct(), orders.selectExpr("o_orderpriority AS source_key").distinct(), results, orgs.select("slug", "org"),
     )
     return dict(zip(assembly.TABLES, made))
@@ -106,7 +107,7 @@ SELECT c_custkey AS org, CASE WHEN c_custkey IN (SELECT org FROM newest) THEN (S
 def released_profiles(spark, d):
     """Profiles read back from a release."""
     r = releases.Releases(spark, f"{shared_folder(spark)}/release-{uuid.uuid4().hex}")
-    r.release({k: v for k, v in _tables(spark, d).items() if k in ("org_directory", "org_financial_series", "org_profile", "org_slug_history")}, _rules)
+    r.release({k: v for k, v in _tables(spark, d).items() if k in ("org_directory", "org_financial_series", "org_filing_coverage", "org_profile", "org_slug_history")}, _rules)
     p = r.read("org_profile").select("org", "payload.*")
     total = F.aggregate("snapshot", F.lit(0).cast("decimal(38,2)"), lambda a, x: (a + F.when(x["key"] == "filing_presence", 0).otherwise(x["value"]).cast("decimal(38,2)")).cast("decimal(38,2)"))
     has = F.size(F.filter("snapshot", lambda x: x["key"] != "filing_presence")) > 0

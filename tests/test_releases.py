@@ -89,3 +89,11 @@ def test_metric_series(spark):
     got = sorted((r.quality_state, r.source_ref.unit, r.source_ref.source.raw_url, r.source_ref.period.label) for r in good.collect())
     assert got == [("under_review", "count", None, "FY2020 (Mar 2019–Feb 2020)"), ("verified", "USD", "u7", "FY2020 (Mar 2019–Feb 2020)")]
     assert sorted(r.metric_id for r in bad.collect()) == [3, 4]
+
+
+def test_a_table_is_made_of_written_ones(spark, tmp_path):
+    from sparkfacts.operators.releases import Releases
+
+    r = Releases(spark, f"file://{tmp_path}")
+    r.release({"a": spark.range(5).withColumn("once", F.expr("uuid()")), "b": lambda made: made["a"].filter("id > 2")}, lambda t: {"other": t["b"].join(t["a"], ["id", "once"], "left_anti")})
+    assert r.read("b").count() == 2 and {k: t["rows"] for k, t in r.manifest()["tables"].items()} == {"a": 5, "b": 2}
