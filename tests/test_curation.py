@@ -81,6 +81,33 @@ def test_contained_names(spark, monkeypatch, share):
     assert got == want and (64, 64) in got and not any(v == 60 for v, _ in got)
 
 
+@pytest.mark.parametrize("sent", [True, False])
+def test_contained_names_of_ids_that_repeat(spark, monkeypatch, sent):
+    """Values and names are told apart though their ids repeat; names that meet values by broadcast or by shuffles give the same pairs, each once."""
+    from sparkfacts.operators import curation
+
+    if not sent:
+        for bound in ("SENT_NAMES", "SENT_WORDS", "SENT_PEOPLE"):
+            monkeypatch.setattr(curation, bound, 0)
+    people = [(1, "Ann Lee"), (1, "lee"), (1, "LEE, Ann"), (2, "Ann Ray"), (3, "Lee Ann")]
+    values = [(7, "lee"), (7, "ann"), (7, "Lee lee ann"), (8, "ann lee ray"), (9, "ray"), (None, "lee")]
+    rows = curation.contained_names(spark.createDataFrame(people, "person_id int, name string"), spark.createDataFrame(values, "value_id int, value string"))
+    assert sorted(tuple(r) for r in rows.filter("value_id is not null").collect()) == [(7, 1), (7, 3), (8, 1), (8, 2), (8, 3)]
+
+
+def test_contained_names_sends_numbers_of_names_alone(spark):
+    """What is kept of a value are numbers of words that names hold, so that a pair is tested on few of them."""
+    from sparkfacts import staging
+    from sparkfacts.operators import curation
+
+    since = len(staging.paths(spark))
+    values = [(i, " ".join(f"w{j}" for j in range(500)) + " ann") for i in range(20)]
+    found = curation.contained_names(spark.createDataFrame([(1, "Ann W3"), (2, "Zed")], "person_id int, name string"), spark.createDataFrame(values, "value_id int, value string"))
+    assert found.count() == 20
+    kept = next(p for p in staging.paths(spark)[since:] if "/value_words-" in p)
+    assert {len(r._all) for r in spark.read.parquet(kept).collect()} == {2}
+
+
 def test_suppressions_in_scope(spark):
     from sparkfacts.operators import publish
 
