@@ -24,6 +24,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -185,13 +186,17 @@ class WaveletMatrix:
 
 _EDGE = re.compile(rb"(?<=[A-Za-z0-9])(?=[!-&(-/:-@\[-`{-~])|(?<=[!-&(-/:-@\[-`{-~])(?=[A-Za-z0-9])")
 
+_KIND = np.zeros(256, np.uint8)  # 1: ASCII letters and digits, 2: signs that _EDGE names
+_KIND[[c for c in range(128) if chr(c).isalnum()]] = 1
+_KIND[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'"]] = 2
+
 
 class Encoder:
     """Encodes UTF-8 texts with the tokenizers library, each distinct word once.
 
     Where the tokenizer's own pattern leaves out white space, no piece spans two words, so a
     text's ids are those of its words (split at ASCII white space) in a row. The library
-    encodes the words not met before, and up to CACHED_WORDS are kept. With any other
+    encodes the words not met lately, and about CACHED_WORDS are kept. With any other
     tokenizer whole texts go to the library.
     """
 
@@ -202,6 +207,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[bytes, bytes] = {}
+        # kept words, with their ids in a row and the last call that met each
+        self.vocabulary, self.held, self.calls = pa.array([], pa.large_string()), np.zeros(0, self.type), 0
+        self.size = self.start = self.met = np.zeros(0, np.int64)
         spec = json.loads(self.tokenizer.to_str())
         first = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
         drops = first.get("type") == "Split" and (first.get("behavior"), first.get("invert")) == ("Removed", True) and (first["pattern"].get("Regex") or "").endswith(r"|[^\s\p{L}\p{N}]+")
@@ -250,25 +258,65 @@ class Encoder:
         return raw if self.special and self.special.search(low) else low
 
     def many(self, raws: list[bytes]) -> list[bytes]:
-        """The ids of several texts; the library gets all their words not met before as one text."""
+        """The ids of several texts: Arrow numbers their words and looks them up, and those not met lately go to the library as one text."""
         if not self.by_word:
             return [self._whole(r.decode("utf-8", "replace")) for r in raws]
-        known, texts_ = self.known, [self._folded(r).split() for r in raws]
-        new = set().union(*texts_).difference(known)
-        if len(known) + 2 * len(new) > CACHED_WORDS:
-            known.clear()
-            new = set().union(*texts_)
-        # cut where ASCII letters and signs meet, at a bound of the pattern, new words are made of fewer distinct ones
-        whole = lambda w: w.isalnum() or self.special and self.special.search(w)
-        cut = {w: [w] if whole(w) else _EDGE.sub(b" ", w).split() for w in new}
-        parts = list(set().union(*cut.values()).difference(known))
-        if parts:
-            known.update(zip(parts, self._words(parts)))
-        known.update((w, b"".join(map(known.__getitem__, p))) for w, p in cut.items())
-        out = [b"".join(map(known.__getitem__, words)) for words in texts_]
-        for w in [w for w in (*new, *parts) if len(w) > CACHED_LENGTH]:
-            known.pop(w, None)
-        return out
+        # Arrow splits at the white space of bytes.split and gives empty words at the ends
+        lists = pc.ascii_split_whitespace(self._cut([self._folded(r) for r in raws]))
+        coded = lists.values.dictionary_encode()
+        place = self._places(coded.dictionary)[coded.indices.to_numpy()]
+        n = self.size[place]
+        end = np.concatenate(([0], np.cumsum(n)))
+        out, m = self.held[np.repeat(self.start[place] - end[:-1], n) + np.arange(end[-1])].tobytes(), self.type.itemsize
+        cuts = (end[lists.offsets.to_numpy()] * m).tolist()
+        if len(self.size) > CACHED_WORDS or self.vocabulary.nbytes > CACHED_WORDS * CACHED_LENGTH:
+            short = np.flatnonzero(pc.binary_length(self.vocabulary).to_numpy() <= CACHED_LENGTH)
+            self._keep(short[np.argsort(-self.met[short], kind="stable")][: CACHED_WORDS // 2])
+        return [out[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def _keep(self, which: np.ndarray) -> None:
+        """Only these of the kept words stay."""
+        n = self.size[which]
+        start = np.cumsum(n) - n
+        self.held = self.held[np.repeat(self.start[which] - start, n) + np.arange(int(n.sum()))]
+        self.vocabulary, self.size, self.start, self.met = self.vocabulary.take(pa.array(which)), n, start, self.met[which]
+
+    def _places(self, words: pa.Array) -> np.ndarray:
+        """Places of distinct words among the kept ones, with those not there added."""
+        at = pc.index_in(words, value_set=self.vocabulary)
+        new = words.filter(at.is_null())
+        place, kept = at.fill_null(-1).to_numpy().astype(np.int64), len(self.size)
+        place[place < 0] = kept + np.arange(len(new))
+        if len(new):
+            ids = self._words(new.cast(pa.large_binary()).to_pylist())
+            n = np.fromiter(map(len, ids), np.int64, len(ids)) // self.type.itemsize
+            self.start = np.concatenate((self.start, len(self.held) + np.cumsum(n) - n))
+            self.size, self.met = np.concatenate((self.size, n)), np.concatenate((self.met, np.zeros(len(n), np.int64)))
+            self.held = np.concatenate((self.held, np.frombuffer(b"".join(ids), self.type)))
+            self.vocabulary = pa.concat_arrays([self.vocabulary, new])
+        self.calls += 1
+        self.met[place] = self.calls
+        return place
+
+    def _cut(self, raws: list[bytes]) -> pa.Array:
+        """Texts with a space where ASCII letters and signs meet, at a bound of the pattern, so that they are made of fewer distinct words; special tokens stay whole."""
+        if self.special:
+            raws = [b" ".join(w if self.special.search(w) else _EDGE.sub(b" ", w) for w in r.split()) if self.special.search(r) else r for r in raws]
+            apart = np.array([self.special.search(r) is not None for r in raws], bool)
+        else:
+            apart = np.zeros(len(raws), bool)
+        data, size = np.frombuffer(b"".join(raws), np.uint8), np.fromiter(map(len, raws), np.int64, len(raws))
+        kind = _KIND[data]
+        edge = np.zeros(len(data) + 1, bool)  # a space before this byte
+        if len(data):
+            edge[1:-1] = kind[1:] + kind[:-1] == 3
+        offsets = np.concatenate(([0], np.cumsum(size)))
+        for i in np.flatnonzero(apart):
+            edge[offsets[i] : offsets[i + 1] + 1] = False
+        before = np.flatnonzero(edge)
+        out = np.insert(data, before, 32)
+        offsets += np.searchsorted(before, offsets, side="left")
+        return pa.LargeStringArray.from_buffers(len(raws), pa.py_buffer(offsets), pa.py_buffer(out))
 
 
 @lru_cache(2)
@@ -288,7 +336,7 @@ def _range_of(d: np.ndarray, spread: np.ndarray, cuts: np.ndarray) -> np.ndarray
     return np.where(high > low, low + 1 + np.floor(spread * (high - low)).astype(np.int64), high)
 
 
-def _groups(batch, most_rows: int = 256, most_bytes: int = 1 << 20):
+def _groups(batch, most_rows: int = 1024, most_bytes: int = 1 << 22):
     """Slices of a batch with their texts as bytes, each of so many rows or bytes, or one text."""
     at = size = 0
     raws: list[bytes] = []
