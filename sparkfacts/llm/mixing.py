@@ -135,52 +135,87 @@ def _plan(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"no_source": group.no_source, "key": group.key, "size": sizes, "n": counts, "extra": fit(sizes, counts, rest), "passes": passes, "source_size": total, "target": goal})
 
 
-def _choose(docs: DataFrame, seed: int) -> DataFrame:
-    """``docs`` (doc_id, source, text, row) with size, source_size, target and copies, without text.
+def _sized(docs: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, no_source, key, size, k, row) of ``docs`` (doc_id, source, text, row), and ``more`` of its columns."""
+    return docs.select(*more, F.col("doc_id").cast("long").alias("doc_id"), F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("key"), word_count().alias("size"), text_key().alias("k"), "row")
 
-    ``row`` numbers rows; of rows of a size that share their doc_id, equal texts lie together
-    and may be taken for one another.
-    """
-    spark = docs.sparkSession
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("key"), word_count().alias("size"), text_key().alias("k"), "row")
-    sized = staged(sized, "sizes")  # narrow passes follow; texts are read once
-    keys = ["no_source", "key"]
-    counts = sized.groupBy(*keys, "size").agg(F.count("*").alias("n"))
-    totals = sorted((r.no_source, r.key.encode(), r.key, int(r.total)) for r in counts.groupBy(*keys).agg(F.sum(F.col("size") * F.col("n")).alias("total")).collect())
+
+_KEYS = ["no_source", "key"]
+
+
+def _plans(sized: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(no_source, key, size) with n, extra, passes, source_size and target, and the hashes of doc_ids that fill a bucket by themselves."""
+    spark = sized.sparkSession
+    counts = sized.groupBy(*_KEYS, "size").agg(F.count("*").alias("n"))
+    totals = sorted((r.no_source, r.key.encode(), r.key, int(r.total)) for r in counts.groupBy(*_KEYS).agg(F.sum(F.col("size") * F.col("n")).alias("total")).collect())
     goals = targets([t[3] for t in totals])
     goal = spark.createDataFrame([(a, c, t, g) for (a, _, c, t), g in zip(totals, goals)], "no_source boolean, key string, source_size long, target double")
-    plan = counts.join(goal, keys).groupBy(*keys).applyInPandas(_plan, "no_source boolean, key string, size long, n long, extra long, passes int, source_size long, target double")
-    plan = staged(plan, "mixplan")
-    part = sized.withColumn("h", F.xxhash64(F.lit(seed), "doc_id"))
-    # a doc_id that fills a bucket by itself is spread over buckets of its own
-    many = part.groupBy(*keys, "size", "h").agg(F.count("*").alias("same")).filter(F.col("same") > BUCKET)
-    part = part.join(plan, [*keys, "size"]).join(staged(many, "repeated"), [*keys, "size", "h"], "left")
+    plan = counts.join(goal, _KEYS).groupBy(*_KEYS).applyInPandas(_plan, "no_source boolean, key string, size long, n long, extra long, passes int, source_size long, target double")
+    many = _hashed(sized, seed).groupBy(*_KEYS, "size", "h").agg(F.count("*").alias("same")).filter(F.col("same") > BUCKET)
+    return staged(plan, "mixplan"), staged(many, "repeated")
+
+
+def _hashed(sized: DataFrame, seed: int) -> DataFrame:
+    return sized.withColumn("h", F.xxhash64(F.lit(seed), "doc_id"))
+
+
+def _bucketed(planned: DataFrame, many: DataFrame) -> DataFrame:
+    """Rows with their plan and h, and the bucket (b, c) that they are ranked in."""
+    # a doc_id that fills a bucket by itself is spread over buckets of its own; these are fewer than one in BUCKET rows
+    part = planned.join(F.broadcast(many), [*_KEYS, "size", "h"], "left")
     part = part.withColumn("b", F.pmod(F.shiftrightunsigned("h", 20), F.ceil(F.col("n") / BUCKET)))
-    part = part.withColumn("c", F.when(F.col("same").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("k", "row"), F.ceil(F.col("same") / BUCKET))))
-    group = [*keys, "size", "b", "c"]
-    before = Window.partitionBy(*keys, "size").orderBy("b", "c").rowsBetween(Window.unboundedPreceding, -1)
+    return part.withColumn("c", F.when(F.col("same").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("k", "row"), F.ceil(F.col("same") / BUCKET))))
+
+
+def _ranked(sized: DataFrame, plan: DataFrame, many: DataFrame, seed: int) -> DataFrame:
+    """Rows with their plan, bucket and rank (from 1) among those of a source and size.
+
+    ``row`` numbers rows; of rows of a size that share their doc_id, equal texts lie together
+    and may be taken for one another.
+    """
+    part = _bucketed(_hashed(sized, seed).join(plan, [*_KEYS, "size"]), many)
+    group = [*_KEYS, "size", "b", "c"]
+    before = Window.partitionBy(*_KEYS, "size").orderBy("b", "c").rowsBetween(Window.unboundedPreceding, -1)
     at = part.groupBy(*group).agg(F.count("*").alias("m")).withColumn("before", F.coalesce(F.sum("m").over(before), F.lit(0))).drop("m")
-    ranked = part.withColumn("r", F.row_number().over(Window.partitionBy(*group).orderBy("h", "doc_id", "k", "row"))).join(at, group)
-    copies = F.col("passes") + (F.col("r") + F.col("before") <= F.col("extra")).cast("int")
-    return ranked.select("doc_id", "row", F.expr("if(no_source, null, key)").alias("source"), "size", "source_size", "target", copies.alias("copies"))
+    r = F.row_number().over(Window.partitionBy(*group).orderBy("h", "doc_id", "k", "row"))
+    return part.withColumn("r", r).join(at, group).withColumn("rank", F.col("r") + F.col("before"))
 
 
 def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """One row per row of ``docs`` (doc_id, source, text): size, source_size, target, copies, taken."""
-    found = _choose(docs.select("doc_id", "source", "text", F.monotonically_increasing_id().alias("row")), seed).drop("row")
+    # narrow passes follow; texts are read once
+    sized = staged(_sized(docs.select("doc_id", "source", "text", F.monotonically_increasing_id().alias("row"))), "sizes")
+    ranked = _ranked(sized, *_plans(sized, seed), seed)
+    copies = F.col("passes") + (F.col("rank") <= F.col("extra")).cast("int")
+    found = ranked.select("doc_id", F.expr("if(no_source, null, key)").alias("source"), "size", "source_size", "target", copies.alias("copies"))
     return found.withColumn("taken", (F.col("copies") * F.col("size")).cast("long"))
 
 
+#: Sources times sizes whose last taken rows go to every task; where there are more, rows meet them by a shuffle.
+SENT_CUTS = 200_000
+
+
 def mixed_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken, columns unchanged.
 
     Rows are numbered in a written table first, so each gets its own copies, whether ids
-    repeat or are null; columns stay in one struct, so that no name clashes.
+    repeat or are null; columns stay in one struct, so that no name clashes. What a row
+    gets follows from where it stands to the last one taken of its source and size, so
+    that texts are not shuffled.
     """
-    rows = staged(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.monotonically_increasing_id().alias("row")), "rows")
-    marked = rows.select("doc.doc_id", "doc.source", "doc.text", "row")
-    taken = staged(_choose(marked, seed).filter("copies > 0").select("row", "copies"), "taken")
-    return rows.join(taken, "row").select("doc", F.explode(F.sequence(F.lit(1), "copies"))).select("doc.*")
+    doc = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    numbered = docs.select("doc_id", "source", "text", doc.alias("doc"), F.monotonically_increasing_id().alias("row"))
+    rows = staged(_sized(numbered, "doc"), "rows")
+    sized = rows.drop("doc")
+    plan, many = _plans(sized, seed)
+    place = F.struct("b", "c", "h", F.col("doc_id").isNotNull().alias("has"), F.coalesce("doc_id", F.lit(0)).alias("id"), "k", "row")
+    last = _ranked(sized, plan, many, seed).filter("rank = extra").select(*_KEYS, "size", place.alias("last"))
+    cuts = staged(plan.select(*_KEYS, "size", "n", "passes").join(last, [*_KEYS, "size"], "left"), "cuts")
+    if cuts.limit(SENT_CUTS + 1).count() <= SENT_CUTS:
+        cuts = F.broadcast(cuts)
+    part = _bucketed(_hashed(rows, seed).join(cuts, [*_KEYS, "size"]), many)
+    copies = F.col("passes") + F.coalesce(place <= F.col("last"), F.lit(False)).cast("int")
+    return part.withColumn("copies", copies).filter("copies > 0").select("doc", F.explode(F.sequence(F.lit(1), "copies"))).select("doc.*")
 
 
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

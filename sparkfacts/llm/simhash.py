@@ -27,12 +27,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import NULL_ID, as_rows, no_null_ids, null_ids_back, staged, table, texts
 from .graph import components
+from .rolling import bits_for, column_bitmap, member, mix
 
 SEED = 42
 HOT = 20_000
@@ -444,27 +446,45 @@ def _marks(docs: DataFrame, plan: Plan) -> DataFrame:
                     h = shingles(x.as_py(), plan.shingle, True)
                     more = parities(h, plan.parity) if plan.parity else []
                     fp.append(np.array([*majority(h, plan.words), *more], np.uint64).astype(">u8").tobytes())
-                    node.append(xxhash.xxh3_64_intdigest(h.tobytes()) - (1 << 63))
+                    node.append(_node(xxhash, h))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fp, pa.binary()), pa.array(node, pa.int64())], ["doc_id", "k", "fp", "node"])
 
     return _keyed(docs).mapInArrow(run, "doc_id long, k long, fp binary, node long")
 
 
+def _node(xxhash, h: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(h.tobytes()) - (1 << 63)
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     return texts(docs).select("doc_id", F.xxhash64("text").alias("k"), "text")
 
 
+def _among(keys: DataFrame):
+    """A test of rows (doc_id, k) by a bitmap of those in ``keys``: true for all of them and for about one in 70 others, so that no other text is shuffled."""
+    h = staged(keys.select(F.xxhash64("doc_id", "k").alias("h")), "among")
+    bitmap = column_bitmap(h, "h", bits_for(h.count()))
+
+    @F.pandas_udf("boolean")
+    def among(h: pd.Series) -> pd.Series:
+        return pd.Series(member(bitmap, mix(h.to_numpy(np.int64).view(np.uint64))))
+
+    return among(F.xxhash64("doc_id", "k"))
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, plan: Plan) -> DataFrame:
-    """(node, set array): the distinct shingles of the nodes ``wanted`` (node, doc_id, k)."""
+    """(node, set array): the distinct shingles of the texts ``wanted`` (doc_id, k), and of a few others."""
 
     def run(batches):
+        import xxhash
+
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                held = [shingles(x.as_py(), plan.shingle, True).astype(np.int64) for x in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(held, pa.list_(pa.int64()))], ["node", "set"])
+                held = [shingles(x.as_py(), plan.shingle, True) for x in batch.column(0).slice(at, 64)]
+                node = [_node(xxhash, h) for h in held]
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array([h.astype(np.int64) for h in held], pa.list_(pa.int64()))], ["node", "set"])
 
-    return _keyed(docs).join(wanted, ["doc_id", "k"]).select("node", "text").mapInArrow(run, "node long, set array<long>").dropDuplicates(["node"])
+    return _keyed(docs).filter(_among(wanted)).select("text").mapInArrow(run, "node long, set array<long>").dropDuplicates(["node"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -500,7 +520,7 @@ def clusters(docs: DataFrame, plan: Plan = SIMILAR) -> DataFrame:
         pairs = staged(pairs, "pairs")
         if pairs.take(1):
             ends = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-            wanted = staged(distinct.join(ends, "rep").select(F.col("rep").alias("node"), "doc_id", "k"), "wanted")
+            wanted = staged(distinct.join(ends, "rep").select("doc_id", "k"), "wanted")
             ok = staged(verified(pairs, staged(_sets(docs, wanted, plan), "sets")), "links")
             done = pairs if done is None else done.unionByName(pairs)
             if ok.take(1):
@@ -537,9 +557,11 @@ def keep_one(docs: DataFrame, plan: Plan = SIMILAR) -> DataFrame:
     found = found.join(best, keys, "left")
     gone = staged(found.filter("best is null").select(*keys), "gone")
     twice = staged(found.filter("best and n > 1").select(*keys), "twice")
-    rows = as_rows(docs)
-    one = rows.join(twice, keys, "left_semi").groupBy(*keys).agg(F.min_by("doc", F.xxhash64(F.to_json("doc"))).alias("doc"))
-    return rows.join(gone.unionByName(twice), keys, "left_anti").unionByName(one).select("doc.*")
+    rows, other = as_rows(docs), gone.unionByName(twice)
+    among = _among(other)
+    near = rows.filter(among)
+    one = near.join(twice, keys, "left_semi").groupBy(*keys).agg(F.min_by("doc", F.xxhash64(F.to_json("doc"))).alias("doc"))
+    return rows.filter(~among).unionByName(near.join(other, keys, "left_anti")).unionByName(one).select("doc.*")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
