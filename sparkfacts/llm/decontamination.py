@@ -185,6 +185,8 @@ def hits(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFram
                 rows += [(ids[r], keys[r], int(p), int(y), 0) for r, p, y in zip(row[every[near]], every[near] - (ends - size)[row[every[near]]], h[near].astype(np.int64))]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()))], ["doc_id", "k", "p", "h", "own"])
+        part = raws = read = row = stop = t = plain = every = None
+        R.tidy()
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("k"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     found = source.mapInArrow(probe, "doc_id long, k long, p int, h long, own long")

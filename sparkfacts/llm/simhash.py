@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import NULL_ID, as_rows, no_null_ids, null_ids_back, staged, table, texts
 from .graph import components
-from .rolling import bits_for, column_bitmap, member, mix
+from .rolling import bits_for, column_bitmap, member, mix, tidy
 
 SEED = 42
 HOT = 20_000
@@ -364,6 +364,8 @@ def _pairs(plan: Plan, most: int | None):
             (a, b, d), more = near.result()
             none = [None] * len(more)
             yield pa.RecordBatch.from_arrays([pa.array([*a.tolist(), *more], pa.int64()), pa.array([*b.tolist(), *none], pa.int64()), pa.array([*d.tolist(), *none], pa.int32())], ["a", "b", "d"])
+        rows = key = side = ids = label = sketch = top = odd = size = near = a = b = d = None
+        tidy()
 
     return run
 
@@ -448,6 +450,8 @@ def _marks(docs: DataFrame, plan: Plan) -> DataFrame:
                     fp.append(np.array([*majority(h, plan.words), *more], np.uint64).astype(">u8").tobytes())
                     node.append(_node(xxhash, h))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fp, pa.binary()), pa.array(node, pa.int64())], ["doc_id", "k", "fp", "node"])
+        batch = part = None
+        tidy()
 
     return _keyed(docs).mapInArrow(run, "doc_id long, k long, fp binary, node long")
 
@@ -460,31 +464,48 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return texts(docs).select("doc_id", F.xxhash64("text").alias("k"), "text")
 
 
+def _bitmap(keys: DataFrame) -> np.ndarray:
+    """A bitmap of rows (doc_id, k)."""
+    h = staged(keys.select(F.xxhash64("doc_id", "k").alias("h")), "among")
+    return column_bitmap(h, "h", bits_for(h.count()))
+
+
+def _held(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
+    return member(bitmap, mix(h.astype(np.int64, copy=False).view(np.uint64)))
+
+
 def _among(keys: DataFrame):
     """A test of rows (doc_id, k) by a bitmap of those in ``keys``: true for all of them and for about one in 70 others, so that no other text is shuffled."""
-    h = staged(keys.select(F.xxhash64("doc_id", "k").alias("h")), "among")
-    bitmap = column_bitmap(h, "h", bits_for(h.count()))
+    bitmap = _bitmap(keys)
 
     @F.pandas_udf("boolean")
     def among(h: pd.Series) -> pd.Series:
-        return pd.Series(member(bitmap, mix(h.to_numpy(np.int64).view(np.uint64))))
+        return pd.Series(_held(bitmap, h.to_numpy(np.int64)))
 
     return among(F.xxhash64("doc_id", "k"))
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, plan: Plan) -> DataFrame:
-    """(node, set array): the distinct shingles of the texts ``wanted`` (doc_id, k), and of a few others."""
+    """(node, set array): the distinct shingles of the texts ``wanted`` (doc_id, k), and of a few others.
+
+    Texts are tested where they are cut: a test in a step of its own would take a second
+    Python worker a task, and executors keep those for all later stages.
+    """
+    bitmap = _bitmap(wanted)
 
     def run(batches):
         import xxhash
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                held = [shingles(x.as_py(), plan.shingle, True) for x in batch.column(0).slice(at, 64)]
+            own = batch.column(1).filter(pa.array(_held(bitmap, batch.column(0).to_numpy())))
+            for at in range(0, len(own), 64):
+                held = [shingles(x.as_py(), plan.shingle, True) for x in own.slice(at, 64)]
                 node = [_node(xxhash, h) for h in held]
                 yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array([h.astype(np.int64) for h in held], pa.list_(pa.int64()))], ["node", "set"])
+        batch = own = held = None
+        tidy()
 
-    return _keyed(docs).filter(_among(wanted)).select("text").mapInArrow(run, "node long, set array<long>").dropDuplicates(["node"])
+    return _keyed(docs).select(F.xxhash64("doc_id", "k").alias("h"), "text").mapInArrow(run, "node long, set array<long>").dropDuplicates(["node"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import no_null_ids, null_ids_back, staged, table, texts
+from .rolling import tidy
 
 SHARD_TOKENS = 1 << 20
 CACHED_WORDS = 500_000
@@ -363,6 +364,8 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int = END_ID, cuts: list[flo
                 h = np.array([xxhash.xxh3_64_intdigest(x) >> 1 for x in ids], np.int64)
                 r = _range_of(part.column(0).to_numpy().astype(float), h / 2.0**63 * (1 - 2.0**-50), cuts)
                 yield pa.RecordBatch.from_arrays([pa.array(r.astype(np.int32)), part.column(0), pa.array(h), pa.array(ids, pa.large_binary())], ["range_id", "doc_id", "h", "ids"])
+        batch = part = ids = None
+        tidy()
 
     return texts(docs).mapInArrow(run, "range_id int, doc_id long, h long, ids binary")
 
@@ -406,6 +409,8 @@ def write_shards(docs: DataFrame, tokenizer: str | None = None, end_id: int = EN
                 size += len(x) // np.dtype(item).itemsize
         if held:
             yield flush()
+        batch = x = None
+        tidy()
 
     dealt = encode(docs, tokenizer, end_id, cuts).repartition(n, "range_id").sortWithinPartitions("range_id", "doc_id", "h", "ids")
     return staged(dealt.select("range_id", "doc_id", "ids").mapInArrow(run, SHARD_SCHEMA), "shards", maxRecordsPerFile=1)
@@ -432,6 +437,8 @@ def read_documents(shards: DataFrame) -> DataFrame:
                 starts_ = row["range_start"] + row["start_in_range"] + ends - lengths
                 crc = [zlib.crc32(ids[e - m : e]) for e, m in zip(ends.tolist(), lengths.tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(row["doc_ids"], "<i8")), pa.array(starts_), pa.array(lengths), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+        batch = row = ids = None
+        tidy()
 
     return null_ids_back(shards.join(F.broadcast(starts), "range_id").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long"))
 

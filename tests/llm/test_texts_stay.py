@@ -28,3 +28,18 @@ def test_rows_looked_for_are_told_from_most_others(spark):
     assert set(range(0, 20_000, 10)) <= set(found) and len(found) < 2_000 + 18_000 * 0.03
     none = simhash._among(rows.limit(0))
     assert not rows.filter(none).count()
+
+
+def test_sets_take_one_python_worker_a_task(spark):
+    """A second Python step in the stage would leave executors with twice the workers for all later stages."""
+    from sparkfacts.llm import simhash
+
+    docs = spark.createDataFrame([(i, f"some words of the text {i % 150} and no more") for i in range(300)] + [(-5, None), (-6, "")], "doc_id long, text string")
+    keyed = simhash._keyed(docs)
+    sets = simhash._sets(docs, keyed.filter("doc_id % 3 = 0 or doc_id < 0").select("doc_id", "k"), simhash.SIMILAR)
+    plan = sets._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "EvalPython" not in plan
+    got = {frozenset(r.set) for r in sets.collect()}
+    every = {i: frozenset(simhash.shingles((t or "").encode(), 5, True).view("int64").tolist()) for i, t in docs.collect()}
+    assert {every[i] for i in every if i % 3 == 0 or i < 0} <= got <= set(every.values())
+    assert not simhash._sets(docs, keyed.limit(0).select("doc_id", "k"), simhash.SIMILAR).count()
