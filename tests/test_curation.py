@@ -108,6 +108,29 @@ def test_contained_names_sends_numbers_of_names_alone(spark):
     assert {len(r._all) for r in spark.read.parquet(kept).collect()} == {2}
 
 
+def test_pairs_of_values_and_names_are_not_shuffled(spark, monkeypatch):
+    """However many names there are: values and names go to where they meet, and what meets there stays."""
+    from sparkfacts.operators import curation
+
+    for bound in ("SENT_NAMES", "SENT_WORDS", "SENT_PEOPLE"):
+        monkeypatch.setattr(curation, bound, 0)
+    monkeypatch.setattr(curation, "NAMES_A_SHARE", 2)
+    monkeypatch.setattr(curation, "PEOPLE_A_ROW", 3)
+    rng = random.Random(4)
+    people = [(i, " ".join(rng.choices("abcd", k=rng.randint(1, 3)))) for i in range(40)]
+    values = [(i, " ".join(rng.choices("abcde", k=rng.randint(1, 6)))) for i in range(5000)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = curation.contained_names(spark.createDataFrame(people, "person_id int, name string"), spark.createDataFrame(values, "value_id int, value string"))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        got = sorted((r.value_id, r.person_id) for r in found.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    assert got == sorted((v, p) for p, n in people for v, t in values if plain_words(n) <= plain_words(t))
+
+
 def test_suppressions_in_scope(spark):
     from sparkfacts.operators import publish
 
