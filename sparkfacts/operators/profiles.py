@@ -23,20 +23,27 @@ def head_facts(facts: DataFrame, org: str, year: str) -> DataFrame:
     return facts.join(newest, [org, year]).filter(F.col("concept").isin(*HEAD_FACTS)).select(org, names[F.col("concept")].alias("key"), year, "amount")
 
 
-def profiles(orgs: DataFrame, head: DataFrame, coverage: DataFrame, people: DataFrame, notices: DataFrame, org: str, team: str | None = None) -> DataFrame:
+def profiles(orgs: DataFrame, head: DataFrame, coverage: DataFrame, people: DataFrame, notices: DataFrame, org: str, team: str | None = None, joined: str | None = None) -> DataFrame:
     """One row an organisation: ``facts`` by key, ``filed`` years, ``people`` by pay.
 
     ``people`` are held by organisation, or by ``team``, a column of ``orgs`` that many of
     them share: a team is gathered once and put beside its organisations last, where no
-    shuffle carries it.
+    shuffle carries it. With ``joined``, a separator, a team's people are one text, made
+    once, and organisations are dealt so that those of a team lie together: a task has few
+    of these texts however long they are, and a file that keeps equal values once (as
+    Parquet's dictionaries do) grows with the teams' texts, not with organisations times them.
 
     An organisation without any filing but with a notice has the one fact that it files notices.
     """
     f = head.groupBy(org).agg(F.map_from_entries(F.collect_list(F.struct("key", "amount"))).alias("_facts"))
     c = coverage.groupBy(org).agg(F.sort_array(F.collect_list(F.struct("tax_year", "status"))).alias("coverage"))
     p = people.groupBy(team or org).agg(F.transform(F.sort_array(F.collect_list(F.struct("pay", "name")), asc=False), lambda x: x["name"]).alias("people"))
+    p = p.withColumn("people", F.array_join("people", joined)) if joined else p
     n = notices.select(org).distinct().withColumn("_notice", F.lit(True))
     out = orgs.join(f, org, "left").join(c, org, "left").join(n, org, "left")
+    if team and joined:
+        spark = orgs.sparkSession
+        out = out.repartitionByRange(max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), team, org)
     # a team's list is broadcast: all of them are no more than the people
     out = out.join(F.broadcast(p), team, "left") if team else out.join(p, org, "left")
     only = F.when(F.col("coverage").isNull() & F.col("_notice"), F.create_map(F.lit("files_notices"), F.lit(1).cast("decimal(38,2)")))

@@ -41,6 +41,25 @@ def test_a_team_is_gathered_once(spark, nation):
     assert "Join" in plan(df).split("collect_list(struct(pay")[0]
 
 
+def test_a_teams_text_is_made_once_and_its_organisations_lie_together(spark):
+    from pyspark.sql import functions as F
+
+    from sparkfacts.operators import profiles
+
+    orgs = spark.sql("SELECT id AS org, nullif(id % 6, 5) AS team FROM range(3000)").repartition(7)
+    none = spark.sql("SELECT 1L AS org, 'total_revenue' AS key, 2000 AS tax_year, 1BD AS amount, 'filed' AS status").limit(0)
+    people = spark.sql("SELECT id % 4 AS team, concat('p', id) AS name, cast(id AS double) AS pay FROM range(400)")
+    df = profiles.profiles(orgs, none, none, people, orgs.select("org").limit(0), "org", "team", "|")
+    texts = {t: "|".join(f"p{i}" for i in range(399, -1, -1) if i % 4 == t) for t in range(4)}
+    rows = df.select("org", "people", F.spark_partition_id().alias("part")).collect()
+    assert {r.org: r.people for r in rows} == {i: texts.get(i % 6) for i in range(3000)}
+    parts = {}
+    for r in rows:
+        parts.setdefault(r.part, []).append(r.people)
+    # however many tasks there are, each has few of the texts and no more than its share of rows
+    assert len(parts) >= 8 and max(len(set(x)) for x in parts.values()) <= 2 and max(map(len, parts.values())) <= 1000
+
+
 def test_people_of_one_name_are_redacted_by_key(spark, nation):
     import duckdb
 
