@@ -18,6 +18,21 @@ def test_clubs_alike_are_scored_once(spark, nation):
     assert derive.club_candidates(spark, nation).count() == 1000 * 30
 
 
+@pytest.mark.parametrize("together", [256, 4])
+def test_a_candidate_stands_in_rows_on_end(spark, nation, monkeypatch, together):
+    """Equal values follow each other, which Parquet writes in next to nothing."""
+    from sparkfacts.plans import derive
+
+    monkeypatch.setattr(derive, "_TOGETHER", together)
+    for query, columns in ((derive.club_candidates, ("org", "rank")), (derive.open_pairs, ("org", "score"))):
+        rows = [tuple(r[c] for c in columns) for r in query(spark, nation).collect()]
+        assert sum(x != y for x, y in zip(rows, rows[1:])) < len(rows) / (together if together < 9 else 4) * 1.6
+    got = {(r.club, r.org): r.rank for r in derive.club_candidates(spark, nation).collect()}
+    score = lambda club, org: (club * 7 + org * 13) % 101
+    ranked = {c: sorted(range(30), key=lambda o: (-score(c, o), o % 3, o)) for c in range(0, 1000, 37)}
+    assert len(got) == 30000 and all(got[c, o] == i + 1 for c, x in ranked.items() for i, o in enumerate(x))
+
+
 def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
